@@ -37,9 +37,9 @@ def l2_normalize(v: Column | str) -> Column:
     return F.when(length > MIN_NORM, unit).otherwise(v.cast("array<float>"))
 
 
-def noise_floor(dim: int, k: float = 3.0) -> float:
+def noise_floor(dim: int | Column, k: float = 3.0) -> float | Column:
     """Random unit vectors in ``dim`` dimensions score about 0 +- 1/sqrt(dim); k sigmas of it."""
-    return k / math.sqrt(dim)
+    return F.lit(k) / F.sqrt(dim) if isinstance(dim, Column) else k / math.sqrt(dim)
 
 
 def has_dim(v: Column | str, dim: int) -> Column:
