@@ -156,7 +156,7 @@ def _buckets(df: DataFrame, model: BucketedRandomProjectionLSHModel, tables: int
 
 
 def lsh_build(
-    vectors: DataFrame, path: str, bucket_length: float = 0.5, tables: int = 8, seed: int = 7
+    vectors: DataFrame, path: str, bucket_length: float = 0.1, tables: int = 4, seed: int = 7
 ) -> LshIndex:
     """Store ``vectors(image_id, embedding)`` with their buckets ``h0, h1, ...`` under ``path``."""
     spark = vectors.sparkSession

@@ -20,8 +20,8 @@ def plain_path(path: Column | str) -> Column:
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, mtime, size)`` of all files under ``root``; no content is read.
 
-    Spark's file source leaves out names that start with a dot or underscore and
-    follows symbolic links.
+    Spark's file source leaves out empty files and names that start with a dot or
+    underscore, and follows symbolic links.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return listed.select(
