@@ -32,9 +32,10 @@ def norm(v: Column | str) -> Column:
 def l2_normalize(v: Column | str) -> Column:
     """Unit vector of ``v``, as floats; a vector of almost no length is kept."""
     v = F.col(v) if isinstance(v, str) else v
-    length = norm(v)
-    unit = F.transform(v, lambda x: (x.cast("double") / length).cast("float"))
-    return F.when(length > MIN_NORM, unit).otherwise(v.cast("array<float>"))
+    # Through the one-entry array the length is taken once per vector, not once per entry.
+    divisor = F.array(F.when(norm(v) > MIN_NORM, norm(v)).otherwise(1.0))
+    return F.transform(
+        divisor, lambda n: F.transform(v, lambda x: (x.cast("double") / n).cast("float")))[0]
 
 
 def noise_floor(dim: int | Column, k: float = 3.0) -> float | Column:

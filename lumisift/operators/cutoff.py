@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lumisift.plans.running import running_totals
+from lumisift.plans.running import in_ranges, running_totals
 from lumisift.plans.skew import group_join
 
 # Fixed value: fewer scores than this have no distribution to split.
@@ -32,44 +32,37 @@ def at_least(value: str, threshold: Column | float) -> Column:
 
 
 def otsu_threshold(
-    scores: DataFrame,
-    by: Sequence[str],
-    floor: float,
-    score: str = "score",
-    bounded: bool = False,
+    scores: DataFrame, by: Sequence[str], floor: float, score: str = "score"
 ) -> DataFrame:
     """``threshold`` per group: the split of the scores into two classes that differ most.
 
     Scores under ``floor`` do not count. Of fewer than three others the threshold
     is ``floor``. Splits are ranked by ``w0 * w1 * (mean0 - mean1)^2`` and the lowest
     of the best ones wins; the threshold lies halfway between its two scores.
-    Equal scores are never worth splitting, so the work is done on counts of
-    distinct scores. ``bounded=True`` promises groups that fit one task.
+
+    Equal scores are never worth splitting, so ``scores`` is read once to count distinct
+    ones, and groups of any size go through running totals over ranges of scores.
     """
     by = list(by)
-    counted = scores.where(at_least(score, floor)).groupBy(*by, score).agg(F.count("*").alias("_n"))
-    totals = counted.groupBy(*by).agg(
-        F.sum("_n").alias("_total_n"),
-        F.sum(F.col("_n") * F.col(score)).alias("_total"),
-        F.min(score).alias("_lowest"),
-    )
-    running = running_totals(
-        counted, by, score,
-        {"_w0": F.col("_n"), "_sum0": F.col("_n") * F.col(score)},
-        following="_next", bounded=bounded,
-    ).where(F.col("_next").isNotNull())
+    counted = scores.groupBy(*by, F.when(at_least(score, floor), F.col(score)).alias("_s")).agg(
+        F.count("*").alias("_n"))
+    ranged = in_ranges(counted, by, "_s")
+    # Scores that do not count are one null per group, which keeps the group.
+    n = F.when(F.col("_s").isNull(), 0).otherwise(F.col("_n"))
+    weight = F.coalesce(n * F.col("_s"), F.lit(0.0))
+    totals = ranged.groupBy(*by).agg(
+        F.sum(n).alias("_total_n"), F.sum(weight).alias("_total"), F.min("_s").alias("_lowest"))
+    running = running_totals(ranged, by, "_s", {"_w0": n, "_sum0": weight}, following="_next")
+    splits = running.where(F.col("_s").isNotNull() & F.col("_next").isNotNull())
     best = (
-        running.join(totals, by)
+        group_join(splits, totals, by, "_s")
         .withColumn("_spread", _between("_w0", "_sum0", "_total_n", "_total"))
         .where(F.col("_spread") > 0)
         .groupBy(*by)
-        .agg(F.max_by((F.col(score) + F.col("_next")) / 2, _first_best("_spread", "_w0")).alias("_split"))
-    )
-    return (
-        scores.select(*by).distinct()
-        .join(totals, by, "left").join(best, by, "left")
-        .select(*by, _threshold("_total_n", "_split", "_lowest", floor).alias("threshold"))
+        .agg(F.max_by((F.col("_s") + F.col("_next")) / 2, _first_best("_spread", "_w0")).alias("_split"))
     )
+    return totals.join(best, by, "left").select(
+        *by, _threshold("_total_n", "_split", "_lowest", floor).alias("threshold"))
 
 
 def _between(w0: str, sum0: str, n: str, total: str) -> Column:
@@ -136,6 +129,6 @@ def apply_cutoff(
     if bounded:
         judged = pool_threshold(pool, by, floor)
     else:
-        judged = group_join(pool, otsu_threshold(pool, [by], floor), by, "image_id")
+        judged = group_join(pool, otsu_threshold(pool, [by], floor), [by], "image_id")
     return judged.where(at_least("score", F.col("threshold"))).drop("threshold")
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lumisift.functions.vectors import l2_normalize, valid_vectors
+from lumisift.functions.vectors import MIN_NORM, valid_vectors
+from lumisift.plans.size import spread
 
 # Fixed values of the image tensor.
 EDGE = 224
@@ -32,14 +33,24 @@ def embed(
     values to a matrix with one row per value. A column of flat tensors, such as that of
     :func:`preprocess_images`, needs ``tensor_shape``, ``[3, 224, 224]`` there.
     """
+
+    def make_unit_model() -> Callable[[np.ndarray], np.ndarray]:
+        model = make_model()
+        return lambda values: unit_rows(model(values))
+
     predict = predict_batch_udf(
-        make_model,
+        make_unit_model,
         return_type=T.ArrayType(T.FloatType()),
         batch_size=batch_size,
         input_tensor_shapes=[tensor_shape] if tensor_shape else None,
-    )
-    found = df.withColumn(out, predict(F.col(col)))
-    return valid_vectors(found, dim, out).withColumn(out, l2_normalize(out))
+    ).asNondeterministic()  # or Spark runs the model again for the filter on its result
+    return valid_vectors(spread(df).withColumn(out, predict(F.col(col))), dim, out)
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows at length 1; a row of almost no length is kept."""
+    lengths = np.linalg.norm(np.asarray(matrix, np.float64), axis=1, keepdims=True)
+    return (matrix / np.where(lengths > MIN_NORM, lengths, 1.0)).astype(np.float32)
 
 
 def triangle_weights(source: int, target: int) -> np.ndarray:
@@ -98,4 +109,5 @@ def preprocess_images(images: DataFrame, out: str = "pixels") -> DataFrame:
                 ]
                 yield pd.DataFrame({"path": part["path"].to_numpy(), out: made})
 
+    images = spread(images)
     return images.select("path", "height", "width", "nChannels", "data").mapInPandas(tensors, schema)

@@ -40,10 +40,10 @@ def softmax_scores(
     """
     tops = df.groupBy(by).agg(F.max(score).alias("_top"))
     power = F.exp(F.col(score) - F.col("_top"))
-    sums = group_join(df, tops, by, spread).groupBy(by).agg(
+    sums = group_join(df, tops, [by], spread).groupBy(by).agg(
         F.first("_top").alias("_top"), F.sum(power).alias("_sum")
     )
-    return group_join(df, sums, by, spread).withColumn(out, power / F.col("_sum")).drop("_top", "_sum")
+    return group_join(df, sums, [by], spread).withColumn(out, power / F.col("_sum")).drop("_top", "_sum")
 
 
 def linear_project(

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lumisift.plans.size import spread
+
 # Fixed values of the encoding.
 WORD_MARK = "▁"
 PAD_TOKEN, UNK_TOKEN = "<pad>", "<unk>"
@@ -166,7 +168,8 @@ def bpe_encode(
         for series in texts:
             yield series.map(lambda text: _fit(encoder.encode(text or ""), max_len, encoder.pad))
 
-    return df.withColumn(out, encode(F.col(col)))
+    # Not to be run again for a later filter on the ids.
+    return spread(df).withColumn(out, encode.asNondeterministic()(F.col(col)))
 
 
 def _fit(ids: list[int], length: int, pad: int) -> list[int]:

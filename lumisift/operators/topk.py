@@ -164,5 +164,5 @@ def score_pairs(
     """
     asked = queries.select(query_id, F.col("embedding").alias("_query"))
     found = vectors.select("image_id", F.col("embedding").alias("_vector"))
-    both = group_join(lookup_join(pairs, found, "image_id", "inner"), asked, query_id, "image_id")
+    both = group_join(lookup_join(pairs, found, "image_id", "inner"), asked, [query_id], "image_id")
     return both.withColumn("score", score("_query", "_vector")).drop("_query", "_vector")

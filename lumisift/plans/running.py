@@ -14,37 +14,36 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumisift.plans.scratch import materialize
+from lumisift.plans.size import is_small
+
+# An input estimated at no more than this is one task's work at most.
+ONE_TASK_BYTES = 16 * 1024 * 1024
 
 _RANGE = "_range"
 
 
+def in_ranges(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """``df`` stored in ranges of ``(by, order)``; small inputs stay one range."""
+    if is_small(df, ONE_TASK_BYTES):
+        return materialize(df.withColumn(_RANGE, F.lit(0)), "ranges")
+    ranged = df.repartitionByRange(*by, order).withColumn(_RANGE, F.spark_partition_id())
+    return materialize(ranged, "ranges")
+
+
 def running_totals(
-    df: DataFrame,
+    ranged: DataFrame,
     by: Sequence[str],
     order: str,
     sums: Mapping[str, Column],
     following: str | None = None,
-    bounded: bool = False,
 ) -> DataFrame:
-    """Add one inclusive running total per entry of ``sums``.
+    """Add one inclusive running total per entry of ``sums`` to a table from :func:`in_ranges`.
 
     ``order`` must be unique within a group: aggregate equal values first. With
     ``following``, that column holds the next value of ``order`` in the group.
-    ``bounded=True`` promises groups small enough for one task.
     """
-    df = df.select("*", *[value.alias(name) for name, value in sums.items()])
-    if bounded:
-        group = Window.partitionBy(*by).orderBy(order)
-        upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        added = [F.sum(name).over(upto).alias(name) for name in sums]
-        if following:
-            added.append(F.lead(order).over(group).alias(following))
-        return df.select(*[c for c in df.columns if c not in sums], *added)
-
-    ranged = materialize(
-        df.repartitionByRange(*by, order).withColumn(_RANGE, F.spark_partition_id()),
-        "ranges",
-    )
+    kept = [c for c in ranged.columns if c != _RANGE]
+    ranged = ranged.select("*", *[value.alias(name) for name, value in sums.items()])
     keys = [*by, _RANGE]
     ranges = ranged.groupBy(*keys).agg(
         *[F.sum(name).alias(name) for name in sums], F.min(order).alias("_first")
@@ -59,7 +58,6 @@ def running_totals(
     )
     local = Window.partitionBy(*keys).orderBy(order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = [c for c in df.columns if c not in sums]
     inside = ranged.select(
         *kept,
         _RANGE,
@@ -76,5 +74,9 @@ def running_totals(
 
 def dense_ids(df: DataFrame, order: str, start: int, name: str = "image_id") -> DataFrame:
     """Number rows ``start, start+1, ...`` by the unique column ``order``."""
-    numbered = running_totals(df, [], order, {"_position": F.lit(1).cast("long")})
+    if is_small(df, ONE_TASK_BYTES):
+        place = F.row_number().over(Window.orderBy(order)).cast("long")
+        return df.withColumn(name, place + F.lit(start - 1))
+    ranged = in_ranges(df, [], order)
+    numbered = running_totals(ranged, [], order, {"_position": F.lit(1).cast("long")})
     return numbered.withColumn(name, F.col("_position") + F.lit(start - 1)).drop("_position")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
+from lumisift.plans.size import is_small
+
 HOT_SHARE = 512
 SLICES = 32
 
+# Of an input estimated at no more than this, even a key with all rows is one task's work.
+ONE_TASK_BYTES = 64 * 1024 * 1024
+
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """Join ``left`` to a large ``right`` (unique on ``key``) so that no hot key fills one task.
@@ -16,8 +23,10 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFr
     rows and can always be broadcast: hot rows are joined where they lie. All
     other rows take the ordinary join, whose shuffle now has no hot key.
 
-    ``left`` is read three times; pass a stored table when it is costly to compute.
+    A large ``left`` is read three times: pass a stored table when it is costly to compute.
     """
+    if is_small(left, ONE_TASK_BYTES):
+        return left.join(right, key, how)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot = counts.where(F.col("_n") * HOT_SHARE > total).select(key, F.lit(True).alias("_hot"))
@@ -31,7 +40,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFr
     return cold.unionByName(hot_rows.join(F.broadcast(hot_right), key, how))
 
 
-def group_join(df: DataFrame, groups: DataFrame, by: str, spread: str) -> DataFrame:
+def group_join(df: DataFrame, groups: DataFrame, by: Sequence[str], spread: str) -> DataFrame:
     """Give every row of ``df`` the one row its group has in ``groups``.
 
     Each row of ``groups`` is copied to 32 slices and each group of ``df`` is cut
@@ -42,4 +51,4 @@ def group_join(df: DataFrame, groups: DataFrame, by: str, spread: str) -> DataFr
     copies = groups.withColumn(
         "_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))
     )
-    return sliced.join(copies, [by, "_slice"]).drop("_slice")
+    return sliced.join(copies, [*by, "_slice"]).drop("_slice")

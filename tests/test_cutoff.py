@@ -3,6 +3,7 @@ import math
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from lumisift.plans import running
 from lumisift.operators.cutoff import apply_cutoff, otsu_threshold, parse_cutoff, pool_threshold
 
 FLOOR = 0.2
@@ -40,13 +41,15 @@ def pool(spark, cases):
     return spark.createDataFrame(rows, "query_id string, image_id long, score double")
 
 
-@pytest.mark.parametrize("way", ["bounded", "unbounded", "windows"])
-def test_otsu_cases(spark, way):
+@pytest.mark.parametrize("way", ["small", "large", "windows"])
+def test_otsu_cases(spark, monkeypatch, way):
+    if way == "large":
+        monkeypatch.setattr(running, "ONE_TASK_BYTES", 0)
     df = pool(spark, CASES)
     if way == "windows":
         found = pool_threshold(df, "query_id", FLOOR).select("query_id", "threshold").distinct()
     else:
-        found = otsu_threshold(df, ["query_id"], FLOOR, bounded=way == "bounded")
+        found = otsu_threshold(df, ["query_id"], FLOOR)
     got = {r.query_id: r.threshold for r in found.collect()}
     assert set(got) == set(CASES)
     for name, scores in CASES.items():
