@@ -52,6 +52,13 @@ def _order(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(order_and_limit(label_scores(spark, folder), 7), "query_id", "rank", "image_id")
 
 
+def _order_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every image ranked among those of its label."""
+    from lumisift.catalog.tables import label_scores
+
+    return _rounded(order_and_limit(label_scores(spark, folder)), "query_id", "rank", "image_id")
+
+
 def _prefix(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_filter(image_manifest(spark, folder), "/corpus/1").select("image_id", "path")
 
@@ -117,6 +124,7 @@ QUERIES = {
     "candidate_pool": _pool,
     "resolve_hits": _resolve,
     "order_and_limit": _order,
+    "order_all": _order_all,
     "prefix_filter": _prefix,
     "search_auto": _search(sigmas=1.0),
     "search_auto_floor": _search(sigmas=3.0),
@@ -179,6 +187,7 @@ SQL = {
 WITH {IMAGES_SQL} SELECT query_id, rank, path, round(score, 4) AS score
 FROM ({_top_sql('scored', 20)}) WHERE label >= 3""",
     "order_and_limit": f"WITH {IMAGES_SQL} {_NEAREST} FROM ({_top_sql('own_scores', 7)})",
+    "order_all": f"WITH {IMAGES_SQL} {_NEAREST} FROM (SELECT *, {_PLACE} AS rank FROM own_scores)",
     "prefix_filter": f"WITH {IMAGES_SQL} SELECT image_id, path FROM v WHERE label = 1",
     "search_auto": f"WITH {IMAGES_SQL}, {search_sql(500, FLOOR_1)} {_RESULT}",
     "search_auto_floor": f"WITH {IMAGES_SQL}, {search_sql(500, '(3 / sqrt(64))')} {_RESULT}",

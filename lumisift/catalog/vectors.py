@@ -90,7 +90,7 @@ def _otsu(spark: SparkSession, folder: str) -> DataFrame:
 
 def _cutoff(mode):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        passed = apply_cutoff(label_scores(spark, folder), mode, noise_floor(64, 1.0), bounded=False)
+        passed = apply_cutoff(label_scores(spark, folder), mode, noise_floor(64, 1.0))
         return passed.select("query_id", "image_id", F.round("score", 4).alias("score"))
 
     return query

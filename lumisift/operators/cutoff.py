@@ -113,22 +113,22 @@ def pool_threshold(pool: DataFrame, by: str, floor: float, score: str = "score")
 
 
 def apply_cutoff(
-    pool: DataFrame,
+    scores: DataFrame,
     cutoff: Cutoff,
     floor: float,
     by: str = "query_id",
-    bounded: bool = True,
+    pooled: bool = False,
 ) -> DataFrame:
-    """Rows of ``pool`` that pass the cutoff; ``none`` still drops scores below zero.
+    """Rows of ``scores`` that pass the cutoff; ``none`` still drops scores below zero.
 
-    ``bounded=False`` takes score groups of any size through :func:`otsu_threshold`.
+    ``pooled=True`` says that they are candidate pools, whose size rule bounds them.
     """
     cutoff = parse_cutoff(cutoff)
     if cutoff != "auto":
-        return pool.where(at_least("score", 0.0 if cutoff == "none" else cutoff))
-    if bounded:
-        judged = pool_threshold(pool, by, floor)
+        return scores.where(at_least("score", 0.0 if cutoff == "none" else cutoff))
+    if pooled:
+        judged = pool_threshold(scores, by, floor)
     else:
-        judged = group_join(pool, otsu_threshold(pool, [by], floor), [by], "image_id")
+        judged = group_join(scores, otsu_threshold(scores, [by], floor), [by], "image_id")
     return judged.where(at_least("score", F.col("threshold"))).drop("threshold")
 

@@ -10,6 +10,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lumisift.functions.vectors import MIN_NORM, valid_vectors
+from lumisift.operators.tokenize import MAX_TOKENS, bpe_encode
 from lumisift.plans.size import spread
 
 # Fixed values of the image tensor.
@@ -47,6 +48,20 @@ def embed(
     return valid_vectors(spread(df).withColumn(out, predict(F.col(col))), dim, out)
 
 
+def embed_text(
+    df: DataFrame,
+    col: str,
+    vocab: DataFrame,
+    rules: DataFrame,
+    make_model: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    dim: int,
+    out: str = "embedding",
+) -> DataFrame:
+    """Add unit vectors of texts: token ids first, then a model over ``[64]`` of them."""
+    tokens = bpe_encode(df, col, vocab, rules, out="_tokens")
+    return embed(tokens, "_tokens", make_model, dim, out, tensor_shape=[MAX_TOKENS]).drop("_tokens")
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     """Rows at length 1; a row of almost no length is kept."""
     lengths = np.linalg.norm(np.asarray(matrix, np.float64), axis=1, keepdims=True)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumisift.functions.paths import directory_prefix, prefix_filter
 from lumisift.plans.running import dense_ids
 from lumisift.plans.scratch import materialize
-from lumisift.plans.skew import lookup_join
+from lumisift.plans.skew import asked_for, lookup_join
 
 
 def live_rows(manifest: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def _differs() -> Column:
 
 def detect_changed(disk: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rows of ``disk(path, mtime, size, ...)`` that are new or differ in mtime or size."""
-    joined = _with_stored(disk, manifest, "left")
+    joined = _with_stored(disk, asked_for(manifest, disk, "path"), "left")
     return joined.where(F.col("_stored").isNull() | _differs()).drop("_mtime", "_size", "_stored")
 
 
@@ -43,7 +43,8 @@ def skip_seen_content(files: DataFrame, manifest: DataFrame) -> DataFrame:
     The test uses the manifest as it is: equal new files do not hide each other.
     A fingerprint shared by a third of the files is looked up where they lie.
     """
-    return lookup_join(files, known_hashes(manifest), "content_hash", "left_anti")
+    known = known_hashes(asked_for(manifest, files, "content_hash"))
+    return lookup_join(files, known, "content_hash", "left_anti")
 
 
 def first_of_equal_content(files: DataFrame) -> DataFrame:
@@ -93,11 +94,12 @@ def ingest_plan(
         stale = judged.where(F.col("action") == "stale")
         memory = manifest.join(stale.select("path"), "path", "left_anti")
     is_fresh = F.col("action").isin("new", "changed")
-    seen = known_hashes(memory).withColumn("_seen", F.lit(True))
-    tested = lookup_join(judged.where(is_fresh), seen, "content_hash", "left")
+    candidates = judged.where(is_fresh)
+    seen = known_hashes(asked_for(memory, candidates, "content_hash")).withColumn("_seen", F.lit(True))
+    tested = lookup_join(candidates, seen, "content_hash", "left")
     fresh_or_seen = F.when(F.col("_seen"), "seen").otherwise(F.col("action"))
     if dedup_within_batch:
-        first = first_of_equal_content(judged.where(is_fresh)).select("path", F.lit(True).alias("_first"))
+        first = first_of_equal_content(candidates).select("path", F.lit(True).alias("_first"))
         tested = tested.join(first, "path", "left")
         fresh_or_seen = F.when(F.col("_seen") | F.col("_first").isNull(), "seen").otherwise(F.col("action"))
     tested = tested.select("path", fresh_or_seen.alias("action"))
@@ -127,7 +129,7 @@ def assign_ids(batch: DataFrame, manifest: DataFrame, max_id: int) -> DataFrame:
 
     ``max_id`` counts removed rows too, so that no id is used twice. New ids go by path.
     """
-    stored = live_rows(manifest).select("path", "image_id")
+    stored = live_rows(asked_for(manifest, batch, "path")).select("path", "image_id")
     known = batch.join(stored, "path")
     new = dense_ids(batch.join(stored, "path", "left_anti"), "path", start=max_id + 1)
     return known.unionByName(new)

@@ -9,6 +9,7 @@ from lumisift.functions.vectors import noise_floor
 from lumisift.operators.cutoff import Cutoff, apply_cutoff, parse_cutoff
 from lumisift.operators.topk import as_blocks, knn_exact, merge_top
 from lumisift.plans.blocks import Blocks
+from lumisift.plans.running import in_ranges, running_totals
 
 # How many candidates are looked at before paths and cutoff apply.
 AUTO_POOL = 500
@@ -49,17 +50,23 @@ def resolve_hits(scored: DataFrame, manifest: DataFrame, most: int | None = None
     return scored.join(live, "image_id")
 
 
-def order_and_limit(df: DataFrame, limit: int = 0, query_id: str = "query_id") -> DataFrame:
+def order_and_limit(
+    df: DataFrame, limit: int = 0, query_id: str = "query_id", pooled: bool = False
+) -> DataFrame:
     """``rank`` rows of each query by score descending, then image_id; 0 keeps all.
 
-    With a limit, slices of a query are cut first. Without one, a query's rows
-    are ranked in one task: candidate pools are bounded by :func:`pool_size`.
+    Without a limit, queries of any size are ranked over ranges of the order, unless
+    ``pooled=True`` says that they are candidate pools, which fit one task.
     """
     df = df.drop("rank")
     if limit > 0:
         return merge_top(df, limit, query_id)
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc("image_id"))
-    return df.withColumn("rank", F.row_number().over(order))
+    if pooled:
+        order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc("image_id"))
+        return df.withColumn("rank", F.row_number().over(order))
+    ordered = in_ranges(df.withColumn("_order", F.struct(-F.col("score"), "image_id")), [query_id], "_order")
+    ranked = running_totals(ordered, [query_id], "_order", {"rank": F.lit(1).cast("long")})
+    return ranked.drop("_order").withColumn("rank", F.col("rank").cast("int"))
 
 
 def search(
@@ -105,8 +112,8 @@ def finish_search(
 ) -> DataFrame:
     """From candidate pools, however found, to ranked paths."""
     found = prefix_filter(resolve_hits(hits, manifest, most), directory)
-    passed = apply_cutoff(found, cutoff, floor, query_id)
-    ranked = order_and_limit(passed, limit, query_id)
+    passed = apply_cutoff(found, cutoff, floor, query_id, pooled=True)
+    ranked = order_and_limit(passed, limit, query_id, pooled=True)
     return ranked.select(query_id, "rank", "score", "path", "image_id")
 
 

@@ -7,15 +7,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+import numpy as np
+
 from lumisift.functions.content import content_fingerprint
+from lumisift.functions.paths import filter_extensions
 from lumisift.functions.vectors import valid_vectors
 from lumisift.operators.ingest import (
     assign_ids, detect_changed, detect_stale, first_of_equal_content, live_rows, skip_seen_content,
     tombstones,
 )
 from lumisift.plans.scratch import materialize
+from lumisift.plans.skew import asked_for
 from lumisift.schema import MANIFEST
-from lumisift.sources.files import read_content
+from lumisift.operators.embed import BATCH, EDGE, embed, preprocess_images
+from lumisift.sources.files import pick_images, read_content, scan_files
 from lumisift.sources.store import IndexStore, State
 
 # From files(path, mtime, size, content_hash) to the same rows with an embedding;
@@ -63,7 +68,7 @@ def ingest(
     but not changed.
     """
     state = store.state()
-    manifest = store.manifest()
+    manifest = store.manifest(state)
     candidates = detect_changed(disk, manifest) if update else disk
     if "content_hash" not in disk.columns:
         candidates = with_fingerprints(candidates)
@@ -119,5 +124,29 @@ def _touched(candidates: DataFrame, written: DataFrame, manifest: DataFrame) ->
     """Stored rows whose file has the stored content and size but another mtime."""
     now = candidates.join(written.select("path"), "path", "left_anti").select(
         "path", "size", "content_hash", F.col("mtime").alias("_now"))
-    same = live_rows(manifest).join(now, ["path", "size", "content_hash"])
+    same = live_rows(asked_for(manifest, now, "path")).join(now, ["path", "size", "content_hash"])
     return same.withColumn("mtime", F.col("_now")).select(*MANIFEST.fieldNames())
+
+
+def ingest_images(
+    store: IndexStore,
+    root: str,
+    make_model: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    dim: int,
+    batch_size: int = BATCH,
+    **options,
+) -> IngestRun:
+    """Bring the index up to date with the images under ``root``.
+
+    ``make_model`` is as for :func:`lumisift.operators.embed.embed`, over batches of
+    ``[3, 224, 224]`` tensors; ``options`` go to :func:`ingest`. Images that cannot
+    be decoded are passed over.
+    """
+
+    def embedder(fresh: DataFrame) -> DataFrame:
+        tensors = preprocess_images(pick_images(store.spark, root, fresh))
+        vectors = embed(tensors, "pixels", make_model, dim, batch_size=batch_size,
+                        tensor_shape=[3, EDGE, EDGE])
+        return fresh.join(vectors.select("path", "embedding"), "path")
+
+    return ingest(store, filter_extensions(scan_files(store.spark, root)), embedder, root, dim, **options)

@@ -52,3 +52,14 @@ def group_join(df: DataFrame, groups: DataFrame, by: Sequence[str], spread: str)
         "_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))
     )
     return sliced.join(copies, [*by, "_slice"]).drop("_slice")
+
+
+def asked_for(table: DataFrame, asking: DataFrame, key: str) -> DataFrame:
+    """Rows of a large ``table`` whose key occurs in ``asking``, if that is small; else all.
+
+    An outer or anti join from a few rows to a large table would shuffle the table.
+    Cut down first, by a broadcast of keys of checked size, it stays where it is.
+    """
+    if not is_small(asking, ONE_TASK_BYTES):
+        return table
+    return table.join(F.broadcast(asking.select(key)), key, "left_semi")

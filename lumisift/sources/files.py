@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -81,9 +82,33 @@ def scan_images(spark: SparkSession, root: str, valid: bool = True) -> DataFrame
     return _image_columns(reader.load(root)).where(F.col("width") < 0)
 
 
+# So many paths may be named one by one.
+NAMED_PATHS = 10_000
+
+
+def pick_images(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """Decoded images of ``files(path)`` under ``root``, which are all or a few of those there.
+
+    A few are read by name, so that an update decodes what it needs. Spark's image
+    source takes no filter, so for more than 10,000 it reads all and keeps the asked.
+    """
+    paths = files.select("path")
+    named = [row.path for row in paths.limit(NAMED_PATHS + 1).collect()]
+    if not named:
+        return scan_images(spark, root).limit(0)
+    if len(named) > NAMED_PATHS:
+        return scan_images(spark, root).join(paths, "path", "left_semi")
+    # A path is read as a pattern: its special characters are escaped.
+    escaped = [re.sub(r"([*?\[\]{}\\])", r"\\\1", path) for path in named]
+    reader = spark.read.format("image").option("dropInvalid", True)
+    return _image_columns(reader.load(escaped))
+
+
 def _image_columns(images: DataFrame) -> DataFrame:
+    # The image source gives its paths in URL encoding, where a plus is a plus.
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
     return images.select(
-        plain_path("image.origin").alias("path"),
+        plain_path(origin).alias("path"),
         "image.height", "image.width", "image.nChannels", "image.mode", "image.data",
     )
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lumisift.operators.ingest import known_hashes, live_rows
+from lumisift.operators.ingest import live_rows
 from lumisift.schema import COMMITS, MANIFEST, VECTORS, require
 
 _VERSIONED = T.StructField("version", T.LongType())
@@ -75,11 +75,12 @@ class IndexStore:
         rows = self._read(table, T.StructType([*schema.fields, _VERSIONED]))
         return rows.where((F.col("version") >= first) & (F.col("version") <= last))
 
-    def manifest(self, version: int | None = None) -> DataFrame:
-        """All rows, removed ones included, as of a version; an absent index has none."""
-        return self._manifest(self.state(version))
+    def _at(self, at: State | int | None) -> State:
+        return at if isinstance(at, State) else self.state(at)
 
-    def _manifest(self, state: State) -> DataFrame:
+    def manifest(self, at: State | int | None = None) -> DataFrame:
+        """All rows, removed ones included, as of a version; an absent index has none."""
+        state = self._at(at)
         rows = self._versions("manifest", MANIFEST, state.base, state.version)
         if state.version == state.base:
             return rows.drop("version")
@@ -93,12 +94,9 @@ class IndexStore:
         # Only the changes move: the base is not shuffled unless they are many.
         return base.join(newest.select("image_id"), "image_id", "left_anti").unionByName(newest)
 
-    def known_hashes(self, version: int | None = None) -> DataFrame:
-        return known_hashes(self.manifest(version))
-
-    def vectors(self, version: int | None = None) -> DataFrame:
+    def vectors(self, at: State | int | None = None) -> DataFrame:
         """``(image_id, embedding)``; of a re-embedded image the newest vector only."""
-        state = self.state(version)
+        state = self._at(at)
         rows = self._versions("vectors", VECTORS, state.first_vectors, state.version)
         if state.replaced == 0:
             return rows.drop("version")
@@ -170,7 +168,7 @@ class IndexStore:
         row = (version, kind, max_image_id, first_vectors, void, indexed, removed, source)
         self.spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("append").parquet(
             f"{self.root}/commits")
-        return self.state()
+        return State(version, version if full else state.base, max_image_id, first_vectors, void)
 
     def write_manifest(self, rows: DataFrame) -> State:
         """Replace the whole manifest by ``rows``."""
@@ -183,9 +181,9 @@ class IndexStore:
     def compact(self) -> State:
         """Write the current manifest and the vectors of its live rows as a full version."""
         state = self.state()
-        manifest = self.manifest()
+        manifest = self.manifest(state)
         live = live_rows(manifest).select("image_id")
-        vectors = self.vectors().join(live, "image_id", "left_semi")
+        vectors = self.vectors(state).join(live, "image_id", "left_semi")
         return self.commit(rows=manifest, vectors=vectors, full=True, state=state)
 
     def reset(self) -> State:

@@ -66,16 +66,19 @@ def stream_ingest(
         before = store.state()
         done = store.commits().where(F.col("source") == tag)
         if done.isEmpty():
-            # The batch is read for its metadata and, for what is left of it, its content.
+            # The batch is read twice: for its listing and for the content of what is left.
             def embedder(fresh: DataFrame) -> DataFrame:
                 known = ["path", "mtime", "size", "content_hash"]
                 return embed(batch.join(fresh.select("path"), "path", "left_semi")).select(
                     *known, "embedding")
 
-            listing = batch.select("path", "mtime", "size", "content_hash")
-            ingest(store, listing, embedder, None, dim, seen_version=started, source=tag)
+            listing = materialize(batch.select("path", "mtime", "size", "content_hash"), "listing")
+            run = ingest(store, listing, embedder, None, dim, seen_version=started, source=tag)
+            after = run.state
+        else:
+            after = before
         if after_batch:
-            after_batch(store, before, store.state())
+            after_batch(store, before, after)
 
     return (
         source.writeStream.foreachBatch(take).trigger(availableNow=True)
@@ -107,27 +110,28 @@ class LiveTopK:
         self.floor = noise_floor(max(self.blocks.dim, 1), sigmas)
         self.query_id = query_id
         self.pools: DataFrame | None = None
-        self.version = -1
+        self.state: State | None = None
         self.refreshed = 0
 
     def __call__(self, store: IndexStore, before: State, after: State) -> None:
-        if after.version == self.version:
+        if self.state and after.version == self.state.version:
             return
         size = pool_size(self.cutoff, self.limit)
-        if self.pools is None or before.version != self.version or after.replaced != before.replaced:
-            pools = knn_exact(self.blocks, store.vectors(after.version), size, self.query_id)
-        else:
+        follows = self.state and before.version == self.state.version
+        if follows and after.replaced == before.replaced and after.base == before.base:
             added = store.added_vectors(before.version, after.version)
             found = knn_exact(self.blocks, added, size, self.query_id)
             pools = merge_top(self.pools.drop("rank").unionByName(found.drop("rank")), size, self.query_id)
+        else:
+            pools = knn_exact(self.blocks, store.vectors(after), size, self.query_id)
         self.pools = materialize(pools, "pools")
-        self.version = after.version
+        self.state = after
         self.refreshed += 1
 
     def results(self, store: IndexStore) -> DataFrame:
         """Current results, as of the last refresh."""
         size = pool_size(self.cutoff, self.limit)
         return finish_search(
-            self.pools, store.manifest(self.version), self.directory, self.limit, self.cutoff,
+            self.pools, store.manifest(self.state), self.directory, self.limit, self.cutoff,
             self.floor, self.query_id, most=self.blocks.rows * size,
         )

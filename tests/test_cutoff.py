@@ -97,7 +97,7 @@ def test_modes_drop_nan_and_none_drops_negative(spark):
     assert sorted(r.score for r in apply_cutoff(df, "none", FLOOR).collect()) == [0.0, 0.5]
     assert sorted(r.score for r in apply_cutoff(df, -0.5, FLOOR).collect()) == [-0.1, 0.0, 0.5]
     assert [r.score for r in apply_cutoff(df, "auto", FLOOR).collect()] == [0.5]
-    assert [r.score for r in apply_cutoff(df, "auto", FLOOR, bounded=False).collect()] == [0.5]
+    assert [r.score for r in apply_cutoff(df, "auto", FLOOR, pooled=True).collect()] == [0.5]
 
 
 def test_parse_cutoff():

@@ -9,7 +9,7 @@ from lumisift.functions.content import content_fingerprint, file_checksum
 from lumisift.functions.paths import base_name, extension, filter_extensions, prefix_filter
 from lumisift.plans.jobs import with_fingerprints
 from lumisift.sources.files import (
-    image_geometry, read_content, read_path_list, scan_files, scan_images, write_results,
+    image_geometry, pick_images, read_content, read_path_list, scan_files, scan_images, write_results,
 )
 
 
@@ -88,6 +88,26 @@ def test_images(spark, tmp_path):
     assert sorted(r.aspect for r in image_geometry(both).collect()) == [1.5, 1.5]
 
 
+def test_odd_names(spark, tmp_path):
+    names = {"a [1].png", "{b}.png", "c%20d.png", "é+.png", "e*f?.png"}
+    for name in names:
+        (tmp_path / name).write_bytes(png(1, 1, bytes([1, 2, 3])))
+    listed = scan_files(spark, str(tmp_path))
+    for images in (scan_images(spark, str(tmp_path)), pick_images(spark, str(tmp_path), listed)):
+        assert {os.path.basename(r.path) for r in images.collect()} == names
+
+
+def test_many_images_are_picked_from_a_scan(spark, tmp_path, monkeypatch):
+    from lumisift.sources import files
+
+    for i in range(4):
+        (tmp_path / f"{i}.png").write_bytes(png(1, 1, bytes([1, 2, 3])))
+    monkeypatch.setattr(files, "NAMED_PATHS", 1)
+    wanted = scan_files(spark, str(tmp_path)).where(~F.col("path").endswith("0.png"))
+    assert pick_images(spark, str(tmp_path), wanted).count() == 3
+    assert pick_images(spark, str(tmp_path), wanted.limit(0)).count() == 0
+
+
 def test_path_list_and_results(spark, tmp_path):
     (tmp_path / "list.txt").write_text("/a b.jpg\n\n/c.jpg\n")
     assert [tuple(r) for r in read_path_list(spark, str(tmp_path / "list.txt")).collect()] == [

@@ -77,7 +77,9 @@ def test_pool_limit_and_lines(spark):
     rows = [(q, i, 1.0 / (i + q)) for q in (1, 2) for i in range(1, 71)]
     scored = spark.createDataFrame(rows, "query_id long, image_id long, score double")
     assert candidate_pool(scored, "none", 10).groupBy("query_id").count().collect()[0]["count"] == 50
-    assert order_and_limit(scored, 0).count() == 140
+    for pooled in (True, False):
+        ranked = order_and_limit(scored, 0, pooled=pooled).collect()
+        assert len(ranked) == 140 and all(r["rank"] == r.image_id for r in ranked)
     manifest = spark.createDataFrame([(1, "/a/b/c.jpg"), (2, "/d")], "image_id long, path string")
     kept = order_and_limit(resolve_hits(scored, manifest), 5)
     assert kept.count() == 4

@@ -158,3 +158,33 @@ def test_reset(spark, store):
     assert store.manifest().count() == 0 and store.vectors().count() == 0
     run = ingest(store, listing(spark, ("/d/a", 1, 1, "h")), embedder, "/d", 2, update=False)
     assert run.indexed == 1 and live(store) == {"/d/a": (1, "h")}
+
+
+def test_ingest_images(spark, store, tmp_path):
+    import numpy as np
+
+    from lumisift.catalog.files import png
+    from lumisift.operators.search import search
+    from lumisift.plans.jobs import ingest_images
+
+    red, blue = bytes([255, 0, 0]) * 24, bytes([0, 0, 255]) * 24
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "red.png").write_bytes(png(6, 4, red))
+    (tmp_path / "sub" / "blue [1].PNG").write_bytes(png(6, 4, blue))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    (tmp_path / "note.txt").write_bytes(b"text")
+
+    def model():
+        return lambda pixels: pixels.mean(axis=(2, 3)) + 1.0
+
+    first = ingest_images(store, str(tmp_path), model, 3)
+    assert first.indexed == 2 and {p.rsplit("/", 1)[1] for p in live(store)} == {"red.png", "blue [1].PNG"}
+    assert ingest_images(store, str(tmp_path), model, 3).state.version == first.state.version
+    (tmp_path / "red.png").unlink()
+    (tmp_path / "{dark}.png").write_bytes(png(6, 4, bytes([200, 10, 0]) * 24))
+    second = ingest_images(store, str(tmp_path), model, 3)
+    assert (second.indexed, second.removed) == (1, 1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    got = search(asked, store.vectors(), store.manifest(), str(tmp_path), cutoff=0.5).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in got] == ["{dark}.png"]
+    assert np.isclose(got[0].score, 200 / np.hypot(200, 10), atol=1e-3)
