@@ -31,10 +31,19 @@ def _changed(spark: SparkSession, folder: str) -> DataFrame:
     return detect_changed(_listing(spark, folder).drop("content_hash"), stored(spark, folder))
 
 
-def fresh(spark: SparkSession, folder: str) -> DataFrame:
+def _stored_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest as a table on disk, for queries that read it several times."""
+    return materialize(stored(spark, folder), "manifest")
+
+
+def fresh(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
     """Files to be indexed: changed ones whose content is not known."""
-    changed = detect_changed(_listing(spark, folder), stored(spark, folder))
-    return skip_seen_content(materialize(changed, "changed"), stored(spark, folder))
+    changed = materialize(detect_changed(_listing(spark, folder), known), "changed")
+    return skip_seen_content(changed, known)
+
+
+def _fresh(spark: SparkSession, folder: str) -> DataFrame:
+    return fresh(spark, folder, _stored_table(spark, folder)).select("path", "content_hash")
 
 
 def _stale(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +52,7 @@ def _stale(spark: SparkSession, folder: str) -> DataFrame:
 
 def _plan(**options):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return ingest_plan(_listing(spark, folder), stored(spark, folder), "/corpus", **options)
+        return ingest_plan(_listing(spark, folder), _stored_table(spark, folder), "/corpus", **options)
 
     return query
 
@@ -53,8 +62,9 @@ def _counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _upsert(spark: SparkSession, folder: str) -> DataFrame:
-    batch = fresh(spark, folder).withColumn("vec_version", F.lit(2).cast("long"))
-    return upsert_manifest(stored(spark, folder), batch)
+    known = _stored_table(spark, folder)
+    batch = fresh(spark, folder, known).withColumn("vec_version", F.lit(2).cast("long"))
+    return upsert_manifest(known, materialize(batch, "batch"))
 
 
 def _remove(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +102,7 @@ QUERIES = {
     "content_fingerprint": _fingerprint,
     "file_checksum": _checksum,
     "detect_changed": _changed,
-    "skip_seen_content": lambda spark, folder: fresh(spark, folder).select("path", "content_hash"),
+    "skip_seen_content": _fresh,
     "detect_stale": _stale,
     "ingest_plan": _plan(),
     "ingest_plan_once_per_content": _plan(dedup_within_batch=True),

@@ -85,17 +85,22 @@ def assign_cells(vectors: DataFrame, centres: DataFrame | Block) -> DataFrame:
 
 
 def ivf_build(
-    vectors: DataFrame, path: str, cells: int = 64, centres: DataFrame | None = None, seed: int = 7
+    vectors: DataFrame,
+    path: str,
+    cells: int = 64,
+    centres: DataFrame | None = None,
+    seed: int = 7,
+    fraction: float = 1.0,
 ) -> IvfIndex:
     """Store ``vectors(image_id, embedding)`` by cell under ``path``.
 
-    Without ``centres(cell, embedding)`` they are fitted. A cell is written by as
+    Without ``centres(cell, embedding)`` they are fitted, on a ``fraction`` of the vectors. A cell is written by as
     many tasks as its size asks for, so a cell with a third of all rows neither
     fills one task nor one file.
     """
     spark = vectors.sparkSession
     if centres is None:
-        centres = fit_centres(vectors, cells, seed)
+        centres = fit_centres(vectors, cells, seed, fraction=fraction)
     centres.select(F.col("cell").cast("int"), F.col("embedding").cast("array<float>")).write.parquet(
         f"{path}/centres")
     block = _one_block(matrix_blocks(spark.read.parquet(f"{path}/centres"), "cell", "embedding"))
@@ -139,18 +144,24 @@ def _by_cell(asked: dict[int, np.ndarray]):
 
 @dataclass(frozen=True)
 class LshIndex:
-    """Vectors with one bucket number per hash table, and the hash model."""
+    """Vectors with one bucket number per hash table under ``path``, and the hash model."""
 
-    vectors: DataFrame
-    model: BucketedRandomProjectionLSHModel
-    tables: int
+    spark: SparkSession
+    path: str
 
+    def vectors(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/vectors")
 
-def _buckets(df: DataFrame, model: BucketedRandomProjectionLSHModel, tables: int) -> DataFrame:
+    def model(self) -> BucketedRandomProjectionLSHModel:
+        return BucketedRandomProjectionLSHModel.load(f"{self.path}/model")
+
+
+def _buckets(df: DataFrame, model: BucketedRandomProjectionLSHModel) -> DataFrame:
     points = df.withColumn("_point", array_to_vector(F.col("embedding").cast("array<double>")))
     hashed = model.transform(points)
     bucket = [
-        vector_to_array(F.col("_hashes")[i])[0].cast("int").alias(f"h{i}") for i in range(tables)
+        vector_to_array(F.col("_hashes")[i])[0].cast("int").alias(f"h{i}")
+        for i in range(model.getNumHashTables())
     ]
     return hashed.select(*df.columns, *bucket)
 
@@ -159,7 +170,6 @@ def lsh_build(
     vectors: DataFrame, path: str, bucket_length: float = 0.1, tables: int = 4, seed: int = 7
 ) -> LshIndex:
     """Store ``vectors(image_id, embedding)`` with their buckets ``h0, h1, ...`` under ``path``."""
-    spark = vectors.sparkSession
     lsh = BucketedRandomProjectionLSH(
         inputCol="_point", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables,
         seed=seed,
@@ -167,8 +177,9 @@ def lsh_build(
     # The hash functions depend on the dimension only: one row is enough to make them.
     one = vectors.limit(1).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("_point"))
     model = lsh.fit(one)
-    _buckets(vectors.select("image_id", "embedding"), model, tables).write.parquet(path)
-    return LshIndex(spark.read.parquet(path), model, tables)
+    model.write().save(f"{path}/model")
+    _buckets(vectors.select("image_id", "embedding"), model).write.parquet(f"{path}/vectors")
+    return LshIndex(vectors.sparkSession, path)
 
 
 def knn_lsh(
@@ -179,15 +190,16 @@ def knn_lsh(
     A bucket is never gathered: each task scores the rows it reads, so a bucket
     with a third of all rows is spread as widely as the rows are.
     """
-    names = [f"h{i}" for i in range(index.tables)]
-    hashed = _buckets(queries.select(query_id, "embedding"), index.model, index.tables)
+    model = index.model()
+    names = [f"h{i}" for i in range(model.getNumHashTables())]
+    hashed = _buckets(queries.select(query_id, "embedding"), model)
     scans = []
     for block in matrix_blocks(hashed, query_id, "embedding", extra=tuple(names)):
         asked = [block.extra[name] for name in names]
         shared = F.lit(False)
         for name, values in zip(names, asked):
             shared = shared | F.col(name).isin([int(v) for v in np.unique(values)])
-        near = index.vectors.where(shared)
+        near = index.vectors().where(shared)
         scans.append(scan_top(near, block, k, query_id, _by_bucket(names, asked), tuple(names)))
     return merge_top(union_all(scans), k, query_id)
 

@@ -26,7 +26,7 @@ MAX_TOKENS = 64
 
 # A vocabulary or merge list is a model parameter that every task holds.
 TABLE_ROWS = 4_000_000
-_REMEMBERED = 1_000_000
+_REMEMBERED = 200_000
 
 
 def resolve_merges(merges: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -52,13 +52,20 @@ class Encoder:
 
     chars: dict[str, int]
     rules: dict[tuple[int, int], tuple[int, int]]
-    crossings: np.ndarray
+    crossings: np.ndarray | None
     pad: int
     unk: int
     seen: dict[str, list[int]] = field(default_factory=dict)
 
+    def tables(self) -> tuple:
+        """What another encoder is made of."""
+        return self.chars, self.rules, self.crossings, self.pad, self.unk
+
     def pieces(self, text: str) -> Iterator[str]:
         """Cut ``text`` wherever no rule can join the neighbours."""
+        if self.crossings is None:
+            yield text
+            return
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         joined = (codes[:-1] << 21) | codes[1:]
         cuts = np.flatnonzero(~np.isin(joined, self.crossings)) + 1
@@ -122,31 +129,23 @@ def _bounded(df: DataFrame, what: str) -> pd.DataFrame:
 def load_encoder(vocab: DataFrame, rules: DataFrame) -> Encoder:
     """Collect ``vocab(token, id)`` and resolved merges into the form that tasks use."""
     tokens = _bounded(vocab.select("token", "id"), "vocabulary")
-    ids = dict(zip(tokens["token"], tokens["id"].astype(int)))
+    ids = dict(zip(tokens["token"], tokens["id"].astype(int).tolist()))
     text = {i: t for t, i in ids.items()}
     pad, unk = ids.get(PAD_TOKEN, PAD_DEFAULT), ids.get(UNK_TOKEN, UNK_DEFAULT)
+    chars = {t: i for t, i in ids.items() if len(t) == 1}
     table: dict[tuple[int, int], tuple[int, int]] = {}
     crossings: set[int] = set()
-    cuttable = len(text) == len(ids)
+    # A rule on the unknown token can join anything: then no border is safe.
+    borders = len(text) == len(ids)
     columns = ["left_id", "right_id", "rank", "merged_id"]
     for left, right, rank, merged in _bounded(rules.select(*columns), "merge list").itertuples(index=False):
         left, right = int(left), int(right)
         table[left, right] = (int(rank), unk if pd.isna(merged) else int(merged))
-        cuttable = cuttable and unk not in (left, right) and bool(text[left]) and bool(text[right])
-        if cuttable:
+        borders = borders and unk not in (left, right) and bool(text[left]) and bool(text[right])
+        if borders:
             crossings.add((ord(text[left][-1]) << 21) | ord(text[right][0]))
-    # A rule on the unknown token can join anything: then no border is safe.
-    chars = {t: i for t, i in ids.items() if len(t) == 1}
-    known = np.array(sorted(crossings), dtype=np.int64) if cuttable else None
-    encoder = Encoder(chars, table, known, pad, unk)
-    return encoder if cuttable else WholeText(chars, table, np.empty(0, np.int64), pad, unk)
-
-
-class WholeText(Encoder):
-    """An encoder whose rules may join any two neighbours."""
-
-    def pieces(self, text: str) -> Iterator[str]:
-        yield text
+    known = np.array(sorted(crossings), dtype=np.int64) if borders else None
+    return Encoder(chars, table, known, pad, unk)
 
 
 def bpe_encode(
@@ -161,10 +160,12 @@ def bpe_encode(
 
     The whole text is merged before the ids are cut.
     """
-    encoder = load_encoder(vocab, rules)
+    tables = load_encoder(vocab, rules).tables()
+    shared = df.sparkSession.sparkContext.broadcast(tables)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(*shared.value)
         for series in texts:
             yield series.map(lambda text: _fit(encoder.encode(text or ""), max_len, encoder.pad))
 

@@ -9,7 +9,6 @@ ids and then per query, so that no task has to merge the output of all others.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -18,10 +17,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lumisift.functions.vectors import SCORE_DIGITS, score
 from lumisift.plans.blocks import Block, Blocks, matrix_blocks, vector_rows
-from lumisift.plans.skew import group_join, lookup_join
+from lumisift.plans.size import is_small
+from lumisift.plans.skew import ONE_TASK_BYTES, group_join, lookup_join
 
 MERGE_SLICES = 64
-_SCORES_AT_ONCE = 2_000_000
+_SCORES_AT_ONCE = 8_000_000
+_CANDIDATES = 100_000
 _SLACK = 10.0 ** -(SCORE_DIGITS - 1)
 
 # Given the rows of one Arrow batch, the (queries, rows) index pairs to be scored
@@ -29,43 +30,51 @@ _SLACK = 10.0 ** -(SCORE_DIGITS - 1)
 Matcher = Callable[[pa.RecordBatch, np.ndarray], Iterator[tuple[np.ndarray | None, np.ndarray | None]]]
 
 
-@dataclass
 class Best:
-    """The best rows so far, at most k per query, ordered by query, score and id."""
+    """The best k rows per query of those added so far.
 
-    k: int
-    query: np.ndarray
-    ids: np.ndarray
-    score: np.ndarray
-    bar: np.ndarray
+    Candidates are collected and cut back to k per query now and then. In between
+    ``bar`` keeps out what cannot be among them: each query has seen k scores that
+    reach it.
+    """
 
-    @staticmethod
-    def empty(queries: int, k: int) -> Best:
-        none = np.empty(0, np.int64)
-        return Best(k, none, none, np.empty(0), np.full(queries, -np.inf))
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.bar = np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        self.enough = max(queries * k, _CANDIDATES)
 
     def add(self, which: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Take in ``scores[i, j]`` of query ``which[i]`` and row ``ids[j]``."""
-        bar = self.bar[which]
         if scores.shape[1] > self.k:
             place = scores.shape[1] - self.k
             clean = np.where(np.isnan(scores), -np.inf, scores)
-            bar = np.maximum(bar, np.partition(clean, place, axis=1)[:, place])
-        # NaN compares as false; -inf marks a pair that is not to be scored.
-        rows, cols = np.nonzero((scores >= bar[:, None] - _SLACK) & (scores > -np.inf))
-        if not rows.size:
-            return
-        query = np.concatenate([self.query, which[rows]])
-        found = np.concatenate([self.ids, ids[cols]])
-        score = np.concatenate([self.score, np.round(scores[rows, cols], SCORE_DIGITS)])
-        order = np.lexsort((found, -score, query))
-        query, found, score = query[order], found[order], score[order]
-        starts = np.searchsorted(query, query, side="left")
-        place = np.arange(query.size) - starts
+            kth = np.partition(clean, place, axis=1)[:, place]
+            self.bar[which] = np.maximum(self.bar[which], kth)
+        # NaN compares as false.
+        rows, cols = np.nonzero(scores >= self.bar[which][:, None] - _SLACK)
+        if rows.size:
+            rounded = np.round(scores[rows, cols], SCORE_DIGITS)
+            self.parts.append((which[rows], ids[cols], rounded))
+            self.waiting += rows.size
+            if self.waiting > self.enough:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best as ``(query, id, score)``, ordered by query, score and id."""
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        query, ids, score = (np.concatenate(column) for column in zip(*self.parts))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        place = np.arange(query.size) - np.searchsorted(query, query, side="left")
+        last = place == self.k - 1
+        self.bar[query[last]] = np.maximum(self.bar[query[last]], score[last])
         kept = place < self.k
-        full = place == self.k - 1
-        self.bar[query[full]] = score[full]
-        self.query, self.ids, self.score = query[kept], found[kept], score[kept]
+        best = query[kept], ids[kept], score[kept]
+        self.parts, self.waiting = [best], 0
+        return best
 
 
 def scan_top(
@@ -87,7 +96,7 @@ def scan_top(
     dim = queries.shape[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best.empty(len(keys), k)
+        best = Best(len(keys), k)
         everyone = np.arange(len(keys))
         for batch in batches:
             matrix, kept = vector_rows(batch.column("embedding"), dim)
@@ -100,10 +109,9 @@ def scan_top(
                 for low in range(0, len(rows), step):
                     part = rows[low:low + step]
                     best.add(which, ids[part], queries[which] @ matrix[part].T)
+        which, ids, score = best.cut()
         yield pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(best.query)), pa.array(best.ids), pa.array(best.score)],
-            names=schema.fieldNames(),
-        )
+            [keys.take(pa.array(which)), pa.array(ids), pa.array(score)], names=schema.fieldNames())
 
     return vectors.select("image_id", "embedding", *carry).mapInArrow(scan, schema)
 
@@ -115,8 +123,14 @@ def _spark_type(arrow_type: pa.DataType) -> T.DataType:
 
 
 def merge_top(scored: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
-    """Best k rows per query, ``rank`` from 1: score descending, then image_id."""
+    """Best k rows per query, ``rank`` from 1: score descending, then image_id.
+
+    Unless there are few rows, slices of a query are cut to k before they meet.
+    """
     best = [F.desc("score"), F.asc("image_id")]
+    overall = Window.partitionBy(query_id).orderBy(*best)
+    if is_small(scored, ONE_TASK_BYTES):
+        return scored.withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= k)
     slices = scored.withColumn(
         "_slice", F.pmod(F.xxhash64("image_id"), F.lit(MERGE_SLICES)).cast("int")
     )
@@ -126,7 +140,6 @@ def merge_top(scored: DataFrame, k: int, query_id: str = "query_id") -> DataFram
         .where(F.col("_place") <= k)
         .drop("_place", "_slice")
     )
-    overall = Window.partitionBy(query_id).orderBy(*best)
     return partial.withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= k)
 
 

@@ -9,7 +9,7 @@ A version counts only once its row is in ``commits``, and that row is written la
 A run that dies before that leaves folders that no reader looks at and that the next
 run overwrites. A ``delta`` version holds changed rows only, so that adding a few
 files to a large index writes a few rows; :meth:`IndexStore.compact` writes a ``full``
-version with everything in it.
+version with everything in it. One run writes to an index at a time.
 """
 
 from __future__ import annotations
@@ -178,13 +178,19 @@ class IndexStore:
         """Add ``vectors(image_id, embedding)``; one vector is never appended in part."""
         return self.commit(vectors=vectors)
 
-    def compact(self) -> State:
-        """Write the current manifest and the vectors of its live rows as a full version."""
+    def compact(self, vectors: bool = True) -> State:
+        """Write the current manifest, and the vectors of its live rows, as a full version.
+
+        ``vectors=False`` folds the manifest alone, which is cheap: do it now and then
+        during long streams of small batches.
+        """
         state = self.state()
         manifest = self.manifest(state)
+        if not vectors:
+            return self.commit(rows=manifest, full=True, state=state)
         live = live_rows(manifest).select("image_id")
-        vectors = self.vectors(state).join(live, "image_id", "left_semi")
-        return self.commit(rows=manifest, vectors=vectors, full=True, state=state)
+        kept = self.vectors(state).join(live, "image_id", "left_semi")
+        return self.commit(rows=manifest, vectors=kept, full=True, state=state)
 
     def reset(self) -> State:
         """Drop all rows and vectors of every directory; ids start from 1 again."""

@@ -102,6 +102,12 @@ def test_ingest_runs(spark, store):
     assert sorted(current) == [1, 2, 3, 4]
     assert live_at(store, 1) == {"/d/a", "/d/b"}
 
+    folded = store.compact(vectors=False)
+    assert (folded.version, folded.base, folded.replaced) == (3, 3, 1)
+    assert live(store) == {"/d/a": (1, "hhh"), "/d/c": (3, "hhhh"), "/d/d": (4, "hhhh")}
+    assert {r.image_id: r.embedding for r in store.vectors().collect()}[1][0] == pytest.approx(
+        3 / 10 ** 0.5)
+
     compact = store.compact()
     assert compact.replaced == 0 and store.manifest().count() == 4
     assert sorted(r.image_id for r in store.vectors().collect()) == [1, 3, 4]

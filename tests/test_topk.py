@@ -30,7 +30,10 @@ def rows(df):
 @pytest.mark.parametrize("block_rows", [4096, 3])
 def test_knn_equals_brute_force(spark, vectors, queries, monkeypatch, block_rows):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", block_rows)
-    monkeypatch.setattr(topk, "_SCORES_AT_ONCE", 100)
+    if block_rows == 3:
+        monkeypatch.setattr(topk, "_SCORES_AT_ONCE", 100)
+        monkeypatch.setattr(topk, "_CANDIDATES", 5)
+        monkeypatch.setattr(topk, "ONE_TASK_BYTES", 0)
     rng = np.random.default_rng(3)
     points = dict(enumerate(unit(rng, 300), 1))
     points.update({1000 + i: points[5] for i in range(40)})
@@ -60,7 +63,8 @@ def test_empty_sides(vectors, queries):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(-3, 3), min_size=1, max_size=7), min_size=1, max_size=6), st.integers(1, 5))
 def test_best_keeps_the_best(parts, k):
-    best = Best.empty(1, k)
+    best = Best(1, k)
+    best.enough = 4
     every, at = [], 0
     for part in parts:
         ids = np.arange(at, at + len(part))[::-1].copy()
@@ -68,7 +72,7 @@ def test_best_keeps_the_best(parts, k):
         best.add(np.array([0]), ids, np.array([part], float))
         every += zip([-float(p) for p in part], ids.tolist())
     want = [(i, -s) for s, i in sorted(every)[:k]]
-    assert list(zip(best.ids.tolist(), best.score.tolist())) == want
+    assert list(zip(*(c.tolist() for c in best.cut()[1:]))) == want
 
 
 def test_score_pairs(spark, vectors, queries):
