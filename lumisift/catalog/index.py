@@ -48,11 +48,10 @@ def _missing(spark: SparkSession, folder: str) -> DataFrame:
 
 def _reset(spark: SparkSession, folder: str) -> DataFrame:
     store = _new_store(spark)
-    full = store.commit(
-        rows=image_manifest(spark, folder).select(
-            "image_id", "path", F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"),
-            F.col("path").alias("content_hash"), F.lit(1).cast("long").alias("vec_version")),
-        vectors=image_vectors(spark, folder), full=True)
+    rows = image_manifest(spark, folder).select(
+        "image_id", "path", F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"),
+        F.col("path").alias("content_hash"), F.lit(1).cast("long").alias("vec_version"))
+    full = store.write_manifest(rows, image_vectors(spark, folder))
     empty = store.reset()
     return _sizes(store, full.version, "before").unionByName(_sizes(store, empty.version, "after"))
 

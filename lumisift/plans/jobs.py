@@ -89,35 +89,36 @@ def ingest(
     embedded = valid_vectors(embedder(fresh), dim).select(
         *columns[:-1], F.col("embedding").cast("array<float>"))
     embedded = materialize(embedded, "embedded")
-    version = state.version + 1
-    numbered = assign_ids(embedded.drop("embedding"), manifest, state.max_image_id)
-    numbered = materialize(numbered.withColumn("vec_version", F.lit(version).cast("long")), "numbered")
-    counts = numbered.agg(
-        F.count("*").alias("indexed"),
-        F.count_if(F.col("image_id") <= state.max_image_id).alias("replaced"),
-        F.coalesce(F.max("image_id"), F.lit(0)).alias("last"),
-    ).first()
-
-    rows = numbered.select(*MANIFEST.fieldNames())
+    rows = assign_ids(embedded.drop("embedding"), manifest, state.max_image_id)
+    rows = rows.select(
+        *rows.columns, F.lit(state.version + 1).cast("long").alias("vec_version"),
+        (F.col("image_id") <= state.max_image_id).alias("voids"))
     if refresh_mtime:
-        rows = rows.unionByName(_touched(candidates, rows, manifest))
-    removed = 0
+        rows = rows.unionByName(_touched(candidates, embedded, manifest))
     if stale is not None:
-        gone = materialize(tombstones(stale), "gone")
-        removed = gone.count()
-        rows = rows.unionByName(gone)
-    if counts["indexed"] == 0 and removed == 0 and (not refresh_mtime or rows.isEmpty()) and not source:
+        rows = rows.unionByName(tombstones(stale).withColumn("voids", F.lit(False)))
+    # The staged rows are not visible yet; the counts and the vectors' ids come from them.
+    staged = store.stage(rows, state)
+    is_new = F.col("vec_version") > state.version
+    counts = staged.agg(
+        F.count("*").alias("rows"),
+        F.count_if(is_new).alias("indexed"),
+        F.count_if(F.col("path") == "").alias("removed"),
+        F.count_if("voids").alias("voided"),
+        F.coalesce(F.max("image_id"), F.lit(0)).alias("last"),
+    ).first()
+    if counts["rows"] == 0 and not source:
         return IngestRun(state, 0, 0)
-    vectors = embedded.select("path", "embedding").join(numbered.select("path", "image_id"), "path")
+    vectors = None
+    if counts["indexed"]:
+        ids = staged.where(is_new).select("path", "image_id")
+        vectors = embedded.select("path", "embedding").join(ids, "path").drop("path")
     committed = store.commit(
-        rows=rows,
-        vectors=vectors.drop("path") if counts["indexed"] else None,
-        replaced=numbered.where(F.col("image_id") <= state.max_image_id) if counts["replaced"] else None,
-        full=state.version == 0,
-        indexed=counts["indexed"], removed=removed, source=source,
-        state=state, max_image_id=max(state.max_image_id, counts["last"]),
+        state, vectors, full=state.version == 0,
+        max_image_id=max(state.max_image_id, counts["last"]), voided=counts["voided"],
+        indexed=counts["indexed"], removed=counts["removed"], source=source,
     )
-    return IngestRun(committed, counts["indexed"], removed)
+    return IngestRun(committed, counts["indexed"], counts["removed"])
 
 
 def _touched(candidates: DataFrame, written: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -125,7 +126,8 @@ def _touched(candidates: DataFrame, written: DataFrame, manifest: DataFrame) ->
     now = candidates.join(written.select("path"), "path", "left_anti").select(
         "path", "size", "content_hash", F.col("mtime").alias("_now"))
     same = live_rows(asked_for(manifest, now, "path")).join(now, ["path", "size", "content_hash"])
-    return same.withColumn("mtime", F.col("_now")).select(*MANIFEST.fieldNames())
+    return same.withColumn("mtime", F.col("_now")).select(
+        *MANIFEST.fieldNames(), F.lit(False).alias("voids"))
 
 
 def ingest_images(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 DISK = T.StructType([
     T.StructField("path", T.StringType()),
@@ -31,7 +33,7 @@ COMMITS = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("max_image_id", T.LongType()),
     T.StructField("first_vectors", T.LongType()),
-    T.StructField("replaced", T.LongType()),
+    T.StructField("voided", T.LongType()),
     T.StructField("indexed", T.LongType()),
     T.StructField("removed", T.LongType()),
     T.StructField("source", T.StringType()),
@@ -48,3 +50,8 @@ def require(df: DataFrame, schema: T.StructType) -> DataFrame:
                 f"found {found.get(field.name)}"
             )
     return df.select(*schema.fieldNames())
+
+
+def small_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """A few rows as a local relation, whose size the optimizer knows."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(schema)), schema)

@@ -2,7 +2,6 @@
 
     <root>/manifest/version=N   rows written by version N
     <root>/vectors/version=N    vectors written by version N
-    <root>/replaced/version=N   images whose older vectors version N made void
     <root>/commits              one row per committed version
 
 A version counts only once its row is in ``commits``, and that row is written last.
@@ -14,16 +13,17 @@ version with everything in it. One run writes to an index at a time.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lumisift.operators.ingest import live_rows
-from lumisift.schema import COMMITS, MANIFEST, VECTORS, require
+from lumisift.schema import COMMITS, MANIFEST, VECTORS, require, small_table
 
 _VERSIONED = T.StructField("version", T.LongType())
-_REPLACED = T.StructType([T.StructField("image_id", T.LongType())])
+# Rows of the manifest folders: ``voids`` marks an image whose older vector is void.
+_STAGED = T.StructType([*MANIFEST.fields, T.StructField("voids", T.BooleanType())])
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class State:
     base: int = 0
     max_image_id: int = 0
     first_vectors: int = 0
-    replaced: int = 0
+    voided: int = 0
 
 
 class IndexStore:
@@ -59,7 +59,7 @@ class IndexStore:
             F.coalesce(F.max(full), F.lit(0)).alias("base"),
             F.max_by("max_image_id", "version").alias("max_image_id"),
             F.max_by("first_vectors", "version").alias("first_vectors"),
-            F.max_by("replaced", "version").alias("replaced"),
+            F.max_by("voided", "version").alias("voided"),
         ).first()
         return State() if row["version"] is None else State(**row.asDict())
 
@@ -69,7 +69,7 @@ class IndexStore:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return small_table(self.spark, [], schema)
 
     def _versions(self, table: str, schema: T.StructType, first: int, last: int) -> DataFrame:
         rows = self._read(table, T.StructType([*schema.fields, _VERSIONED]))
@@ -98,11 +98,11 @@ class IndexStore:
         """``(image_id, embedding)``; of a re-embedded image the newest vector only."""
         state = self._at(at)
         rows = self._versions("vectors", VECTORS, state.first_vectors, state.version)
-        if state.replaced == 0:
+        if state.voided == 0:
             return rows.drop("version")
         newest = (
-            self._versions("replaced", _REPLACED, state.first_vectors, state.version)
-            .groupBy("image_id").agg(F.max("version").alias("_newest"))
+            self._versions("manifest", _STAGED, state.first_vectors, state.version)
+            .where("voids").groupBy("image_id").agg(F.max("version").alias("_newest"))
         )
         return (
             rows.join(newest, "image_id", "left")
@@ -122,61 +122,60 @@ class IndexStore:
         """Those of ``ids(image_id)`` that have no vector."""
         return ids.select("image_id").join(self.vectors(), "image_id", "left_anti")
 
+    def stage(self, rows: DataFrame, state: State) -> DataFrame:
+        """Write manifest ``rows`` of the version after ``state``, not yet committed; those rows.
+
+        A true ``voids`` marks images among them that come with a new vector.
+        """
+        if "voids" not in rows.columns:
+            rows = rows.withColumn("voids", F.lit(False))
+        folder = f"{self.root}/manifest/version={state.version + 1}"
+        require(rows, _STAGED).write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(_STAGED).parquet(folder)
+
     def commit(
         self,
-        rows: DataFrame | None = None,
+        state: State,
         vectors: DataFrame | None = None,
         full: bool = False,
+        max_image_id: int | None = None,
+        voided: int = 0,
         indexed: int = 0,
         removed: int = 0,
-        replaced: DataFrame | None = None,
         source: str = "",
-        state: State | None = None,
-        max_image_id: int | None = None,
     ) -> State:
-        """Write one version: manifest ``rows`` and new ``vectors(image_id, embedding)``.
+        """Commit the version after ``state`` with its staged rows and ``vectors(image_id, embedding)``.
 
-        ``replaced(image_id)`` lists images among them whose older vector is void.
         ``full`` says that the rows are the whole manifest and the vectors, if given,
-        the whole vector table. Nothing is written when there is nothing to write.
+        the whole vector table.
         """
-        state = state or self.state()
-        if rows is None and vectors is None and not full:
-            return state
         version = state.version + 1
+        after = replace(state, version=version, voided=state.voided + voided)
+        if max_image_id is not None:
+            after = replace(after, max_image_id=max_image_id)
+        if full:
+            after = replace(after, base=version)
         if vectors is not None:
             require(vectors, VECTORS).write.mode("overwrite").parquet(
                 f"{self.root}/vectors/version={version}")
-        if rows is not None:
-            require(rows, MANIFEST).write.mode("overwrite").parquet(
-                f"{self.root}/manifest/version={version}")
-        voided = 0
-        if replaced is not None:
-            folder = f"{self.root}/replaced/version={version}"
-            replaced.select("image_id").write.mode("overwrite").parquet(folder)
-            voided = self.spark.read.schema(_REPLACED).parquet(folder).count()
-        if max_image_id is None:
-            max_image_id = state.max_image_id
-            if rows is not None:
-                written = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/version={version}")
-                max_image_id = max(max_image_id, written.agg(F.max("image_id")).first()[0] or 0)
-        if full and vectors is not None:
-            first_vectors, void = version, 0
-        else:
-            first_vectors, void = state.first_vectors, state.replaced + voided
-        kind = "full" if full else "delta"
-        row = (version, kind, max_image_id, first_vectors, void, indexed, removed, source)
-        self.spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("append").parquet(
+            if full:
+                after = replace(after, first_vectors=version, voided=0)
+        row = asdict(after) | {
+            "kind": "full" if full else "delta", "indexed": indexed, "removed": removed, "source": source}
+        small_table(self.spark, [row], COMMITS).coalesce(1).write.mode("append").parquet(
             f"{self.root}/commits")
-        return State(version, version if full else state.base, max_image_id, first_vectors, void)
+        return after
 
-    def write_manifest(self, rows: DataFrame) -> State:
-        """Replace the whole manifest by ``rows``."""
-        return self.commit(rows=rows, full=True)
+    def write_manifest(self, rows: DataFrame, vectors: DataFrame | None = None) -> State:
+        """Replace the whole manifest by ``rows``, and with ``vectors`` the whole vector table."""
+        state = self.state()
+        staged = self.stage(rows, state)
+        last = staged.agg(F.coalesce(F.max("image_id"), F.lit(0))).first()[0]
+        return self.commit(state, vectors, True, max(state.max_image_id, last))
 
     def append_vectors(self, vectors: DataFrame) -> State:
-        """Add ``vectors(image_id, embedding)``; one vector is never appended in part."""
-        return self.commit(vectors=vectors)
+        """Add ``vectors(image_id, embedding)``."""
+        return self.commit(self.state(), vectors)
 
     def compact(self, vectors: bool = True) -> State:
         """Write the current manifest, and the vectors of its live rows, as a full version.
@@ -186,13 +185,15 @@ class IndexStore:
         """
         state = self.state()
         manifest = self.manifest(state)
-        if not vectors:
-            return self.commit(rows=manifest, full=True, state=state)
-        live = live_rows(manifest).select("image_id")
-        kept = self.vectors(state).join(live, "image_id", "left_semi")
-        return self.commit(rows=manifest, vectors=kept, full=True, state=state)
+        kept = None
+        if vectors:
+            live = live_rows(manifest).select("image_id")
+            kept = self.vectors(state).join(live, "image_id", "left_semi")
+        self.stage(manifest, state)
+        return self.commit(state, kept, full=True)
 
     def reset(self) -> State:
         """Drop all rows and vectors of every directory; ids start from 1 again."""
-        empty = self.spark.createDataFrame([], MANIFEST), self.spark.createDataFrame([], VECTORS)
-        return self.commit(rows=empty[0], vectors=empty[1], full=True, max_image_id=0)
+        state = self.state()
+        self.stage(small_table(self.spark, [], MANIFEST), state)
+        return self.commit(state, small_table(self.spark, [], VECTORS), full=True, max_image_id=0)

@@ -118,7 +118,7 @@ class LiveTopK:
             return
         size = pool_size(self.cutoff, self.limit)
         follows = self.state and before.version == self.state.version
-        if follows and after.replaced == before.replaced and after.base == before.base:
+        if follows and after.voided == before.voided and after.base == before.base:
             added = store.added_vectors(before.version, after.version)
             found = knn_exact(self.blocks, added, size, self.query_id)
             pools = merge_top(self.pools.drop("rank").unionByName(found.drop("rank")), size, self.query_id)

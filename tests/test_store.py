@@ -1,12 +1,12 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from lumisift.functions.vectors import l2_normalize
 from lumisift.plans.jobs import ingest
 from lumisift.plans.scratch import scratch_path
-from lumisift.schema import MANIFEST, VECTORS, require
+from lumisift.schema import DISK, MANIFEST, VECTORS, require, small_table
 from lumisift.sources.store import IndexStore
 
 
@@ -16,7 +16,7 @@ def store(spark):
 
 
 def rows(spark, *values):
-    return spark.createDataFrame(list(values), MANIFEST)
+    return small_table(spark, [dict(zip(MANIFEST.fieldNames(), v)) for v in values], MANIFEST)
 
 
 def test_new_index_is_empty(store):
@@ -31,8 +31,8 @@ def test_round_trip(spark, store):
     assert [tuple(r) for r in IndexStore(spark, store.root).manifest().collect()] == [value]
 
 
-def test_nothing_to_write_writes_nothing(store):
-    assert store.commit().version == 0
+def test_reading_writes_nothing(store):
+    assert store.vectors().count() == 0 and store.missing_vectors(store.vectors()).count() == 0
     assert not os.path.exists(store.root)
 
 
@@ -55,19 +55,22 @@ def test_vectors_append_and_read(spark, store, vectors):
 
 
 def test_uncommitted_version_is_invisible_and_overwritten(spark, store, vectors):
-    store.commit(rows=rows(spark, (1, "/a", 1, 1, "h1", 1)), vectors=vectors({1: [1, 0]}), full=True)
+    first = store.write_manifest(rows(spark, (1, "/a", 1, 1, "h1", 1)), vectors({1: [1, 0]}))
     # A run that died after writing its folders, before its commit row.
     rows(spark, (2, "/lost", 1, 1, "h2", 2)).write.parquet(f"{store.root}/manifest/version=2")
     vectors({2: [0, 1]}).write.parquet(f"{store.root}/vectors/version=2")
     assert [r.path for r in store.manifest().collect()] == ["/a"]
     assert store.vectors().count() == 1
-    store.commit(rows=rows(spark, (2, "/b", 1, 1, "h3", 2)), vectors=vectors({2: [1, 1]}))
+    assert store.state() == first
+    store.stage(rows(spark, (2, "/b", 1, 1, "h3", 2)), first)
+    store.commit(first, vectors({2: [1, 1]}))
     assert sorted(r.path for r in store.manifest().collect()) == ["/a", "/b"]
     assert sorted(r.embedding for r in store.vectors().collect()) == [[1.0, 0.0], [1.0, 1.0]]
 
 
 def listing(spark, *rows):
-    return spark.createDataFrame(list(rows), "path string, mtime long, size long, content_hash string")
+    schema = T.StructType([*DISK.fields, T.StructField("content_hash", T.StringType())])
+    return small_table(spark, [dict(zip(schema.fieldNames(), r)) for r in rows], schema)
 
 
 def by_hash(calls):
@@ -96,20 +99,20 @@ def test_ingest_runs(spark, store):
         spark, ("/d/a", 2, 2, "hhh"), ("/d/c", 1, 1, "hhhh"), ("/d/d", 1, 1, "hhhh")), embedder, "/d", 2)
     assert (third.indexed, third.removed) == (3, 1)
     assert live(store) == {"/d/a": (1, "hhh"), "/d/c": (3, "hhhh"), "/d/d": (4, "hhhh")}
-    assert store.state().max_image_id == 4 and store.state().replaced == 1
+    assert store.state().max_image_id == 4 and store.state().voided == 1
     current = {r.image_id: r.embedding[0] / r.embedding[1] for r in store.vectors().collect()}
     assert current[1] == pytest.approx(3.0)
     assert sorted(current) == [1, 2, 3, 4]
     assert live_at(store, 1) == {"/d/a", "/d/b"}
 
     folded = store.compact(vectors=False)
-    assert (folded.version, folded.base, folded.replaced) == (3, 3, 1)
+    assert (folded.version, folded.base, folded.voided) == (3, 3, 1)
     assert live(store) == {"/d/a": (1, "hhh"), "/d/c": (3, "hhhh"), "/d/d": (4, "hhhh")}
     assert {r.image_id: r.embedding for r in store.vectors().collect()}[1][0] == pytest.approx(
         3 / 10 ** 0.5)
 
     compact = store.compact()
-    assert compact.replaced == 0 and store.manifest().count() == 4
+    assert compact.voided == 0 and store.manifest().count() == 4
     assert sorted(r.image_id for r in store.vectors().collect()) == [1, 3, 4]
     back = ingest(store, listing(spark, ("/d/a", 2, 2, "hhh"), ("/d/c", 1, 1, "hhhh"), ("/d/d", 1, 1, "hhhh"),
                                  ("/d/b", 1, 1, "hh")), embedder, "/d", 2)
