@@ -1,4 +1,7 @@
-"""Every operator as a query over the given tables, most with the same result in SQL."""
+"""Every operator as a query over the given tables, most with the same result in SQL.
+
+The SQL adds 0.0 to rounded numbers because Spark rounds to 0.0 what SQL rounds to -0.0.
+"""
 
 from lumisift.catalog import files, index, manifest, model, search, vectors
 

@@ -126,7 +126,7 @@ QUERIES = {
 SQL = {
     "read_write_manifest": f"WITH {DISK_SQL} SELECT * FROM manifest",
     "append_read_vectors": """
-SELECT vec_id + 1 AS image_id, (i - 1)::INTEGER AS pos, round(embedding[i]::DOUBLE, 4) AS x
+SELECT vec_id + 1 AS image_id, (i - 1)::INTEGER AS pos, round(embedding[i]::DOUBLE, 4) + 0.0 AS x
 FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)""",
     "missing_vectors": "SELECT vec_id + 1 AS image_id FROM embeddings WHERE label >= 5",
     "reset_index": """
@@ -141,5 +141,5 @@ FROM upserted""",
     "stream_ingest": f"WITH {DISK_SQL} SELECT path, mtime, size, content_hash FROM upserted",
     "live_topk": f"""
 WITH {IMAGES_SQL}, {search_sql(500, FLOOR_1)}
-SELECT query_id, rank, path, round(score, 4) AS score FROM result""",
+SELECT query_id, rank, path, round(score, 4) + 0.0 AS score FROM result""",
 }

@@ -10,7 +10,9 @@ from lumisift.catalog.tables import (
 )
 from lumisift.catalog.vectors import FLOOR_1, otsu_sql
 from lumisift.functions.paths import prefix_filter
-from lumisift.operators.ann import ivf_build, knn_ivf, knn_lsh, lsh_build, recall_at_k
+from lumisift.operators.ann import (
+    IvfIndex, ivf_build, knn_ivf, knn_lsh, lsh_build, recall_at_k, search_ivf,
+)
 from lumisift.operators.reduce import centroids
 from lumisift.operators.search import (
     candidate_pool, decorate_results, order_and_limit, resolve_hits, search,
@@ -88,18 +90,28 @@ def _search_text(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(found, "query_id", "rank", "path")
 
 
+def _label_cells(spark: SparkSession, folder: str) -> IvfIndex:
+    """Cells around the label centres."""
+    centres = centroids(images(spark, folder), "label").select(F.col("label").alias("cell"), "embedding")
+    return ivf_build(image_vectors(spark, folder), scratch_path(spark, "ivf"), centres=centres)
+
+
 def _ivf(nprobe: int):
-    """Cells around the label centres, asked with the benchmark texts."""
+    """Images near the benchmark texts."""
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        centres = centroids(images(spark, folder), "label").select(F.col("label").alias("cell"), "embedding")
-        index = ivf_build(image_vectors(spark, folder), scratch_path(spark, "ivf"), centres=centres)
-        found = knn_ivf(_text_queries(spark, folder), index, 10, nprobe)
+        found = knn_ivf(_text_queries(spark, folder), _label_cells(spark, folder), 10, nprobe)
         return _rounded(found, "query_id", "rank", "image_id")
 
     return query
 
 
+def _search_ivf(spark: SparkSession, folder: str) -> DataFrame:
+    found = search_ivf(_text_queries(spark, folder), _label_cells(spark, folder),
+                       image_manifest(spark, folder), "/corpus", nprobe=3, sigmas=1.0)
+    return _rounded(found, "query_id", "rank", "path")
+
+
 def _ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
     vectors = image_vectors(spark, folder)
     queries = materialize(label_queries(spark, folder), "queries")
@@ -137,6 +149,7 @@ QUERIES = {
     "decorate_results": _decorate,
     "knn_ivf": _ivf(3),
     "knn_ivf_all_cells": _ivf(10),
+    "search_ivf": _search_ivf,
     "knn_ivf_recall": _ivf_recall,
     "knn_lsh": _lsh,
     "knn_lsh_recall": _lsh_recall,
@@ -163,8 +176,8 @@ result AS (
               else f"WHERE score >= {keep}"} {cut})"""
 
 
-_RESULT = "SELECT query_id, rank, path, round(score, 4) AS score FROM result"
-_NEAREST = "SELECT query_id, rank, image_id, round(score, 4) AS score"
+_RESULT = "SELECT query_id, rank, path, round(score, 4) + 0.0 AS score FROM result"
+_NEAREST = "SELECT query_id, rank, image_id, round(score, 4) + 0.0 AS score"
 
 _IVF_SQL = f"""
 WITH {IMAGES_SQL}, {text_vectors_sql("benchmark", "item_id", "t")},
@@ -176,15 +189,15 @@ probe AS (
   QUALIFY row_number() OVER (
     PARTITION BY item_id ORDER BY round(list_dot_product(t.e, q.e), 10) DESC, query_id) <= {{probes}}),
 near AS (
-  SELECT item_id AS query_id, image_id, round(list_dot_product(t.e, v.e), 10) AS score
-  FROM probe JOIN t USING (item_id) JOIN cell USING (cell) JOIN v USING (image_id))
-{_NEAREST} FROM ({_top_sql("near", 10)})"""
+  SELECT item_id AS query_id, image_id, path, round(list_dot_product(t.e, v.e), 10) AS score
+  FROM probe JOIN t USING (item_id) JOIN cell USING (cell) JOIN v USING (image_id))"""
+_IVF_NEAREST_SQL = f"{_IVF_SQL} {_NEAREST} FROM ({_top_sql('near', 10)})"
 
 SQL = {
     "knn_exact": f"WITH {IMAGES_SQL} {_NEAREST} FROM ({_top_sql('scored', 10)})",
     "candidate_pool": f"WITH {IMAGES_SQL} {_NEAREST} FROM ({_top_sql('own_scores', 50)})",
     "resolve_hits": f"""
-WITH {IMAGES_SQL} SELECT query_id, rank, path, round(score, 4) AS score
+WITH {IMAGES_SQL} SELECT query_id, rank, path, round(score, 4) + 0.0 AS score
 FROM ({_top_sql('scored', 20)}) WHERE label >= 3""",
     "order_and_limit": f"WITH {IMAGES_SQL} {_NEAREST} FROM ({_top_sql('own_scores', 7)})",
     "order_all": f"WITH {IMAGES_SQL} {_NEAREST} FROM (SELECT *, {_PLACE} AS rank FROM own_scores)",
@@ -210,6 +223,7 @@ SELECT query_id, rank, parse_filename(path) AS name,
        CASE WHEN score > 0 THEN printf('%.2f', score) END AS score_label,
        rank || '/' || count(*) OVER (PARTITION BY query_id) AS position
 FROM result""",
-    "knn_ivf": _IVF_SQL.replace("{probes}", "3"),
-    "knn_ivf_all_cells": _IVF_SQL.replace("{probes}", "10"),
+    "knn_ivf": _IVF_NEAREST_SQL.replace("{probes}", "3"),
+    "knn_ivf_all_cells": _IVF_NEAREST_SQL.replace("{probes}", "10"),
+    "search_ivf": f"{_IVF_SQL}, {search_sql(500, FLOOR_1, scores='near')} {_RESULT}".replace("{probes}", "3"),
 }

@@ -150,7 +150,7 @@ threshold AS (
 
 
 FLOOR_1 = "(1 / sqrt(64))"
-_ROUNDED = "SELECT query_id, image_id, round(score, 4) AS score"
+_ROUNDED = "SELECT query_id, image_id, round(score, 4) + 0.0 AS score"
 
 SQL = {
     "l2_normalize": """
@@ -158,14 +158,14 @@ WITH v AS (SELECT vec_id + 1 AS image_id, list_transform(embedding, lambda x: (x
            FROM embeddings),
 n AS (SELECT image_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v)
 SELECT image_id, (i - 1)::INTEGER AS pos,
-       round((CASE WHEN norm > 1e-6 THEN e[i] / norm ELSE e[i] END)::FLOAT::DOUBLE, 4) AS x
+       round((CASE WHEN norm > 1e-6 THEN e[i] / norm ELSE e[i] END)::FLOAT::DOUBLE, 4) + 0.0 AS x
 FROM n, unnest(range(1, len(e) + 1)) AS t(i)""",
-    "dot": f"WITH {IMAGES_SQL} SELECT image_id, round(list_dot_product(e, list_reverse(e)), 4) AS score FROM v",
+    "dot": f"WITH {IMAGES_SQL} SELECT image_id, round(list_dot_product(e, list_reverse(e)), 4) + 0.0 AS score FROM v",
     "valid_vectors": """
 SELECT vec_id + 1 AS image_id, CASE WHEN label IN (0, 1) THEN 'rejected' ELSE 'kept' END AS status
 FROM embeddings""",
     "mean_pool": f"""
-WITH {IMAGES_SQL} SELECT label, (i - 1)::INTEGER AS pos, round(x, 4) AS x FROM label_mean""",
+WITH {IMAGES_SQL} SELECT label, (i - 1)::INTEGER AS pos, round(x, 4) + 0.0 AS x FROM label_mean""",
     "softmax_scores": f"""
 WITH {IMAGES_SQL},
 p AS (SELECT query_id, image_id, exp(score - max(score) OVER (PARTITION BY query_id)) AS x FROM own_scores)
@@ -174,21 +174,21 @@ SELECT query_id, image_id, round(x / sum(x) OVER (PARTITION BY query_id), 6) AS
 WITH {IMAGES_SQL},
 means AS (SELECT label, list(x ORDER BY i) AS m, sum(x * x) AS b FROM label_mean GROUP BY label)
 SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY means.label) - 1)::INTEGER AS pos,
-       round(list_dot_product(e, m) - 0.5 * b, 4) AS x
+       round(list_dot_product(e, m) - 0.5 * b, 4) + 0.0 AS x
 FROM v, means""",
     "embedding_lookup": """
 WITH lists AS (
   SELECT vec_id AS key, unnest([vec_id, (SELECT count(*) FROM embeddings) - vec_id - 1, 0]) AS idx,
          unnest([0, 1, 2]) AS pos FROM embeddings)
-SELECT key, pos::INTEGER AS pos, round(e.embedding[1]::DOUBLE, 4) AS first,
-       round(e.embedding[-1]::DOUBLE, 4) AS last
+SELECT key, pos::INTEGER AS pos, round(e.embedding[1]::DOUBLE, 4) + 0.0 AS first,
+       round(e.embedding[-1]::DOUBLE, 4) + 0.0 AS last
 FROM lists JOIN embeddings e ON e.vec_id = lists.idx""",
     "noise_floor": """
 SELECT len(embedding)::INTEGER AS dim, count(*) AS n, round(3 / sqrt(len(embedding)), 6) AS floor
 FROM embeddings GROUP BY len(embedding)""",
     "otsu_threshold": f"""
 WITH {IMAGES_SQL}, {otsu_sql("own_scores", FLOOR_1)}
-SELECT query_id, round(threshold, 4) AS threshold FROM threshold""",
+SELECT query_id, round(threshold, 4) + 0.0 AS threshold FROM threshold""",
     "apply_cutoff_auto": f"""
 WITH {IMAGES_SQL}, {otsu_sql("own_scores", FLOOR_1)}
 {_ROUNDED} FROM own_scores JOIN threshold USING (query_id) WHERE score >= threshold""",
@@ -196,6 +196,6 @@ WITH {IMAGES_SQL}, {otsu_sql("own_scores", FLOOR_1)}
     "apply_cutoff_fixed": f"WITH {IMAGES_SQL} {_ROUNDED} FROM own_scores WHERE score >= 0.25",
     "score_pairs": f"WITH {IMAGES_SQL} {_ROUNDED} FROM own_scores",
     "summarize_runs": """
-SELECT event_type, round(min(value), 4) AS min, round(avg(value), 4) AS mean, round(max(value), 4) AS max
+SELECT event_type, round(min(value), 4) + 0.0 AS min, round(avg(value), 4) + 0.0 AS mean, round(max(value), 4) + 0.0 AS max
 FROM events GROUP BY event_type""",
 }

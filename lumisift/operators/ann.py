@@ -17,8 +17,17 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lumisift.functions.vectors import SCORE_DIGITS, noise_floor
+from lumisift.operators.cutoff import Cutoff
+from lumisift.operators.search import finish_search, pool_size
 from lumisift.operators.topk import as_blocks, merge_top, scan_top, union_all
 from lumisift.plans.blocks import BLOCK_ROWS, Block, Blocks, matrix_blocks, vector_rows
+from lumisift.schema import small_table
+
+CENTRES = T.StructType([
+    T.StructField("cell", T.IntegerType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+])
 
 # Rows of one output file of a cell: 768 floats each make about 400 MB.
 FILE_ROWS = 131_072
@@ -59,8 +68,8 @@ def fit_centres(
     points = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("point"))
     centres = KMeans(featuresCol="point", k=cells, seed=seed, maxIter=rounds).fit(points).clusterCenters()
     units = [c / max(float(np.linalg.norm(c)), 1e-6) for c in centres]
-    rows = [(i, [float(x) for x in unit]) for i, unit in enumerate(units)]
-    return vectors.sparkSession.createDataFrame(rows, "cell int, embedding array<float>")
+    rows = [{"cell": i, "embedding": unit.tolist()} for i, unit in enumerate(units)]
+    return small_table(vectors.sparkSession, rows, CENTRES)
 
 
 def assign_cells(vectors: DataFrame, centres: DataFrame | Block) -> DataFrame:
@@ -76,7 +85,7 @@ def assign_cells(vectors: DataFrame, centres: DataFrame | Block) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points, kept = vector_rows(batch.column("embedding"), dim)
-            scores = np.round(points @ matrix.T, 10)
+            scores = np.round(points @ matrix.T, SCORE_DIGITS)
             cell = pa.array(names[np.argmax(scores, axis=1)].astype(np.int32))
             fitting = batch.take(pa.array(kept))
             yield pa.RecordBatch.from_arrays([*fitting.columns, cell], names=schema.fieldNames())
@@ -98,21 +107,25 @@ def ivf_build(
     many tasks as its size asks for, so a cell with a third of all rows neither
     fills one task nor one file.
     """
-    spark = vectors.sparkSession
     if centres is None:
         centres = fit_centres(vectors, cells, seed, fraction=fraction)
     centres.select(F.col("cell").cast("int"), F.col("embedding").cast("array<float>")).write.parquet(
         f"{path}/centres")
-    block = _one_block(matrix_blocks(spark.read.parquet(f"{path}/centres"), "cell", "embedding"))
-    assigned = assign_cells(vectors.select("image_id", "embedding"), block)
+    return ivf_add(IvfIndex(vectors.sparkSession, path), vectors)
+
+
+def ivf_add(index: IvfIndex, vectors: DataFrame) -> IvfIndex:
+    """Add ``vectors(image_id, embedding)`` of images that the index does not hold yet."""
+    centres = _one_block(matrix_blocks(index.centres(), "cell", "embedding"))
+    assigned = assign_cells(vectors.select("image_id", "embedding"), centres)
     # At most one row per cell. The scan is repeated rather than stored: it does not shuffle.
     files = assigned.groupBy("cell").agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files"))
-    spread = assigned.join(F.broadcast(files), "cell").withColumn(
+    placed = assigned.join(F.broadcast(files), "cell").withColumn(
         "_file", F.pmod(F.xxhash64("image_id"), F.col("_files"))
     )
-    spread.repartition("cell", "_file").drop("_file", "_files").write.partitionBy("cell").parquet(
-        f"{path}/vectors")
-    return IvfIndex(spark, path)
+    placed.repartition("cell", "_file").drop("_file", "_files").write.mode("append").partitionBy(
+        "cell").parquet(f"{index.path}/vectors")
+    return index
 
 
 def knn_ivf(
@@ -123,7 +136,7 @@ def knn_ivf(
     names = cells.keys.to_numpy()
     scans = []
     for block in as_blocks(queries, query_id):
-        scores = np.round(block.matrix @ cells.matrix.T, 10)
+        scores = np.round(block.matrix @ cells.matrix.T, SCORE_DIGITS)
         order = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
         asked = {
             int(names[c]): np.flatnonzero((order == c).any(axis=1)) for c in np.unique(order)
@@ -133,6 +146,26 @@ def knn_ivf(
     return merge_top(union_all(scans), k, query_id)
 
 
+def search_ivf(
+    queries: DataFrame | Blocks,
+    index: IvfIndex,
+    manifest: DataFrame,
+    directory: str,
+    nprobe: int,
+    limit: int = 0,
+    cutoff: Cutoff = "auto",
+    sigmas: float = 3.0,
+    query_id: str = "query_id",
+) -> DataFrame:
+    """:func:`lumisift.operators.search.search` with pools from the cells near each query."""
+    blocks = as_blocks(queries, query_id)
+    pool = pool_size(cutoff, limit)
+    hits = knn_ivf(blocks, index, pool, nprobe, query_id)
+    floor = noise_floor(max(blocks.dim, 1), sigmas)
+    return finish_search(
+        hits, manifest, directory, limit, cutoff, floor, query_id, most=blocks.rows * pool)
+
+
 def _by_cell(asked: dict[int, np.ndarray]):
     def match(batch: pa.RecordBatch, kept: np.ndarray):
         cell = batch.column("cell").to_numpy(zero_copy_only=False)[kept]

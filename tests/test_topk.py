@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from lumisift.operators import topk
-from lumisift.operators.ann import ivf_build, knn_ivf, knn_lsh, lsh_build, recall_at_k
+from lumisift.operators.ann import ivf_add, ivf_build, knn_ivf, knn_lsh, lsh_build, recall_at_k
 from lumisift.operators.topk import Best, knn_exact, score_pairs
 from lumisift.plans import blocks
 from lumisift.plans.scratch import scratch_path
@@ -92,6 +92,10 @@ def test_ivf_over_all_cells_is_exact(spark, vectors, queries):
     index = ivf_build(vectors(points), scratch_path(spark, "ivf"), cells=6)
     assert index.vectors().count() == 400
     assert rows(knn_ivf(queries(asked), index, 10, 6)) == brute(asked, points, 10)
+    late = dict(enumerate(unit(rng, 30), 5001))
+    ivf_add(index, vectors(late))
+    assert rows(knn_ivf(queries(asked), index, 10, 6)) == brute(asked, points | late, 10)
+    points |= late
     few = knn_ivf(queries(asked), index, 10, 2)
     recall = recall_at_k(few, knn_exact(queries(asked), vectors(points), 10)).first()
     assert recall.expected == 50 and 0.2 < recall.recall <= 1.0
