@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumisift.catalog.tables import (
-    DISK_SQL, IMAGES_SQL, disk, image_manifest, image_vectors, images, label_queries, table,
+    DISK_SQL, IMAGES_SQL, disk, image_manifest, image_vectors, images, label_queries,
     text_vectors, text_vectors_sql,
 )
 from lumisift.catalog.vectors import FLOOR_1, otsu_sql

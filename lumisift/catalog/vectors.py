@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumisift.catalog.tables import (
-    IMAGES_SQL, image_vectors, images, label_queries, label_scores, table,
+    IMAGES_SQL, image_vectors, images, label_scores, table,
 )
 from lumisift.functions.vectors import dot, l2_normalize, noise_floor, rejected_vectors, valid_vectors
 from lumisift.operators.cutoff import apply_cutoff, otsu_threshold
@@ -127,7 +127,8 @@ QUERIES = {
 def otsu_sql(scores: str, floor: str) -> str:
     """CTEs ending in ``threshold(query_id, threshold)`` for the rows of ``scores``."""
     return f"""
-counted AS (SELECT query_id, score AS s, image_id FROM {scores} WHERE score >= {floor} AND NOT isnan(score)),
+counted AS (
+  SELECT query_id, score AS s, image_id FROM {scores} WHERE score >= {floor} AND NOT isnan(score)),
 stepped AS (
   SELECT query_id, s, row_number() OVER w AS w0, sum(s) OVER w AS sum0, lead(s) OVER w AS s1,
          count(*) OVER g AS n, sum(s) OVER g AS total, min(s) OVER g AS lowest

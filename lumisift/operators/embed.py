@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,17 +28,22 @@ def embed(
     out: str = "embedding",
     batch_size: int = BATCH,
     tensor_shape: list[int] | None = None,
+    skip_failures: bool = False,
 ) -> DataFrame:
     """Add unit vectors ``make_model()(values of col)``; rows of another dimension are left out.
 
     ``make_model`` runs once per worker process and returns a function from a batch of
     values to a matrix with one row per value. A column of flat tensors, such as that of
     :func:`preprocess_images`, needs ``tensor_shape``, ``[3, 224, 224]`` there.
+
+    With ``skip_failures`` a value that makes the model raise is left out too, instead of
+    stopping the job.
     """
 
     def make_unit_model() -> Callable[[np.ndarray], np.ndarray]:
         model = make_model()
-        return lambda values: unit_rows(model(values))
+        run = _one_by_one(model, dim) if skip_failures else model
+        return lambda values: unit_rows(run(values))
 
     predict = predict_batch_udf(
         make_unit_model,
@@ -48,6 +54,24 @@ def embed(
     return valid_vectors(spread(df).withColumn(out, predict(F.col(col))), dim, out)
 
 
+def _one_by_one(model: Callable[[np.ndarray], np.ndarray], dim: int):
+    """``model`` over a batch or, if that fails, over its values; NaN for those that fail."""
+
+    def run(values: np.ndarray) -> np.ndarray:
+        try:
+            return model(values)
+        except Exception:  # whatever the model raises
+            rows = np.full((len(values), dim), np.nan)
+        for i in range(len(values)):
+            try:
+                rows[i] = model(values[i:i + 1])[0]
+            except Exception as error:
+                print(f"skip value: {error}", file=sys.stderr)
+        return rows
+
+    return run
+
+
 def embed_text(
     df: DataFrame,
     col: str,

@@ -47,13 +47,15 @@ class Best:
 
     def add(self, which: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Take in ``scores[i, j]`` of query ``which[i]`` and row ``ids[j]``."""
-        if scores.shape[1] > self.k:
+        # NaN compares as false.
+        reach = scores >= self.bar[which][:, None] - _SLACK
+        if scores.shape[1] > self.k and np.count_nonzero(reach) > 2 * self.k * len(which):
             place = scores.shape[1] - self.k
             clean = np.where(np.isnan(scores), -np.inf, scores)
             kth = np.partition(clean, place, axis=1)[:, place]
             self.bar[which] = np.maximum(self.bar[which], kth)
-        # NaN compares as false.
-        rows, cols = np.nonzero(scores >= self.bar[which][:, None] - _SLACK)
+            reach = scores >= self.bar[which][:, None] - _SLACK
+        rows, cols = np.nonzero(reach)
         if rows.size:
             rounded = np.round(scores[rows, cols], SCORE_DIGITS)
             self.parts.append((which[rows], ids[cols], rounded))

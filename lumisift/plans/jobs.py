@@ -136,19 +136,20 @@ def ingest_images(
     make_model: Callable[[], Callable[[np.ndarray], np.ndarray]],
     dim: int,
     batch_size: int = BATCH,
+    skip_failures: bool = True,
     **options,
 ) -> IngestRun:
     """Bring the index up to date with the images under ``root``.
 
     ``make_model`` is as for :func:`lumisift.operators.embed.embed`, over batches of
     ``[3, 224, 224]`` tensors; ``options`` go to :func:`ingest`. Images that cannot
-    be decoded are passed over.
+    be decoded, or that the model fails on, are passed over.
     """
 
     def embedder(fresh: DataFrame) -> DataFrame:
         tensors = preprocess_images(pick_images(store.spark, root, fresh))
         vectors = embed(tensors, "pixels", make_model, dim, batch_size=batch_size,
-                        tensor_shape=[3, EDGE, EDGE])
+                        tensor_shape=[3, EDGE, EDGE], skip_failures=skip_failures)
         return fresh.join(vectors.select("path", "embedding"), "path")
 
     return ingest(store, filter_extensions(scan_files(store.spark, root)), embedder, root, dim, **options)

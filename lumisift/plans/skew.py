@@ -14,6 +14,9 @@ SLICES = 32
 # Of an input estimated at no more than this, even a key with all rows is one task's work.
 ONE_TASK_BYTES = 64 * 1024 * 1024
 
+# Keys of an input estimated at no more than this are broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
+
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """Join ``left`` to a large ``right`` (unique on ``key``) so that no hot key fills one task.
@@ -60,6 +63,6 @@ def asked_for(table: DataFrame, asking: DataFrame, key: str) -> DataFrame:
     An outer or anti join from a few rows to a large table would shuffle the table.
     Cut down first, by a broadcast of keys of checked size, it stays where it is.
     """
-    if not is_small(asking, ONE_TASK_BYTES):
+    if not is_small(asking, BROADCAST_BYTES):
         return table
     return table.join(F.broadcast(asking.select(key)), key, "left_semi")

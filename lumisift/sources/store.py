@@ -95,7 +95,10 @@ class IndexStore:
         return base.join(newest.select("image_id"), "image_id", "left_anti").unionByName(newest)
 
     def vectors(self, at: State | int | None = None) -> DataFrame:
-        """``(image_id, embedding)``; of a re-embedded image the newest vector only."""
+        """``(image_id, embedding)``; of a re-embedded image the newest vector only.
+
+        Void vectors are left out by a join with their ids: compact when those are many.
+        """
         state = self._at(at)
         rows = self._versions("vectors", VECTORS, state.first_vectors, state.version)
         if state.voided == 0:

@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lumisift.operators import topk
+from lumisift.plans import running, size, skew
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -46,6 +48,32 @@ def test_query(spark, duck, name):
     assert got == table(columns, result.fetchall())
 
 
+LARGE = [
+    "apply_cutoff_auto", "embedding_lookup", "ingest", "order_all", "search_auto", "skip_seen_content",
+    "softmax_scores",
+]
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_query_as_for_large_inputs(spark, duck, monkeypatch, name):
+    """The plans that only large inputs get, forced on small ones."""
+    monkeypatch.setattr(skew, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(running, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(topk, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(size, "SPLIT_BYTES", 0)
+    test_query(spark, duck, name)
+
+
+@pytest.mark.parametrize("scale, expected", [
+    ("0.001", {"new": 20, "changed": 19, "seen": 21, "unchanged": 140, "stale": 10}),
+    ("0.01", {"new": 90, "changed": 87, "seen": 123, "unchanged": 700, "stale": 10}),
+])
+def test_known_counts(spark, scale, expected):
+    counts = entry.queries()["ingest_counts"](spark, f"/root/testdata/sf{scale}").collect()
+    assert {r.action: r.files for r in counts} == expected
+
+
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["query_id", "rank", "path", "score"]
     assert entry.entry(spark).count() > 0

@@ -147,6 +147,20 @@ def test_embed_normalises_and_rejects(spark):
     assert embed(df, "text", model, 4).count() == 0
 
 
+def test_values_that_fail(spark):
+    def model():
+        def run(texts):
+            if any(t == "bad" for t in texts):
+                raise ValueError("bad")
+            return np.ones((len(texts), 2), np.float32)
+        return run
+
+    df = spark.createDataFrame([("a",), ("bad",), ("b",)], "text string").coalesce(1)
+    assert sorted(r.text for r in embed(df, "text", model, 2, skip_failures=True).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="bad"):
+        embed(df, "text", model, 2).collect()
+
+
 def slow_tensor(pixels):
     """Triangle-filter resize of one RGB image, pixel by pixel."""
     height, width = pixels.shape[:2]
