@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumisift.catalog.tables import (
     DISK_SQL, IMAGES_SQL, disk, image_manifest, image_vectors, images, label_queries,
-    text_vectors, text_vectors_sql,
+    label_scores, text_vectors, text_vectors_sql,
 )
 from lumisift.catalog.vectors import FLOOR_1, otsu_sql
 from lumisift.functions.paths import prefix_filter
@@ -35,8 +35,6 @@ def _knn(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, folder: str) -> DataFrame:
-    from lumisift.catalog.tables import label_scores
-
     return _rounded(candidate_pool(label_scores(spark, folder), "none", 10), "query_id", "rank", "image_id")
 
 
@@ -49,15 +47,11 @@ def _resolve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order(spark: SparkSession, folder: str) -> DataFrame:
-    from lumisift.catalog.tables import label_scores
-
     return _rounded(order_and_limit(label_scores(spark, folder), 7), "query_id", "rank", "image_id")
 
 
 def _order_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every image ranked among those of its label."""
-    from lumisift.catalog.tables import label_scores
-
     return _rounded(order_and_limit(label_scores(spark, folder)), "query_id", "rank", "image_id")
 
 

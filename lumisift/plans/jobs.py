@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
-
 import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 from lumisift.functions.content import content_fingerprint
 from lumisift.functions.paths import filter_extensions
 from lumisift.functions.vectors import valid_vectors
+from lumisift.operators.embed import BATCH, EDGE, embed, preprocess_images
 from lumisift.operators.ingest import (
     assign_ids, detect_changed, detect_stale, first_of_equal_content, live_rows, skip_seen_content,
     tombstones,
@@ -19,8 +19,7 @@ from lumisift.operators.ingest import (
 from lumisift.plans.scratch import materialize
 from lumisift.plans.skew import asked_for
 from lumisift.schema import MANIFEST
-from lumisift.operators.embed import BATCH, EDGE, embed, preprocess_images
-from lumisift.sources.files import pick_images, read_content, scan_files
+from lumisift.sources.files import full_path, pick_images, read_content, scan_files
 from lumisift.sources.store import IndexStore, State
 
 # From files(path, mtime, size, content_hash) to the same rows with an embedding;
@@ -83,13 +82,15 @@ def ingest(
     fresh = skip_seen_content(candidates, memory)
     if dedup_within_batch:
         fresh = first_of_equal_content(fresh)
+    fresh = materialize(fresh, "fresh")
 
     # The model runs once: what it made is stored before ids are given out.
     columns = ["path", "mtime", "size", "content_hash", "embedding"]
     embedded = valid_vectors(embedder(fresh), dim).select(
         *columns[:-1], F.col("embedding").cast("array<float>"))
     embedded = materialize(embedded, "embedded")
-    rows = assign_ids(embedded.drop("embedding"), manifest, state.max_image_id)
+    known = asked_for(manifest, fresh, "path")
+    rows = assign_ids(embedded.drop("embedding"), known, state.max_image_id)
     rows = rows.select(
         *rows.columns, F.lit(state.version + 1).cast("long").alias("vec_version"),
         (F.col("image_id") <= state.max_image_id).alias("voids"))
@@ -152,4 +153,5 @@ def ingest_images(
                         tensor_shape=[3, EDGE, EDGE], skip_failures=skip_failures)
         return fresh.join(vectors.select("path", "embedding"), "path")
 
-    return ingest(store, filter_extensions(scan_files(store.spark, root)), embedder, root, dim, **options)
+    listed = filter_extensions(scan_files(store.spark, root))
+    return ingest(store, listed, embedder, full_path(store.spark, root), dim, **options)

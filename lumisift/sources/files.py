@@ -18,6 +18,13 @@ def plain_path(path: Column | str) -> Column:
     return F.regexp_replace(path, "^file:/*", "/")
 
 
+def full_path(spark: SparkSession, path: str) -> str:
+    """``path`` in the form in which :func:`scan_files` lists it, for use as a directory."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub("^file:/*", "/", files.makeQualified(hadoop).toString())
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, mtime, size)`` of all files under ``root``; no content is read.
 

@@ -9,7 +9,7 @@ from lumisift.functions.content import content_fingerprint, file_checksum
 from lumisift.functions.paths import base_name, extension, filter_extensions, prefix_filter
 from lumisift.plans.jobs import with_fingerprints
 from lumisift.sources.files import (
-    image_geometry, pick_images, read_content, read_path_list, scan_files, scan_images, write_results,
+    full_path, image_geometry, pick_images, read_content, read_path_list, scan_files, scan_images, write_results,
 )
 
 
@@ -43,6 +43,13 @@ def test_scan_and_fingerprint(spark, folder):
     assert hashed["c.txt"] == quick(b"c") and hashed["a.JPG"] == quick(b"a" * 10)
 
 
+def test_full_path(spark, folder, monkeypatch):
+    for form in (str(folder), f"file://{folder}", f"{folder}/", f"file:{folder}"):
+        assert full_path(spark, form) == str(folder)
+    listed = scan_files(spark, f"file://{folder}")
+    assert prefix_filter(listed, full_path(spark, f"file://{folder}")).count() == 4
+
+
 def test_read_content(spark, folder):
     paths = spark.createDataFrame([(str(folder / "sub" / "b.png"),), ("/no/such/file",)], "path string")
     assert [len(r.content) for r in read_content(paths, head=100).collect()] == [100]

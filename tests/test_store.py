@@ -191,7 +191,7 @@ def test_ingest_images(spark, store, tmp_path):
     assert ingest_images(store, str(tmp_path), model, 3).state.version == first.state.version
     (tmp_path / "red.png").unlink()
     (tmp_path / "{dark}.png").write_bytes(png(6, 4, bytes([200, 10, 0]) * 24))
-    second = ingest_images(store, str(tmp_path), model, 3)
+    second = ingest_images(store, f"file://{tmp_path}", model, 3)
     assert (second.indexed, second.removed) == (1, 1)
     asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
     got = search(asked, store.vectors(), store.manifest(), str(tmp_path), cutoff=0.5).collect()
