@@ -45,7 +45,7 @@ class IndexStore:
         self.root = root.rstrip("/")
 
     def commits(self) -> DataFrame:
-        """Committed versions, oldest row first by ``version``; none for a new index."""
+        """One row per committed version; none for a new index."""
         return self._read("commits", COMMITS)
 
     def state(self, version: int | None = None) -> State:
@@ -158,11 +158,11 @@ class IndexStore:
             after = replace(after, max_image_id=max_image_id)
         if full:
             after = replace(after, base=version)
-        if vectors is not None:
-            require(vectors, VECTORS).write.mode("overwrite").parquet(
-                f"{self.root}/vectors/version={version}")
-            if full:
-                after = replace(after, first_vectors=version, voided=0)
+        if full and vectors is not None:
+            after = replace(after, first_vectors=version, voided=0)
+        # Without vectors too: a run that died may have left some under this version.
+        written = small_table(self.spark, [], VECTORS) if vectors is None else require(vectors, VECTORS)
+        written.write.mode("overwrite").parquet(f"{self.root}/vectors/version={version}")
         row = asdict(after) | {
             "kind": "full" if full else "delta", "indexed": indexed, "removed": removed, "source": source}
         small_table(self.spark, [row], COMMITS).coalesce(1).write.mode("append").parquet(
@@ -178,7 +178,9 @@ class IndexStore:
 
     def append_vectors(self, vectors: DataFrame) -> State:
         """Add ``vectors(image_id, embedding)``."""
-        return self.commit(self.state(), vectors)
+        state = self.state()
+        self.stage(small_table(self.spark, [], MANIFEST), state)
+        return self.commit(state, vectors)
 
     def compact(self, vectors: bool = True) -> State:
         """Write the current manifest, and the vectors of its live rows, as a full version.

@@ -68,6 +68,20 @@ def test_uncommitted_version_is_invisible_and_overwritten(spark, store, vectors)
     assert sorted(r.embedding for r in store.vectors().collect()) == [[1.0, 0.0], [1.0, 1.0]]
 
 
+def test_leftovers_do_not_join_a_later_version(spark, store, vectors):
+    first = store.write_manifest(rows(spark, (1, "/a", 1, 1, "h1", 1)), vectors({1: [1, 0]}))
+    # A run died after its vectors; the next one has none, and the one after has only vectors.
+    vectors({2: [0, 1]}).write.parquet(f"{store.root}/vectors/version=2")
+    store.stage(rows(spark, (1, "/b", 2, 1, "h1", 1)), first)
+    store.commit(first)
+    assert [r.path for r in store.manifest().collect()] == ["/b"]
+    assert [r.image_id for r in store.vectors().collect()] == [1]
+    rows(spark, (9, "/lost", 1, 1, "h9", 3)).write.parquet(f"{store.root}/manifest/version=3")
+    store.append_vectors(vectors({3: [1, 1]}))
+    assert [r.path for r in store.manifest().collect()] == ["/b"]
+    assert sorted(r.image_id for r in store.vectors().collect()) == [1, 3]
+
+
 def listing(spark, *rows):
     schema = T.StructType([*DISK.fields, T.StructField("content_hash", T.StringType())])
     return small_table(spark, [dict(zip(schema.fieldNames(), r)) for r in rows], schema)
