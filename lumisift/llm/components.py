@@ -27,6 +27,13 @@ def _star(edges: DataFrame, smaller: bool) -> DataFrame:
     return moved.where("u != v").distinct()
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, which has none itself."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    centres = edges.select(F.col("v").alias("u")).distinct()
+    return twice.unionByName(edges.join(centres, "u", "left_semi").select("u")).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` of every node that an edge ``(u, v)`` names; the label is the smallest node reached.
 
@@ -35,16 +42,23 @@ def components(edges: DataFrame) -> DataFrame:
     clean = edges.where("u IS NOT NULL AND v IS NOT NULL AND u != v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(clean, "edges")
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
-        now = materialize(_star(_star_stored(now), smaller=True), "edges")
+    while not _only_stars(now):
+        now = materialize(_star(materialize(_star(now, smaller=False), "edges"), smaller=True), "edges")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _star_stored(edges: DataFrame) -> DataFrame:
-    return materialize(_star(edges, smaller=False), "edges")
+def in_blocks(lists: DataFrame, block: int) -> DataFrame:
+    """``(rep, cluster, block, low, high)``: members of overlapping lists ``(pair, rep)``, once per pair of blocks.
+
+    Lists that share a member make a cluster, which a hash cuts into blocks of about ``block`` members. Grouped by
+    ``cluster, low, high``, any two members of a list meet in a group of at most twice that many or so.
+    """
+    hubs = materialize(lists.groupBy("pair").agg(F.min("rep").alias("hub")), "list-hubs")
+    tied = lists.join(hubs, "pair").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+    cluster = materialize(components(tied).toDF("rep", "cluster"), "clusters")
+    sizes = materialize(cluster.groupBy("cluster").agg(
+        F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks")), "cluster-sizes")
+    placed = cluster.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select("rep", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
