@@ -9,8 +9,10 @@ many documents share are frequent and fall behind that prefix.
 
 Lists are merged in two rounds. First each document is compared with one hub only, the
 smallest document of its lists that it meets most often. Then the lists are merged
-again, skipping all pairs whose documents are connected already. Every link is confirmed
-on the full shingle sets. Copies with the same set are one class and never paired.
+again, skipping all pairs whose documents are connected already: short lists pair by pair,
+long ones as clusters, cut into blocks whose pairs a task compares in memory; it puts out
+only links between what it hasn't connected yet. Every link is confirmed on the full
+shingle sets. Copies with the same set are one class and never paired.
 """
 
 from __future__ import annotations
@@ -19,15 +21,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumisift.llm.components import components
+from lumisift.llm.components import components, in_blocks
 from lumisift.llm.shingles import fingerprint, overlap, shingle_sets
 from lumisift.plans.scratch import materialize
 
 _ROWS = 2048
 
+# Longer lists are compared in blocks of so many documents.
+LIST_ROWS = 48
+BLOCK_DOCS = 512
+
 
 @dataclass(frozen=True)
 class Similarity:
@@ -137,15 +144,19 @@ def hub_pairs(prefixes: DataFrame) -> DataFrame:
     return best.select(F.col("best.hub").alias("a"), F.col("rep").alias("b"))
 
 
-def open_pairs(prefixes: DataFrame, labels: DataFrame, classes: DataFrame, wanted: Similarity) -> DataFrame:
-    """Pairs that meet in a list, belong to different components and have sizes that allow a link."""
+def open_lists(prefixes: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(pair, rep, label, n_shingles, n)`` of the lists with more than one component; ``n`` is the list's length."""
     facts = classes.select("rep", "n_shingles").join(labels.toDF("rep", "label"), "rep", "left")
     known = materialize(facts.select("rep", F.coalesce("label", "rep").alias("label"), "n_shingles"), "labels")
     listed = materialize(prefixes.join(known, "rep"), "labelled")
-    # Lists within one component need no merging at all.
-    mixed = materialize(listed.groupBy("pair").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                        .where("x < y").select("pair"), "mixed")
-    rest = materialize(listed.join(mixed, "pair"), "open")
+    mixed = materialize(listed.groupBy("pair").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("pair", "n"), "mixed")
+    return materialize(listed.join(mixed, "pair"), "open")
+
+
+def open_pairs(lists: DataFrame, wanted: Similarity) -> DataFrame:
+    """Pairs ``(a, b)`` that meet in a short list, with other components and sizes that allow a link."""
+    rest = lists.where(F.col("n") <= LIST_ROWS).drop("n")
     left = rest.toDF(*[f"{c}_a" for c in rest.columns])
     right = rest.toDF(*[f"{c}_b" for c in rest.columns])
     least, most = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
@@ -154,6 +165,62 @@ def open_pairs(prefixes: DataFrame, labels: DataFrame, classes: DataFrame, wante
     return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
+def block_links(
+    lists: DataFrame, classes: DataFrame, docs: DataFrame, wanted: Similarity, key: str, text: str
+) -> DataFrame:
+    """Links ``(u, v)`` among the documents of long lists, enough to connect all that are linked.
+
+    Lists that overlap make a cluster. A cluster is cut into blocks by a hash, and each pair of blocks is one
+    group of at most twice ``BLOCK_DOCS`` documents or so, whatever the size of the cluster.
+    """
+    long = materialize(lists.where(F.col("n") > LIST_ROWS), "long-lists")
+    placed = materialize(in_blocks(long.select("pair", "rep"), BLOCK_DOCS), "blocks")
+    facts = long.select("rep", "label", "n_shingles").distinct().join(classes.select("rep", "one", "signature"), "rep")
+    texts = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"))
+    rows = facts.join(texts, "rep").join(placed, "rep")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return _links(group, wanted)
+
+    return rows.groupBy("cluster", "low", "high").applyInPandas(compare, "u bigint, v bigint")
+
+
+def _links(group: pd.DataFrame, wanted: Similarity) -> pd.DataFrame:
+    """Links between the documents of two blocks, or within one, that connect what isn't connected yet."""
+    sets = list(shingle_sets(pa.array(group["text"], pa.large_string()), wanted.words))
+    right = [i for i, (s, one) in enumerate(zip(sets, group["one"], strict=True)) if fingerprint(s)[0] == one]
+    if len(right) < 2:
+        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    group, sets = group.iloc[right], [sets[i] for i in right]
+    signs = np.stack(group["signature"].to_numpy())
+    sizes, blocks = group["n_shingles"].to_numpy(), group["block"].to_numpy()
+    reps, labels = group["rep"].to_numpy(), group["label"].to_numpy()
+    within = group["low"].iloc[0] == group["high"].iloc[0]
+    parent = {label: label for label in labels.tolist()}
+
+    def root(label: int) -> int:
+        while parent[label] != label:
+            parent[label] = label = parent[parent[label]]
+        return label
+
+    found = []
+    for i in range(len(reps)):
+        later = np.arange(i + 1, len(reps))
+        later = later[(labels[later] != labels[i]) & (within | (blocks[later] != blocks[i]))]
+        fits = 100 * np.minimum(sizes[later], sizes[i]) >= wanted.percent * np.maximum(sizes[later], sizes[i])
+        later = later[fits]
+        agree = np.zeros(len(later), np.int32) if not len(later) else (signs[later] == signs[i]).sum(axis=1)
+        for j in later[agree >= wanted.matches][np.argsort(-agree[agree >= wanted.matches], kind="stable")]:
+            one, two = root(int(labels[i])), root(int(labels[j]))
+            if one == two:
+                continue
+            common = overlap(sets[i], sets[j])
+            if 100 * common >= wanted.percent * (len(sets[i]) + len(sets[j]) - common):
+                parent[max(one, two)] = min(one, two)
+                found.append((reps[i], reps[j]))
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+
 def near_duplicates(
     docs: DataFrame, wanted: Similarity = Similarity(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -181,8 +248,10 @@ def near_duplicates(
 
     near_hub = links(hub_pairs(prefixes), "hub-links").unionByName(repeated)
     labels = materialize(components(near_hub), "components")
-    others = links(open_pairs(prefixes, labels, classes, wanted), "other-links")
-    joined = others.unionByName(labels.where("node != label").toDF("u", "v"))
+    lists = open_lists(prefixes, labels, classes)
+    others = links(open_pairs(lists, wanted), "other-links")
+    blocks = materialize(block_links(lists, classes, docs, wanted, key, text), "block-links")
+    joined = others.unionByName(blocks).unionByName(labels.where("node != label").toDF("u", "v"))
     labels = materialize(components(joined), "components")
 
     of_class = materialize(classes.drop("signature").join(labels.toDF("rep", "label"), "rep", "left").select(
@@ -192,3 +261,10 @@ def near_duplicates(
     return out.select(
         F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, wanted: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are their component's smallest document."""
+    found = near_duplicates(docs, wanted, key, text)
+    others = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("__other")).distinct(), "other-copies")
+    return docs.join(others, F.col(key).cast("bigint") == F.col("__other"), "left_anti")
