@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumisift.llm.common import BLANKS, let, numbers_to
+from lumisift.llm.common import let, numbers_to
 from lumisift.llm.components import in_blocks
 from lumisift.llm.edit_distance import within
 from lumisift.plans.scratch import materialize
@@ -43,8 +43,12 @@ class LineRule:
     shortest: int = 32
 
 
+# Runs of blanks that are not a single space already.
+_UNEVEN = r"\x20*[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}"
+
+
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), BLANKS, " "))
+    return F.trim(F.regexp_replace(F.lower(line), _UNEVEN, " "))
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,7 +88,7 @@ def index_keys(line: Column, size: Column, edits: int) -> Column:
 
 
 def probe_keys(line: Column, size: Column, edits: int) -> Column:
-    """The keys under which a line finds lines that are up to ``edits`` shorter or as long.
+    """The keys under which a line finds lines that are up to ``edits`` shorter or as long; some may be null.
 
     For a line shorter by d, segment i may be shifted by the edits that can precede it (i of them) while the rest
     can still be made up for behind it: to the left by i, to the right by i, and likewise seen from the end.
@@ -99,7 +103,7 @@ def probe_keys(line: Column, size: Column, edits: int) -> Column:
                 at = low + shift
                 inside = (at >= 0) & (at + length <= size)
                 keys.append(F.when(inside, F.xxhash64(other, F.lit(i), F.substring(line, at + 1, length))))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def _exploded(lines: DataFrame, keys: Column) -> DataFrame:
@@ -112,13 +116,16 @@ def near_lines(lines: DataFrame, rule: LineRule) -> DataFrame:
         return lines.select("id").limit(0)
     long = lines.where(F.col("size") >= rule.shortest)
     indexed = materialize(_exploded(long, index_keys(F.col("line"), F.col("size"), rule.edits)), "segments")
-    probes = _exploded(long, F.array_distinct(probe_keys(F.col("line"), F.col("size"), rule.edits)))
+    probes = _exploded(long, probe_keys(F.col("line"), F.col("size"), rule.edits))
     hot = materialize(indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS), "hot-segments")
     cold = indexed.join(hot.select("key"), "key", "left_anti").toDF("key", "a", "size_a")
-    met = probes.join(cold, "key").where((F.col("a") != F.col("id")) & ((F.col("size_a") < F.col("size")) | (F.col("a") < F.col("id"))))
-    pairs = materialize(met.select("a", F.col("id").alias("b")).distinct(), "line-pairs")
-    listed = probes.join(hot.select("key"), "key").select(F.col("key").alias("pair"), F.col("id").alias("rep"))
-    listed = materialize(listed.distinct(), "hot-lists")
+    # A hot segment is one row without a line: it tells who is on its list, so one pass of probes does for both.
+    lists = cold.unionByName(hot.select("key", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("int").alias("size_a")))
+    other = (F.col("a") != F.col("id")) & ((F.col("size_a") < F.col("size")) | (F.col("a") < F.col("id")))
+    met = probes.join(lists, "key").where(F.col("a").isNull() | other)
+    met = met.select("a", F.col("id").alias("b"), F.when(F.col("a").isNull(), F.col("key")).alias("pair")).distinct()
+    met = materialize(met, "line-pairs")
+    pairs, listed = met.where("a IS NOT NULL").select("a", "b"), met.where("a IS NULL").select("pair", F.col("b").alias("rep"))
     return _verified(pairs, lines, rule).unionByName(_by_blocks(listed, lines, rule)).distinct()
 
 
