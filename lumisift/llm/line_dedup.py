@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,10 @@ class LineRule:
     edits: int = 2
     shortest: int = 32
 
+    def __post_init__(self) -> None:
+        if self.shortest < self.edits * (self.edits + 2):
+            raise ValueError("segments of the shortest lines must have at least as many characters as edits")
+
 
 # Runs of blanks that are not a single space already.
 _UNEVEN = r"\x20*[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}"
@@ -78,7 +83,7 @@ def distinct_lines(found: DataFrame) -> DataFrame:
 
 def _cut(size: Column, i: int, parts: int) -> Column:
     """Where segment ``i`` of a line of ``size`` characters begins, counted from 0."""
-    return F.floor(size * i / parts).cast("int")
+    return F.call_function("div", size * i, F.lit(parts)).cast("int")
 
 
 def index_keys(line: Column, size: Column, edits: int) -> Column:
@@ -89,25 +94,27 @@ def index_keys(line: Column, size: Column, edits: int) -> Column:
         for i in range(parts)])
 
 
-def probe_keys(line: Column, size: Column, edits: int) -> Column:
-    """The keys under which a line finds lines that are up to ``edits`` shorter or as long; some may be null.
+def probe_keys(line: Column, size: Column, edits: int, shorter: int) -> Column:
+    """The keys under which a line finds lines that are shorter by ``shorter``.
 
-    For a line shorter by d, segment i may be shifted by the edits that can precede it (i of them) while the rest
-    can still be made up for behind it: to the left by i, to the right by i, and likewise seen from the end.
+    Segment i may be shifted by the edits that can precede it (i of them) while the rest can still be made up
+    for behind it: to the left by i, to the right by i, and likewise seen from the end.
     """
-    parts, keys = edits + 1, []
-    for shorter in range(edits + 1):
-        other = size - shorter
-        for i in range(parts):
-            low, length = _cut(other, i, parts), _cut(other, i + 1, parts) - _cut(other, i, parts)
-            after = parts - 1 - i
-            for shift in range(max(-i, shorter - after), min(i, shorter + after) + 1):
-                at = low + shift
-                inside = (at >= 0) & (at + length <= size)
-                keys.append(F.when(inside, F.xxhash64(other, F.lit(i), F.substring(line, at + 1, length))))
+    parts, other, keys = edits + 1, size - shorter, []
+    for i in range(parts):
+        low, length = _cut(other, i, parts), _cut(other, i + 1, parts) - _cut(other, i, parts)
+        after = parts - 1 - i
+        for shift in range(max(-i, shorter - after), min(i, shorter + after) + 1):
+            keys.append(F.xxhash64(other, F.lit(i), F.substring(line, low + (shift + 1), length)))
     return F.array(*keys)
 
 
+def _probes(lines: DataFrame, edits: int) -> DataFrame:
+    """All probes of all lines, a scan per difference of length: code for all at once is too long for the JVM to compile."""
+    each = [_exploded(lines, probe_keys(F.col("line"), F.col("size"), edits, d)) for d in range(edits + 1)]
+    return reduce(DataFrame.unionByName, each)
+
+
 def _exploded(lines: DataFrame, keys: Column) -> DataFrame:
     return lines.select("id", "size", F.explode(keys).alias("key"))
 
@@ -118,7 +125,7 @@ def near_lines(lines: DataFrame, rule: LineRule) -> DataFrame:
         return lines.select("id").limit(0)
     long = lines.where(F.col("size") >= rule.shortest)
     indexed = materialize(_exploded(long, index_keys(F.col("line"), F.col("size"), rule.edits)), "segments")
-    probes = _exploded(long, probe_keys(F.col("line"), F.col("size"), rule.edits))
+    probes = _probes(long, rule.edits)
     hot = materialize(indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS), "hot-segments")
     cold = indexed.join(hot.select("key"), "key", "left_anti").toDF("key", "a", "size_a")
     # A hot segment is one row without a line: it tells who is on its list, so one pass of probes does for both.
