@@ -1,0 +1,282 @@
+"""Operators on the whole corpus against brute force, on odd rows, and the pipeline."""
+
+import ast
+import itertools
+import pathlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lumisift.llm import decontaminate, line_dedup, mixing, near_dup, query_dups, query_mix
+from lumisift.llm.components import components
+from lumisift.llm.edit_distance import search, within
+
+FOLDER = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string"
+ODD = [
+    (1, None, None, None, None, "x"), (2, "", "en", "", 0, "x"), (3, " \t\n ", "en", "a", 3, "x"),
+    (4, "One two", "en", "a", 7, "x"), (4, "One two", "en", "a", 7, "x"), (5, "one  TWO", "en", None, 8, "x"),
+    (None, "no id at all", "en", "b", 1, "x"), (6, "long é " * 30_000, "fr", "b", 1, "x"),
+]
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+def texts(spark, folder=FOLDER):
+    return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").orderBy("doc_id").collect()
+
+
+# -- edit distance ------------------------------------------------------------
+
+def table(one, two, anywhere):
+    row = [0] * (len(two) + 1) if anywhere else list(range(len(two) + 1))
+    for i, x in enumerate(one, 1):
+        new = [i]
+        for j, y in enumerate(two, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row
+
+
+def test_edit_distance():
+    draw = random.Random(3)
+    for _ in range(4000):
+        one = "".join(draw.choice("abé") for _ in range(draw.randint(0, 14)))
+        two = "".join(c for c in one if draw.random() > 0.1) + draw.choice(["", "a", "bb"])
+        real = table(one, two, False)[-1]
+        for limit in range(4):
+            assert within(one, two, limit) == (real if real <= limit else None)
+        if len(one) > 3:
+            row = table(one, "cab" + two + "b", True)
+            best = min(row)
+            assert search(one, "cab" + two + "b", 3) == ((best, row.index(best)) if best <= 3 else None)
+
+
+# -- components and near-duplicates -------------------------------------------
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 301), (301, 300), (None, 4)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 160)}, 300: 300, 301: 300}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def brute_components(rows):
+    low = {c: c + 32 for c in range(65, 91)}
+    sets = {}
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+        count = min(5, len(words))
+        sets[doc] = {tuple(words[i:i + count]) for i in range(len(words) - count + 1)} if words else set()
+    where, common = defaultdict(list), Counter()
+    for doc, shingles in sets.items():
+        for shingle in shingles:
+            where[shingle].append(doc)
+    for docs in where.values():
+        common.update(itertools.combinations(sorted(docs), 2))
+    label = {doc: doc for doc in sets}
+    linked = [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    for _ in sets:
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    return {doc: (len(sets[doc]), label[doc]) for doc in sets}
+
+
+def chained():
+    """Texts that differ from the one before in a word, in a random order of ids, and some copies."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        words[draw.randrange(60)] = f"x{i}"
+        rows.append(" ".join(words))
+    rows += [rows[3], rows[3].upper(), "a b c", "a b c", "a b"]
+    return [(doc, text) for doc, text in zip(draw.sample(range(1000), len(rows)), rows, strict=True)]
+
+
+@pytest.mark.parametrize("short", [near_dup.LIST_ROWS, 2])
+def test_near_duplicates(spark, monkeypatch, short):
+    """Also with nearly all lists taken as long ones, in small blocks."""
+    monkeypatch.setattr(near_dup, "LIST_ROWS", short)
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 8 if short == 2 else near_dup.BLOCK_DOCS)
+    rows = chained() + [(5000 + r.doc_id, r.text) for r in texts(spark)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd):
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(odd).collect())
+    # The long text has few shingles, as its words repeat.
+    assert got == sorted([
+        ("1", 0, 1, True), ("2", 0, 2, True), ("3", 0, 3, True), ("4", 1, 4, True), ("4", 1, 4, True),
+        ("5", 1, 4, False), ("None", 1, None, True), ("6", 2, 6, True)])
+    assert near_dup.one_of_each(odd).columns == odd.columns
+
+
+# -- lines --------------------------------------------------------------------
+
+def brute_lines(rows, rule):
+    def norm(line):
+        return re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+    first = {}
+    for doc, text in sorted(rows):
+        for i, line in enumerate(text.split("\n")):
+            if norm(line):
+                first.setdefault(norm(line), (doc, i))
+    long = [x for x in sorted(first, key=first.get) if len(x) >= rule.shortest]
+    near = {b for a, b in itertools.combinations(long, 2) if within(a, b, rule.edits) is not None}
+    return {doc: "\n".join(
+        line for i, line in enumerate(text.split("\n"))
+        if not norm(line) or (norm(line) not in near and first[norm(line)] == (doc, i))) for doc, text in rows}
+
+
+@pytest.mark.parametrize("short, edits", [(line_dedup.LIST_ROWS, 2), (1, 2), (line_dedup.LIST_ROWS, 3)])
+def test_lines(spark, monkeypatch, short, edits):
+    monkeypatch.setattr(line_dedup, "LIST_ROWS", short)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 8 if short == 1 else line_dedup.BLOCK_LINES)
+    draw = random.Random(7)
+    lines = ["".join(draw.choice("abcdeéf ") for _ in range(draw.randint(10, 60))).strip() + "." for _ in range(25)]
+    rows = []
+    for doc in range(60):
+        text = []
+        for line in draw.sample(lines, 4):
+            chars = list(line)
+            for _ in range(draw.randint(0, 4)):
+                at = draw.randrange(len(chars))
+                chars[at:at + 1] = draw.choice([[], ["x"], [chars[at], "y"]])
+            text.append("".join(chars))
+        rows.append((doc, "\n".join(text) + "\n\n \nOf."))
+    rule = line_dedup.LineRule(edits=edits, shortest=24)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(rows, rule)
+    assert sum(r.n_near for r in got) > 20 and sum(r.n_equal for r in got) > 20
+
+
+def test_lines_of_odd_rows(spark, odd):
+    got = sorted((str(r.doc_id), r.n_lines, r.n_equal, r.n_near) for r in line_dedup.dedup_lines(odd).collect())
+    assert got == sorted([("1", 0, 0, 0), ("2", 0, 0, 0), ("3", 0, 0, 0), ("4", 1, 0, 0), ("4", 1, 0, 0), ("5", 1, 1, 0),
+                          ("None", 1, 0, 0), ("6", 1, 0, 0)])
+    left = line_dedup.without_repeated_lines(odd)
+    assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "4", "4", "6", "None"]
+    assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
+
+
+# -- benchmark ----------------------------------------------------------------
+
+def test_decontamination(spark):
+    items = ["the quick brown fox jumps over the lazy dog while seven wizards box", "too short", None, "", "Another, item: with some more words in it."]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(9, items[0]), (None, items[0])], "item_id long, text string")
+    close = items[0].replace("quick", "quack").replace("lazy", "lzy").replace("wizards", "wizardz")
+    rows = [
+        (1, f"Before. {items[0].upper()}! After."), (2, f"x {close} y"), (3, items[0].replace("fox jumps over", "cat")),
+        (4, "another item\nwith some -- more words in it"), (5, None), (6, ""), (7, "the quick brown fox"), (None, items[0]),
+        (8, f"{close} and {items[0]}"),
+    ]
+    got = decontaminate.find_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.distance) for r in got) == sorted([
+        ("1", 0, 0), ("1", 9, 0), ("2", 0, 3), ("2", 9, 3), ("4", 4, 0), ("None", 0, 0), ("None", 9, 0), ("8", 0, 0), ("8", 9, 0)])
+    assert decontaminate.find_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
+
+
+def test_decontamination_query(spark, monkeypatch):
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()
+    want = {(d.doc_id, b.item_id) for d in texts(spark) for b in bench if decontaminate.normal(b.text) in decontaminate.normal(d.text)}
+    got = query_dups.op5_decontaminate(spark, FOLDER).collect()
+    assert want and {(r.doc_id, r.item_id) for r in got if r.distance == 0} == want
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    assert sorted(query_dups.op5_decontaminate(spark, FOLDER).collect()) == sorted(got)
+
+
+# -- mixing -------------------------------------------------------------------
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, capped = 1.5 * sum(sizes.values()), set()
+    while True:
+        rest = [s for s in names if s not in capped]
+        left = total - sum(2 * sizes[s] for s in capped)
+        share = {s: left * weight[s] / sum(weight[r] for r in rest) for s in rest}
+        over = {s for s in rest if share[s] > 2 * sizes[s]}
+        if not over:
+            return {**share, **{s: 2.0 * sizes[s] for s in capped}}
+        capped |= over
+
+
+def test_mix(spark):
+    docs = texts(spark)
+    size = {d.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) for d in docs}
+    sizes, of = Counter(), {d.doc_id: d.source for d in docs}
+    for doc, n in size.items():
+        sizes[of[doc]] += n
+    target, taken = brute_targets(sizes), Counter()
+    got = query_mix.op1_mix_sources(spark, FOLDER).collect()
+    for r in got:
+        assert r["size"] == size[r.doc_id] and r.source_size == sizes[of[r.doc_id]] and 0 <= r.taken <= 2 * r["size"]
+        assert r.target == pytest.approx(target[of[r.doc_id]])
+        taken[of[r.doc_id]] += r.taken
+    assert len(got) == len(docs) and all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    assert sorted(got) == sorted(query_mix.op1_mix_sources(spark, FOLDER).collect())
+
+
+def test_slots_of_each_source_are_spread(spark):
+    sources = spark.createDataFrame([(0, 700), (1, 200), (2, 100), (3, 0)], "sid long, words long")
+    order = [r.sid for r in mixing.schedule(sources, 1).orderBy("slot").collect()]
+    assert Counter(order) == {0: 700, 1: 200, 2: 100}
+    for low in range(0, 1000, 100):
+        part = Counter(order[low:low + 100])
+        assert abs(part[0] - 70) <= 6 and abs(part[1] - 20) <= 6 and abs(part[2] - 10) <= 6
+    ranks = [r["rank"] for r in mixing.schedule(sources, 1).where("sid = 1").orderBy("slot").collect()]
+    assert ranks == list(range(200))
+
+
+def test_mix_of_odd_rows(spark, odd):
+    rows, pieces = mixing.mix_sources(odd)
+    got = mixing.taken_words(rows, pieces).collect()
+    assert len(got) == len(ODD) and all(r.taken <= 2 * r["size"] for r in got)
+    assert sum(r.taken for r in got) == pytest.approx(1.5 * sum(r["size"] for r in got), abs=4)
+    rows, pieces = mixing.mix_sources(odd.where("doc_id <= 3"))
+    assert {r.taken for r in mixing.taken_words(rows, pieces).collect()} == {0}
+    rows, pieces = mixing.mix_sources(odd.limit(0))
+    assert mixing.taken_words(rows, pieces).count() == 0
+
+
+# -- pipeline -----------------------------------------------------------------
+
+def test_pipeline(spark):
+    # The smallest tables have too few labels to learn from.
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    counts, before = [docs.count()], docs
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        after = corpus_pipeline.materialize(stage(spark, before, folder), f"test-{number}")
+        assert after.dtypes == docs.dtypes
+        assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
+        counts.append(after.count())
+        before = after
+    assert counts[0] > counts[1] > counts[-1] > 0.5 * counts[0]
+    bench = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    assert not [r.doc_id for r in before.collect() if any(b in decontaminate.normal(r.text) for b in bench)]
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    bad = docs.join(labels, "doc_id").where("quality = 0").count()
+    left = before.join(labels, "doc_id").where("quality = 0").count()
+    assert left <= 0.2 * bad
+    mixed = corpus_pipeline.mix(spark, before, folder)
+    assert mixed.count() == counts[-1] and mixed.where(F.col("taken") > 2 * F.col("size")).count() == 0
+
+
+def test_the_rest_does_not_use_this_part():
+    root = pathlib.Path(corpus_pipeline.__file__).parent / "lumisift"
+    for path in root.rglob("*.py"):
+        if "llm" not in path.parts:
+            names = [getattr(n, "module", None) or a.name for n in ast.walk(ast.parse(path.read_text()))
+                     if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names]
+            assert not any("llm" in (n or "") for n in names), path
