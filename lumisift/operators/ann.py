@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lumisift.functions.vectors import SCORE_DIGITS, noise_floor
 from lumisift.operators.cutoff import Cutoff
-from lumisift.operators.search import finish_search, pool_size
+from lumisift.operators.search import finish_search, searched
 from lumisift.operators.topk import as_blocks, merge_top, scan_top, union_all
 from lumisift.plans.blocks import BLOCK_ROWS, Block, Blocks, matrix_blocks, vector_rows
 from lumisift.schema import small_table
@@ -159,7 +159,7 @@ def search_ivf(
 ) -> DataFrame:
     """:func:`lumisift.operators.search.search` with pools from the cells near each query."""
     blocks = as_blocks(queries, query_id)
-    pool = pool_size(cutoff, limit)
+    pool = searched(cutoff, limit, None)
     hits = knn_ivf(blocks, index, pool, nprobe, query_id)
     floor = noise_floor(max(blocks.dim, 1), sigmas)
     return finish_search(
@@ -207,6 +207,9 @@ def lsh_build(
         inputCol="_point", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables,
         seed=seed,
     )
+    # The commonest length is the dimension; vectors of another are left out.
+    dim = vectors.agg(F.mode(F.size("embedding"), deterministic=True)).first()[0]
+    vectors = vectors.where(F.size("embedding") == F.lit(dim))
     # The hash functions depend on the dimension only: one row is enough to make them.
     one = vectors.limit(1).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("_point"))
     model = lsh.fit(one)
@@ -225,7 +228,9 @@ def knn_lsh(
     """
     model = index.model()
     names = [f"h{i}" for i in range(model.getNumHashTables())]
-    hashed = _buckets(queries.select(query_id, "embedding"), model)
+    stored = index.vectors().select(F.size("embedding")).first()
+    asked_for = queries.select(query_id, "embedding").where(F.size("embedding") == F.lit(stored[0] if stored else 0))
+    hashed = _buckets(asked_for, model)
     scans = []
     for block in matrix_blocks(hashed, query_id, "embedding", extra=tuple(names)):
         asked = [block.extra[name] for name in names]

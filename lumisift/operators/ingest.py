@@ -92,7 +92,9 @@ def ingest_plan(
     memory = manifest
     if evict_first:
         stale = judged.where(F.col("action") == "stale")
-        memory = manifest.join(stale.select("path"), "path", "left_anti")
+        # Removed rows all have the path '': as one key they would fill a task.
+        memory = manifest.where("path != ''").join(stale.select("path"), "path", "left_anti")
+        memory = memory.select(*manifest.columns).unionByName(manifest.where("path = ''"))
     is_fresh = F.col("action").isin("new", "changed")
     candidates = judged.where(is_fresh)
     seen = known_hashes(asked_for(memory, candidates, "content_hash")).withColumn("_seen", F.lit(True))
@@ -111,19 +113,6 @@ def ingest_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count("*").alias("files"))
 
 
-def ingest_progress(indexed: int, total: int, removed: int, seconds: float) -> dict[str, float]:
-    """Counts of a run with share done, files per second and seconds left."""
-    rate = indexed / seconds if seconds > 0 else 0.0
-    return {
-        "indexed": indexed,
-        "total": total,
-        "removed": removed,
-        "done": indexed / max(total, 1),
-        "rate": rate,
-        "eta": (total - indexed) / rate if rate > 0 else 0.0,
-    }
-
-
 def assign_ids(batch: DataFrame, manifest: DataFrame, max_id: int) -> DataFrame:
     """Give each path of ``batch`` its ``image_id``: the stored one, or the next after ``max_id``.
 
@@ -153,12 +142,14 @@ def remove_paths(manifest: DataFrame, paths: DataFrame) -> DataFrame:
     """``manifest`` with the rows of ``paths(path)`` blanked; unknown paths change nothing."""
     gone = paths.select("path").distinct().withColumn("_gone", F.lit(True))
     keep = F.col("_gone").isNull()
-    return (
-        manifest.join(gone, "path", "left")
+    live = (
+        manifest.where("path != ''").join(gone, "path", "left")
         .withColumn("content_hash", F.when(keep, F.col("content_hash")).otherwise(""))
         .withColumn("path", F.when(keep, F.col("path")).otherwise(""))
         .select(*manifest.columns)
     )
+    # Rows removed earlier all have the path '': as one key they would fill a task.
+    return live.unionByName(manifest.where("path = ''"))
 
 
 def full_reindex(manifest: DataFrame) -> DataFrame:

@@ -102,15 +102,15 @@ def embedding_lookup(
     """Rows of ``table(idx, embedding)``, in order, for each ordered id list of ``df(key, ids)``.
 
     ``idx`` counts from 0 without gaps; a negative id counts from the end. An id
-    outside the table gives a null entry. An id that fills most lists, such as
+    outside the table gives a null entry. An empty or null list gives an empty one. An id that fills most lists, such as
     padding, is looked up where it lies.
     """
     size = table.agg(F.count("*")).scalar()
-    asked = df.select(key, F.posexplode(ids).alias("_pos", "_id")).select(
+    asked = df.select(key, F.posexplode_outer(ids).alias("_pos", "_id")).select(
         key, "_pos", F.when(F.col("_id") < 0, size + F.col("_id")).otherwise(F.col("_id")).alias(index)
     )
     found = lookup_join(asked, table.select(index, vector), index, "left")
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", vector)))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", vector))))
     return found.groupBy(key).agg(F.transform(ordered, lambda e: e[vector]).alias("rows"))
 
 

@@ -31,6 +31,11 @@ def pool_size(cutoff: Cutoff, limit: int) -> int:
     return min(max(limit * POOL_FACTOR, POOL_MIN), POOL_MAX)
 
 
+def searched(cutoff: Cutoff, limit: int, pool: int | None) -> int:
+    """Candidates per query of a search: ``pool`` or the fixed rule, and never fewer than the limit asks for."""
+    return max(pool_size(cutoff, limit) if pool is None else pool, limit)
+
+
 def candidate_pool(
     scored: DataFrame, cutoff: Cutoff = "auto", limit: int = 0, query_id: str = "query_id"
 ) -> DataFrame:
@@ -79,9 +84,12 @@ def search(
     pool_scope: str = "corpus",
     sigmas: float = 3.0,
     query_id: str = "query_id",
+    pool: int | None = None,
 ) -> DataFrame:
     """Images under ``directory`` that match each query: ``(query_id, rank, score, path, image_id)``.
 
+    The cutoff sees the best ``pool`` images of a query; without it the rule of :func:`pool_size`
+    holds, except that a larger ``limit`` is always met. With neither, no more come back than that rule says.
     ``pool_scope="corpus"`` fills the pool from the whole index, so that other
     directories can crowd it; ``"prefix"`` fills it from ``directory`` alone.
     """
@@ -89,7 +97,7 @@ def search(
         raise ValueError(f"invalid pool_scope: {pool_scope} (use corpus or prefix)")
     cutoff = parse_cutoff(cutoff)
     blocks = as_blocks(queries, query_id)
-    pool = pool_size(cutoff, limit)
+    pool = searched(cutoff, limit, pool)
     if pool_scope == "prefix":
         inside = prefix_filter(manifest, directory).select("image_id")
         vectors = vectors.join(inside, "image_id", "left_semi")

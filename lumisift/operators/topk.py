@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lumisift.functions.vectors import SCORE_DIGITS, score
@@ -88,7 +89,7 @@ def scan_top(
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best k vectors per query of ``block`` in each task of the scan."""
-    key_type = T.StructField(query_id, _spark_type(block.keys.type))
+    key_type = T.StructField(query_id, from_arrow_type(block.keys.type))
     schema = T.StructType([
         key_type,
         T.StructField("image_id", T.LongType()),
@@ -118,12 +119,6 @@ def scan_top(
     return vectors.select("image_id", "embedding", *carry).mapInArrow(scan, schema)
 
 
-def _spark_type(arrow_type: pa.DataType) -> T.DataType:
-    if pa.types.is_string(arrow_type) or pa.types.is_large_string(arrow_type):
-        return T.StringType()
-    return T.IntegerType() if pa.types.is_int32(arrow_type) else T.LongType()
-
-
 def merge_top(scored: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
     """Best k rows per query, ``rank`` from 1: score descending, then image_id.
 

@@ -3,7 +3,7 @@
 Query vectors, cluster centres and projection weights are shipped to the tasks
 that scan the corpus. One block holds at most ``BLOCK_ROWS`` vectors (25 MB of
 doubles at 768 dimensions); a table with more rows becomes several blocks, each
-its own scan, so memory stays bounded however many rows there are.
+its own scan, so a task holds one block however many there are; the driver holds all.
 """
 
 from __future__ import annotations
@@ -65,14 +65,16 @@ def matrix_blocks(
 ) -> Blocks:
     """Blocks of ``df`` in order of the unique ``key``.
 
-    ``dim`` defaults to the dimension of the first vector; rows of another
-    dimension are left out. ``df`` is computed once.
+    ``dim`` defaults to the commonest dimension of the first block, whatever the order of its
+    rows; rows of another dimension are left out. ``df`` is computed more than once: store it
+    first when that is costly.
     """
     wanted = df.select(key, vector, *extra)
     head = wanted.limit(BLOCK_ROWS + 1).toArrow()
     if dim is None:
-        lengths = pc.list_value_length(head.column(vector))
-        dim = lengths[0].as_py() if head.num_rows else 0
+        lengths = pc.list_value_length(head.column(vector)).drop_null().to_numpy()
+        counts = np.bincount(lengths) if len(lengths) else np.zeros(1)
+        dim = int(np.argmax(counts))
     if head.num_rows <= BLOCK_ROWS:
         return Blocks(head.num_rows, dim, head, None, key, vector)
     numbered = dense_ids(wanted, key, start=0, name="_row")

@@ -11,7 +11,7 @@ from lumisift.functions.content import content_fingerprint
 from lumisift.functions.paths import directory_prefix
 from lumisift.functions.vectors import noise_floor
 from lumisift.operators.cutoff import Cutoff, parse_cutoff
-from lumisift.operators.search import finish_search, pool_size
+from lumisift.operators.search import finish_search, searched
 from lumisift.operators.topk import as_blocks, knn_exact, merge_top
 from lumisift.plans.blocks import Blocks
 from lumisift.plans.jobs import ingest
@@ -116,7 +116,7 @@ class LiveTopK:
     def __call__(self, store: IndexStore, before: State, after: State) -> None:
         if self.state and after.version == self.state.version:
             return
-        size = pool_size(self.cutoff, self.limit)
+        size = searched(self.cutoff, self.limit, None)
         follows = self.state and before.version == self.state.version
         if follows and after.voided == before.voided and after.base == before.base:
             added = store.added_vectors(before.version, after.version)
@@ -130,7 +130,7 @@ class LiveTopK:
 
     def results(self, store: IndexStore) -> DataFrame:
         """Current results, as of the last refresh."""
-        size = pool_size(self.cutoff, self.limit)
+        size = searched(self.cutoff, self.limit, None)
         return finish_search(
             self.pools, store.manifest(self.state), self.directory, self.limit, self.cutoff,
             self.floor, self.query_id, most=self.blocks.rows * size,

@@ -105,5 +105,5 @@ def test_parse_cutoff():
     assert parse_cutoff("none") == "none"
     assert parse_cutoff("0.25") == 0.25
     assert parse_cutoff(0.5) == 0.5
-    with pytest.raises(ValueError, match="invalid cutoff"):
+    with pytest.raises(ValueError, match="is no cutoff"):
         parse_cutoff("best")

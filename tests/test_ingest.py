@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lumisift.operators.checks import UNKNOWN_CHECKSUM, orphan_files, verify_checksums
 from lumisift.operators.ingest import (
-    detect_changed, detect_stale, full_reindex, ingest_counts, ingest_plan, ingest_progress,
+    detect_changed, detect_stale, full_reindex, ingest_counts, ingest_plan,
     remove_paths, skip_seen_content, upsert_manifest,
 )
 from lumisift.schema import MANIFEST
@@ -115,11 +115,6 @@ def test_removed_ids_are_not_used_again(spark, manifest):
     assert back.where(F.col("path") == "/dd/other.jpg").first().image_id == 7
 
 
-def test_progress():
-    assert ingest_progress(50, 200, 3, 10.0) == {
-        "indexed": 50, "total": 200, "removed": 3, "done": 0.25, "rate": 5.0, "eta": 30.0}
-    assert ingest_progress(0, 0, 0, 0.0)["eta"] == 0.0
-
 
 def test_checksums(spark):
     files = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("old", "9")], "filename string, sha256 string")
@@ -129,3 +124,11 @@ def test_checksums(spark):
     got = {r.filename: r.status for r in verify_checksums(files, expected).collect()}
     assert got == {"a": "ok", "b": "mismatch", "c": "unverified", "d": "missing", "e": "missing"}
     assert [r.filename for r in orphan_files(files, expected).collect()] == ["old"]
+
+
+def test_removed_rows_stay_removed(spark):
+    rows = [(1, "/a", "h1"), (2, "", ""), (3, "", ""), (4, "/b", "h4")]
+    manifest = spark.createDataFrame(rows, "image_id long, path string, content_hash string")
+    gone = spark.createDataFrame([("/b",), ("",), ("/c",)], "path string")
+    got = {r.image_id: r.path for r in remove_paths(manifest, gone).collect()}
+    assert got == {1: "/a", 2: "", 3: "", 4: ""}

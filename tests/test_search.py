@@ -93,3 +93,19 @@ def test_decorate(spark):
     df = spark.createDataFrame(rows, "query_id long, rank int, score double, path string")
     got = {(r.query_id, r["rank"]): (r.name, r.score_label, r.position) for r in decorate_results(df).collect()}
     assert got == {(1, 1): ("b.jpg", "0.46", "1/2"), (1, 2): ("/", None, "2/2"), (2, 1): ("c.jpg", None, "1/1")}
+
+
+def test_limit_is_met_beyond_the_pool(spark, queries, vectors):
+    points = vectors({i: [1.0, 0.0001 * i] for i in range(1, 801)})
+    manifest = spark.createDataFrame([(i, f"/a/{i}.jpg") for i in range(1, 801)], "image_id long, path string")
+    got = search(queries({1: [1, 0]}), points, manifest, "/a", limit=700, cutoff=0.2)
+    assert got.count() == 700
+    assert search(queries({1: [1, 0]}), points, manifest, "/a", limit=2, cutoff=0.2, pool=1).count() == 2
+
+
+def test_queries_of_another_length_cost_no_others(spark, vectors):
+    rows = [(0, None), (1, [1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
+    asked = spark.createDataFrame(rows, "query_id short, embedding array<float>")
+    manifest = spark.createDataFrame([(7, "/a/7.jpg")], "image_id long, path string")
+    got = search(asked, vectors({7: [1, 1]}), manifest, "/a", cutoff="none")
+    assert [(r.query_id, r.path) for r in got.orderBy("query_id").collect()] == [(2, "/a/7.jpg"), (3, "/a/7.jpg")]

@@ -77,3 +77,10 @@ def test_summarize_runs(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (6.0,)], "ms double")
     assert tuple(R.summarize_runs(df, "ms").first()) == (1.0, 3.0, 6.0)
     assert math.isclose(R.summarize_runs(df, "ms").first()["mean"], 3.0)
+
+
+def test_lookup_keeps_empty_lists(spark):
+    table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "idx long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1, 0, 5]), (2, []), (3, None)], "key long, ids array<long>")
+    got = {r.key: r.rows for r in R.embedding_lookup(asked, table).collect()}
+    assert got == {1: [[2.0], [1.0], None], 2: [], 3: []}
