@@ -3,8 +3,13 @@
 A target and a background model count the word bigrams of their documents. They have the
 same order, smoothing and vocabulary, all words of both, so the losses of a token differ
 by what the models have seen alone. The mean difference over a document's tokens scores
-it: below zero, it is likelier under the target. Counts are tables, summed up per Arrow
-batch before they are shuffled, and grow with the corpus; none is collected.
+it: below zero, it is likelier under the target.
+
+A row per document and bigram would make the shuffles several times the text. So documents
+go to packs by a hash of their content. A pack asks once for each bigram and context it
+has, with its own counts, in one array per bucket of keys; a bucket sums up over packs and
+answers with totals in the order asked, without the keys. Models grow with the corpus; no
+task has more than a pack or a bucket, and a frequent bigram is one entry per pack.
 """
 
 from __future__ import annotations
@@ -13,53 +18,123 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from lumisift.llm.shingles import mix, word_hashes
 from lumisift.plans.scratch import materialize
 
 SMOOTH = 0.1
+
+# Text in a pack, and text whose keys fill a bucket.
+PACK_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
+
 _START = np.uint64(1)
+_CONTEXT = np.uint64(0xA0761D6478BD642F)
 
 
-def _bigrams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word in front of each word, a mark for the first, and a number for the two together."""
-    before = np.concatenate([[_START], words[:-1]]).astype(np.uint64)
-    return before, mix(before * np.uint64(3) + words)
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bigram that ends in each word, the context in front of it, and how many words each text has."""
+    words, at = word_hashes(texts)
+    sizes = np.diff(at)
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[at[:-1][sizes > 0]] = _START
+    return mix(before * np.uint64(3) + words), mix(before ^ _CONTEXT), sizes
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """``(gram, before, target, background)`` over ``docs(text, is_target)``."""
+def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of bigrams and contexts, the place there of each token's two, and the sizes of the texts."""
+    grams, contexts, sizes = _tokens(texts)
+    keys, place = np.unique(np.concatenate([grams, contexts]), return_inverse=True)
+    return keys, place[:len(grams)], place[len(grams):], sizes
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table[name].combine_chunks()
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            words, at = word_hashes(part.column(0))
-            lists = [_bigrams(words[low:high]) for low, high in zip(at[:-1], at[1:], strict=True) if high > low]
-            none = np.empty(0, np.uint64)
-            before = np.concatenate([none, *(b for b, _ in lists)])
-            grams, first, place = np.unique(np.concatenate([none, *(g for _, g in lists)]), return_index=True, return_inverse=True)
-            target = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-            counts = [np.bincount(place[kind], minlength=len(grams)) for kind in (target, ~target)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams.view(np.int64)), pa.array(before[first].view(np.int64)), *map(pa.array, counts)],
-                ["gram", "before", "target", "background"])
 
-    made = docs.select("text", "is_target").mapInArrow(batches, "gram bigint, before bigint, target bigint, background bigint")
-    return made.groupBy("gram", "before").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return _column(table, name).flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def document_grams(docs: DataFrame) -> DataFrame:
-    """``(row, gram, n)`` of ``docs(row, text)``: how often each bigram stands in a document."""
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int64()))
+
+
+def distinct_contexts(docs: DataFrame) -> int:
+    """Words that stand in front of others in ``docs(text)``, the start of a text included."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            words, at = word_hashes(part.column(1))
-            for row, low, high in zip(part.column(0).to_pylist(), at[:-1], at[1:], strict=True):
-                grams, counts = np.unique(_bigrams(words[low:high])[1] if high > low else np.empty(0, np.uint64), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(grams), row)), pa.array(grams.view(np.int64)), pa.array(counts)], ["row", "gram", "n"])
+            contexts = np.unique(_tokens(part.column(0))[1])
+            yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64))], ["context"])
+
+    return docs.select("text").mapInArrow(batches, "context bigint").distinct().count()
+
+
+def asked(packs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, pack, keys, target, background)``: the keys of each pack, with its own counts.
+
+    ``packs(pack, doc_id, text, copies)``; ``targets(pack, doc_id)`` tells which of them make the target model.
+    """
 
-    return docs.select("row", "text").mapInArrow(batches, "row bigint, gram bigint, n bigint")
+    def ask(docs: pa.Table, marked: pa.Table) -> pa.Table:
+        keys, grams, contexts, sizes = _keys(_column(docs, "text"))
+        is_target = pc.is_in(docs["doc_id"], value_set=_column(marked, "doc_id")).to_numpy()
+        copies = docs["copies"].to_numpy()
+        places = np.concatenate([grams, contexts])
+        counts = []
+        for kind in (is_target, ~is_target):
+            each = np.repeat(copies * kind, sizes)
+            counts.append(np.bincount(places, np.concatenate([each, each]), len(keys)).astype(np.int64))
+        # Keys are sorted, so those of a bucket, a range of hashes, stand together.
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        heads = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
+        at = np.append(heads, len(keys))
+        pack = docs["pack"][0].as_py() if len(docs) else 0
+        return pa.table({
+            "bucket": pa.array(bucket[heads].astype(np.int64)), "pack": pa.array(np.full(len(heads), pack, np.int64)),
+            "keys": _lists(keys.view(np.int64), at), "target": _lists(counts[0], at), "background": _lists(counts[1], at)})
+
+    return packs.groupBy("pack").cogroup(targets.groupBy("pack")).applyInArrow(
+        ask, "bucket bigint, pack bigint, keys array<bigint>, target array<bigint>, background array<bigint>")
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """``(pack, bucket, target, background)``: counts over all packs, in the order of the keys asked for."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(table["keys"]).to_numpy())])
+        _, place = np.unique(_flat(table, "keys"), return_inverse=True)
+        totals = [np.bincount(place, _flat(table, kind)).astype(np.int64)[place] for kind in ("target", "background")]
+        return pa.table({"pack": table["pack"], "bucket": table["bucket"], "target": _lists(totals[0], at), "background": _lists(totals[1], at)})
+
+    return requests.groupBy("bucket").applyInArrow(
+        answer, "pack bigint, bucket bigint, target array<bigint>, background array<bigint>")
+
+
+def scored(packs: DataFrame, answers: DataFrame, vocabulary: int, smooth: float) -> DataFrame:
+    """``(doc_id, n_tokens, score)`` of the documents of each pack, from the totals of its keys."""
+    weight = smooth * max(vocabulary, 1)
+
+    def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        _, grams, contexts, sizes = _keys(_column(docs, "text"))
+        totals = totals.sort_by("bucket")
+        target, background = _flat(totals, "target"), _flat(totals, "background")
+        seen = np.log((background + smooth) / (target + smooth))
+        ahead = np.log((target + weight) / (background + weight))
+        losses = seen[grams] + ahead[contexts]
+        means = np.zeros(len(sizes))
+        some = sizes > 0
+        if some.any():
+            means[some] = np.add.reduceat(losses, (np.cumsum(sizes) - sizes)[some]) / sizes[some]
+        return pa.table({"doc_id": docs["doc_id"], "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array(means)})
+
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(
+        score, "doc_id bigint, n_tokens bigint, score double")
 
 
 def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", smooth: float = SMOOTH) -> DataFrame:
@@ -67,28 +142,21 @@ def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", tex
 
     Documents whose key is in ``target(doc_id)`` make the target model, the others the background. ``score`` is the
     mean over the tokens of the target's loss less the background's. A null or empty text has no tokens and the
-    score 0. Rows with the same key and text are one document and come back once; other columns are not looked at.
+    score 0. Rows with the same key and text are one document and come back once, but the models count each; other
+    columns are not looked at.
     """
-    wanted = target.select(F.col("doc_id").cast("bigint").alias("__key")).where("__key IS NOT NULL").distinct()
+    wanted = target.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     chosen = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    marked = chosen.join(wanted.withColumn("is_target", F.lit(True)), F.col("doc_id") == F.col("__key"), "left")
-    counts = materialize(gram_counts(marked.select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))), "lm-counts")
-    totals = materialize(counts.groupBy("before").agg(
-        F.sum("target").alias("all_target"), F.sum("background").alias("all_background")), "lm-contexts")
-    words = float(max(totals.count(), 1))
-
-    def loss(kind: str) -> Column:
-        return -F.log((F.col(kind) + smooth) / (F.col(f"all_{kind}") + smooth * words))
-
-    differences = materialize(counts.join(totals, "before").select(
-        "gram", (loss("target") - loss("background")).alias("difference")), "lm-differences")
-    rows = chosen.withColumn("row", F.xxhash64("doc_id", "text"))
-    grams = document_grams(rows).join(differences, "gram")
-    sums = grams.groupBy("row").agg(F.sum(F.col("n") * F.col("difference")).alias("sum"))
-    sizes = rows.select("doc_id", "row", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n_tokens"))
-    scored = sizes.distinct().join(sums, "row", "left")
-    # Repeated rows are summed together; their number cancels out in the mean.
-    copies = sizes.groupBy("row").agg(F.count("*").alias("copies"))
-    mean = F.col("sum") / (F.col("n_tokens") * F.col("copies"))
-    return scored.join(copies, "row").select(
-        "doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.coalesce(mean, F.lit(0.0))).otherwise(0.0).alias("score"))
+    content = F.xxhash64("doc_id", "text")
+    facts = chosen.groupBy(content.alias("content")).agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).agg(
+        F.max("n").alias("copies"), F.sum("size").alias("size")).first()
+    size = facts["size"] or 0
+    # Repeated rows would all fall into one pack: they become one row first.
+    if (facts["copies"] or 0) > 1:
+        rows = materialize(chosen.groupBy("doc_id", "text").agg(F.count("*").alias("copies")), "lm-rows")
+    else:
+        rows = chosen.withColumn("copies", F.lit(1).cast("bigint"))
+    packs = rows.withColumn("pack", F.pmod(content, F.lit(-(-size // PACK_BYTES) or 1).cast("bigint")))
+    targets = materialize(packs.select("doc_id", "pack").distinct().join(wanted, "doc_id", "left_semi"), "lm-targets")
+    answers = answered(asked(packs, targets, -(-size // BUCKET_BYTES) or 1))
+    return scored(packs, answers, distinct_contexts(chosen), smooth)
