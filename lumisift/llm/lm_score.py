@@ -8,14 +8,13 @@ it: below zero, it is likelier under the target.
 A row per document and bigram would make the shuffles several times the text. So documents
 go to packs by a hash of their content. A pack asks once for each bigram and context it
 has, with its own counts, in one array per bucket of keys; a bucket sums up over packs and
-answers with totals in the order asked, without the keys. Models grow with the corpus; no
-task has more than a pack or a bucket, and a frequent bigram is one entry per pack.
+answers with the counts of the others in the order asked, without the keys. Most are zero.
+Models grow with the corpus; no task has more than a pack or a bucket, and a frequent bigram
+is one entry per pack.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +31,10 @@ BUCKET_BYTES = 32 << 20
 
 _START = np.uint64(1)
 _CONTEXT = np.uint64(0xA0761D6478BD642F)
+# The last bit of a key tells contexts from bigrams.
+_BIT = np.uint64(1)
+
+_ANSWER = "pack bigint, bucket bigint, contexts bigint, target array<bigint>, background array<bigint>, marked array<bigint>"
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +44,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[at[:-1][sizes > 0]] = _START
-    return mix(before * np.uint64(3) + words), mix(before ^ _CONTEXT), sizes
+    return mix(before * np.uint64(3) + words) & ~_BIT, mix(before ^ _CONTEXT) | _BIT, sizes
 
 
 def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,66 +67,71 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int64()))
 
 
-def distinct_contexts(docs: DataFrame) -> int:
-    """Words that stand in front of others in ``docs(text)``, the start of a text included."""
+def _own(table: pa.Table, marked: pa.Array, place: np.ndarray, sizes: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each key stands in the target's documents of a pack, and in all of them."""
+    copies = table["copies"].to_numpy()
+    is_target = pc.is_in(table["doc_id"], value_set=marked).to_numpy()
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            contexts = np.unique(_tokens(part.column(0))[1])
-            yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64))], ["context"])
+    def count(weights: np.ndarray) -> np.ndarray:
+        each = np.repeat(weights, sizes)
+        return np.bincount(place, np.concatenate([each, each]), keys).astype(np.int64)
 
-    return docs.select("text").mapInArrow(batches, "context bigint").distinct().count()
+    return count(copies * is_target), count(copies)
 
 
 def asked(packs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
-    """``(bucket, pack, keys, target, background)``: the keys of each pack, with its own counts.
+    """``(bucket, pack, keys, target, n)``: the keys of each pack, with its own counts; a row per bucket, also without keys.
 
     ``packs(pack, doc_id, text, copies)``; ``targets(pack, doc_id)`` tells which of them make the target model.
     """
 
     def ask(docs: pa.Table, marked: pa.Table) -> pa.Table:
         keys, grams, contexts, sizes = _keys(_column(docs, "text"))
-        is_target = pc.is_in(docs["doc_id"], value_set=_column(marked, "doc_id")).to_numpy()
-        copies = docs["copies"].to_numpy()
-        places = np.concatenate([grams, contexts])
-        counts = []
-        for kind in (is_target, ~is_target):
-            each = np.repeat(copies * kind, sizes)
-            counts.append(np.bincount(places, np.concatenate([each, each]), len(keys)).astype(np.int64))
+        target, every = _own(docs, _column(marked, "doc_id"), np.concatenate([grams, contexts]), sizes, len(keys))
         # Keys are sorted, so those of a bucket, a range of hashes, stand together.
         bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        heads = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-        at = np.append(heads, len(keys))
-        pack = docs["pack"][0].as_py() if len(docs) else 0
+        at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         return pa.table({
-            "bucket": pa.array(bucket[heads].astype(np.int64)), "pack": pa.array(np.full(len(heads), pack, np.int64)),
-            "keys": _lists(keys.view(np.int64), at), "target": _lists(counts[0], at), "background": _lists(counts[1], at)})
+            "bucket": pa.array(np.arange(buckets)), "pack": pa.array(np.full(buckets, docs["pack"][0].as_py(), np.int64)),
+            "keys": _lists(keys.view(np.int64), at), "target": _lists(target, at), "n": _lists(every, at)})
 
     return packs.groupBy("pack").cogroup(targets.groupBy("pack")).applyInArrow(
-        ask, "bucket bigint, pack bigint, keys array<bigint>, target array<bigint>, background array<bigint>")
+        ask, "bucket bigint, pack bigint, keys array<bigint>, target array<bigint>, n array<bigint>")
 
 
 def answered(requests: DataFrame) -> DataFrame:
-    """``(pack, bucket, target, background)``: counts over all packs, in the order of the keys asked for."""
+    """``(pack, bucket, contexts, target, background, marked)`` for each request.
+
+    ``target`` and ``background`` are the counts of other packs, in the order of the keys asked for; ``contexts`` is how
+    many distinct ones the bucket has. ``marked`` is null.
+    """
 
     def answer(table: pa.Table) -> pa.Table:
         at = np.concatenate([[0], np.cumsum(pc.list_value_length(table["keys"]).to_numpy())])
-        _, place = np.unique(_flat(table, "keys"), return_inverse=True)
-        totals = [np.bincount(place, _flat(table, kind)).astype(np.int64)[place] for kind in ("target", "background")]
-        return pa.table({"pack": table["pack"], "bucket": table["bucket"], "target": _lists(totals[0], at), "background": _lists(totals[1], at)})
+        keys, place = np.unique(_flat(table, "keys"), return_inverse=True)
+        target, every = _flat(table, "target"), _flat(table, "n")
+        others = [np.bincount(place, own).astype(np.int64)[place] - own for own in (target, every - target)]
+        contexts = int((keys.view(np.uint64) & _BIT).sum())
+        return pa.table({
+            "pack": table["pack"], "bucket": table["bucket"], "contexts": pa.array(np.full(len(table), contexts)),
+            "target": _lists(others[0], at), "background": _lists(others[1], at), "marked": pa.nulls(len(table), pa.list_(pa.int64()))})
 
-    return requests.groupBy("bucket").applyInArrow(
-        answer, "pack bigint, bucket bigint, target array<bigint>, background array<bigint>")
+    return requests.groupBy("bucket").applyInArrow(answer, _ANSWER)
 
 
-def scored(packs: DataFrame, answers: DataFrame, vocabulary: int, smooth: float) -> DataFrame:
-    """``(doc_id, n_tokens, score)`` of the documents of each pack, from the totals of its keys."""
-    weight = smooth * max(vocabulary, 1)
+def scored(packs: DataFrame, targets: DataFrame, answers: DataFrame, smooth: float) -> DataFrame:
+    """``(doc_id, n_tokens, score)`` of the documents of each pack, from the answers to what it asked."""
+    ids = targets.groupBy("pack").agg(F.collect_list("doc_id").alias("marked"))
+    # A pack's targets are no more than its documents.
+    told = answers.unionByName(ids, allowMissingColumns=True)
 
-    def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        _, grams, contexts, sizes = _keys(_column(docs, "text"))
-        totals = totals.sort_by("bucket")
-        target, background = _flat(totals, "target"), _flat(totals, "background")
+    def score(docs: pa.Table, told: pa.Table) -> pa.Table:
+        keys, grams, contexts, sizes = _keys(_column(docs, "text"))
+        marked = pa.array(_flat(told, "marked"), pa.int64())
+        own, every = _own(docs, marked, np.concatenate([grams, contexts]), sizes, len(keys))
+        weight = smooth * max(pc.sum(told["contexts"]).as_py() or 0, 1)
+        told = told.sort_by("bucket")
+        target, background = _flat(told, "target") + own, _flat(told, "background") + every - own
         seen = np.log((background + smooth) / (target + smooth))
         ahead = np.log((target + weight) / (background + weight))
         losses = seen[grams] + ahead[contexts]
@@ -133,7 +141,7 @@ def scored(packs: DataFrame, answers: DataFrame, vocabulary: int, smooth: float)
             means[some] = np.add.reduceat(losses, (np.cumsum(sizes) - sizes)[some]) / sizes[some]
         return pa.table({"doc_id": docs["doc_id"], "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array(means)})
 
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(
+    return packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(
         score, "doc_id bigint, n_tokens bigint, score double")
 
 
@@ -159,4 +167,4 @@ def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", tex
     packs = rows.withColumn("pack", F.pmod(content, F.lit(-(-size // PACK_BYTES) or 1).cast("bigint")))
     targets = materialize(packs.select("doc_id", "pack").distinct().join(wanted, "doc_id", "left_semi"), "lm-targets")
     answers = answered(asked(packs, targets, -(-size // BUCKET_BYTES) or 1))
-    return scored(packs, answers, distinct_contexts(chosen), smooth)
+    return scored(packs, targets, answers, smooth)
