@@ -27,7 +27,7 @@ SMOOTH = 0.1
 
 # Text in a pack, and text whose keys fill a bucket.
 PACK_BYTES = 16 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 
 _START = np.uint64(1)
 _CONTEXT = np.uint64(0xA0761D6478BD642F)
@@ -67,14 +67,16 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _own(table: pa.Table, marked: pa.Array, place: np.ndarray, sizes: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+def _own(table: pa.Table, marked: pa.Array, places: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
     """How often each key stands in the target's documents of a pack, and in all of them."""
     copies = table["copies"].to_numpy()
     is_target = pc.is_in(table["doc_id"], value_set=marked).to_numpy()
 
     def count(weights: np.ndarray) -> np.ndarray:
-        each = np.repeat(weights, sizes)
-        return np.bincount(place, np.concatenate([each, each]), keys).astype(np.int64)
+        each = np.repeat(weights.astype(float), sizes)
+        total = np.bincount(places[0], each, keys)
+        total += np.bincount(places[1], each, keys)
+        return total.astype(np.int64)
 
     return count(copies * is_target), count(copies)
 
@@ -87,7 +89,7 @@ def asked(packs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
 
     def ask(docs: pa.Table, marked: pa.Table) -> pa.Table:
         keys, grams, contexts, sizes = _keys(_column(docs, "text"))
-        target, every = _own(docs, _column(marked, "doc_id"), np.concatenate([grams, contexts]), sizes, len(keys))
+        target, every = _own(docs, _column(marked, "doc_id"), (grams, contexts), sizes, len(keys))
         # Keys are sorted, so those of a bucket, a range of hashes, stand together.
         bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
@@ -128,7 +130,7 @@ def scored(packs: DataFrame, targets: DataFrame, answers: DataFrame, smooth: flo
     def score(docs: pa.Table, told: pa.Table) -> pa.Table:
         keys, grams, contexts, sizes = _keys(_column(docs, "text"))
         marked = pa.array(_flat(told, "marked"), pa.int64())
-        own, every = _own(docs, marked, np.concatenate([grams, contexts]), sizes, len(keys))
+        own, every = _own(docs, marked, (grams, contexts), sizes, len(keys))
         weight = smooth * max(pc.sum(told["contexts"]).as_py() or 0, 1)
         told = told.sort_by("bucket")
         target, background = _flat(told, "target") + own, _flat(told, "background") + every - own

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of words hashed at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
