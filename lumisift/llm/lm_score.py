@@ -81,6 +81,15 @@ def _own(table: pa.Table, marked: pa.Array, places: tuple[np.ndarray, np.ndarray
     return count(copies * is_target), count(copies)
 
 
+def _order(keys: np.ndarray, target: np.ndarray, every: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """In which order a pack asks for its sorted keys, and where each bucket's begin.
+
+    A bucket is a range of hashes. Within it equal counts stand together, so that they shrink to little when shuffled.
+    """
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.lexsort((target, every, bucket)), np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
 def asked(packs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     """``(bucket, pack, keys, target, n)``: the keys of each pack, with its own counts; a row per bucket, also without keys.
 
@@ -90,12 +99,10 @@ def asked(packs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     def ask(docs: pa.Table, marked: pa.Table) -> pa.Table:
         keys, grams, contexts, sizes = _keys(_column(docs, "text"))
         target, every = _own(docs, _column(marked, "doc_id"), (grams, contexts), sizes, len(keys))
-        # Keys are sorted, so those of a bucket, a range of hashes, stand together.
-        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        order, at = _order(keys, target, every, buckets)
         return pa.table({
             "bucket": pa.array(np.arange(buckets)), "pack": pa.array(np.full(buckets, docs["pack"][0].as_py(), np.int64)),
-            "keys": _lists(keys.view(np.int64), at), "target": _lists(target, at), "n": _lists(every, at)})
+            "keys": _lists(keys[order].view(np.int64), at), "target": _lists(target[order], at), "n": _lists(every[order], at)})
 
     return packs.groupBy("pack").cogroup(targets.groupBy("pack")).applyInArrow(
         ask, "bucket bigint, pack bigint, keys array<bigint>, target array<bigint>, n array<bigint>")
@@ -121,7 +128,7 @@ def answered(requests: DataFrame) -> DataFrame:
     return requests.groupBy("bucket").applyInArrow(answer, _ANSWER)
 
 
-def scored(packs: DataFrame, targets: DataFrame, answers: DataFrame, smooth: float) -> DataFrame:
+def scored(packs: DataFrame, targets: DataFrame, answers: DataFrame, buckets: int, smooth: float) -> DataFrame:
     """``(doc_id, n_tokens, score)`` of the documents of each pack, from the answers to what it asked."""
     ids = targets.groupBy("pack").agg(F.collect_list("doc_id").alias("marked"))
     # A pack's targets are no more than its documents.
@@ -133,7 +140,10 @@ def scored(packs: DataFrame, targets: DataFrame, answers: DataFrame, smooth: flo
         own, every = _own(docs, marked, (grams, contexts), sizes, len(keys))
         weight = smooth * max(pc.sum(told["contexts"]).as_py() or 0, 1)
         told = told.sort_by("bucket")
-        target, background = _flat(told, "target") + own, _flat(told, "background") + every - own
+        order, _ = _order(keys, own, every, buckets)
+        target, background = own.copy(), every - own
+        target[order] += _flat(told, "target")
+        background[order] += _flat(told, "background")
         seen = np.log((background + smooth) / (target + smooth))
         ahead = np.log((target + weight) / (background + weight))
         losses = seen[grams] + ahead[contexts]
@@ -168,5 +178,5 @@ def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", tex
         rows = chosen.withColumn("copies", F.lit(1).cast("bigint"))
     packs = rows.withColumn("pack", F.pmod(content, F.lit(-(-size // PACK_BYTES) or 1).cast("bigint")))
     targets = materialize(packs.select("doc_id", "pack").distinct().join(wanted, "doc_id", "left_semi"), "lm-targets")
-    answers = answered(asked(packs, targets, -(-size // BUCKET_BYTES) or 1))
-    return scored(packs, targets, answers, smooth)
+    buckets = -(-size // BUCKET_BYTES) or 1
+    return scored(packs, targets, answered(asked(packs, targets, buckets)), buckets, smooth)
