@@ -26,7 +26,7 @@ from lumisift.plans.scratch import materialize
 SMOOTH = 0.1
 
 # Text in a pack, and text whose keys fill a bucket.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 12 << 20
 BUCKET_BYTES = 16 << 20
 
 _START = np.uint64(1)
@@ -48,10 +48,11 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys of bigrams and contexts, the place there of each token's two, and the sizes of the texts."""
+    """Distinct keys of bigrams, then of contexts, the place there of each token's two, and the sizes of the texts."""
     grams, contexts, sizes = _tokens(texts)
-    keys, place = np.unique(np.concatenate([grams, contexts]), return_inverse=True)
-    return keys, place[:len(grams)], place[len(grams):], sizes
+    grams, of_gram = np.unique(grams, return_inverse=True)
+    contexts, of_context = np.unique(contexts, return_inverse=True)
+    return np.concatenate([grams, contexts]), of_gram, of_context + len(grams), sizes
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -82,12 +83,12 @@ def _own(table: pa.Table, marked: pa.Array, places: tuple[np.ndarray, np.ndarray
 
 
 def _order(keys: np.ndarray, target: np.ndarray, every: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """In which order a pack asks for its sorted keys, and where each bucket's begin.
+    """In which order a pack asks for its keys, and where each bucket's begin.
 
     A bucket is a range of hashes. Within it equal counts stand together, so that they shrink to little when shuffled.
     """
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.lexsort((target, every, bucket)), np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    return np.lexsort((target, every, bucket)), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
 
 def asked(packs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
