@@ -29,7 +29,12 @@ def brute(rows, good, smooth=0.1):
     return {doc: sum(loss(1, g) - loss(0, g) for g in found) / max(len(found), 1) for doc, found in grams.items()}
 
 
-def test_query(spark):
+@pytest.mark.parametrize("size", [None, 40_000])
+def test_query(spark, monkeypatch, size):
+    if size:
+        # Several packs and buckets.
+        monkeypatch.setattr(lm_score, "PACK_BYTES", size)
+        monkeypatch.setattr(lm_score, "BUCKET_BYTES", 2 * size)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     good = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1").collect()}
     want = brute(rows, good)
