@@ -19,7 +19,7 @@ from lumisift.operators.ingest import (
 from lumisift.plans.scratch import materialize
 from lumisift.plans.skew import asked_for
 from lumisift.schema import MANIFEST
-from lumisift.sources.files import full_path, pick_images, read_content, scan_files
+from lumisift.sources.files import full_path, missing_files, pick_images, read_content, scan_files
 from lumisift.sources.store import IndexStore, State
 
 # From files(path, mtime, size, content_hash) to the same rows with an embedding;
@@ -54,6 +54,7 @@ def ingest(
     evict_first: bool = False,
     seen_version: int | None = None,
     source: str = "",
+    look_first: bool = False,
 ) -> IngestRun:
     """Bring the index up to date with ``disk(path, mtime, size)``, the listing of ``directory``.
 
@@ -64,7 +65,8 @@ def ingest(
 
     ``seen_version`` names the version whose content counts as known; by default
     the current one. ``refresh_mtime`` stores the new mtime of files that were touched
-    but not changed.
+    but not changed. With ``look_first`` a path that the listing lacks is removed only if no
+    file is there: listings leave out empty files and those of other kinds.
     """
     state = store.state()
     manifest = store.manifest(state)
@@ -76,6 +78,8 @@ def ingest(
     stale = None
     if update and directory is not None:
         stale = detect_stale(manifest, disk, directory)
+        if look_first:
+            stale = materialize(missing_files(stale), "stale")
     memory = manifest if seen_version is None else store.manifest(seen_version)
     if evict_first and stale is not None:
         memory = memory.join(stale.select("path"), "path", "left_anti")
@@ -154,4 +158,4 @@ def ingest_images(
         return fresh.join(vectors.select("path", "embedding"), "path")
 
     listed = filter_extensions(scan_files(store.spark, root))
-    return ingest(store, listed, embedder, full_path(store.spark, root), dim, **options)
+    return ingest(store, listed, embedder, full_path(store.spark, root), dim, **{"look_first": True} | options)

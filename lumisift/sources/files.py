@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -44,38 +45,104 @@ def read_content(files: DataFrame, head: int | None = HEAD_BYTES, path: str = "p
 
     Only the listed files are opened, and only their heads are read, so that
     fingerprints of a few changed files do not cost a read of the whole collection.
-    A file that cannot be read is left out.
+    A file that is gone or may not be read is left out, see :func:`rejected_files`. Where the
+    store itself cannot be reached, also on a third try, the job fails.
     """
-    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+    return _contents(files, head, path).where("_reason IS NULL").drop("_reason")
+
+
+def rejected_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """``(path, reason)`` of the ``files`` that :func:`read_content` leaves out."""
+    failed = _contents(files, 1, path).where("_reason IS NOT NULL")
+    return failed.select(F.col(path).alias("path"), F.col("_reason").alias("reason"))
+
+
+def _contents(files: DataFrame, head: int | None, path: str) -> DataFrame:
+    """``files`` with ``content``, or with the ``_reason`` why there is none."""
+    schema = T.StructType([
+        *files.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("_reason", T.StringType())])
     position = files.columns.index(path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[str, pafs.FileSystem] = {}
+        opened: dict[tuple[str, str], tuple[pafs.FileSystem, str]] = {}
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 found = [_read(opened, p, head) for p in part.column(position).to_pylist()]
-                kept = [i for i, content in enumerate(found) if content is not None]
-                taken = part.take(pa.array(kept, pa.int64()))
-                content = pa.array([found[i] for i in kept], pa.binary())
-                yield pa.RecordBatch.from_arrays([*taken.columns, content], names=schema.fieldNames())
+                content = pa.array([c for c, _ in found], pa.binary())
+                reason = pa.array([r for _, r in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, content, reason], names=schema.fieldNames())
 
     return files.mapInArrow(read, schema)
 
 
-def _read(opened: dict[str, pafs.FileSystem], path: str, head: int | None) -> bytes | None:
-    scheme = path.partition("://")[0] if "://" in path else ""
+def missing_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """The rows of ``files`` whose file is not there. Empty files, which no listing names, are."""
+    return _looked_up(files, path, gone=True)
+
+
+def _looked_up(files: DataFrame, path: str, gone: bool) -> DataFrame:
+    position = files.columns.index(path)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[tuple[str, str], tuple[pafs.FileSystem, str]] = {}
+        for batch in batches:
+            kept = [(p is None or _tried(_is_gone, opened, p)) == gone for p in batch.column(position).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return files.mapInArrow(look, files.schema)
+
+
+def _is_gone(opened: dict, path: str) -> bool:
+    system, inner = _locate(opened, path)
+    return system.get_file_info(inner).type == pafs.FileType.NotFound
+
+
+def _read(opened: dict, path: str | None, head: int | None) -> tuple[bytes | None, str | None]:
+    if path is None:
+        return None, "no path"
     try:
-        if scheme:
-            if scheme not in opened:
-                opened[scheme] = pafs.FileSystem.from_uri(path)[0]
-            path = opened[scheme].from_uri(path)[1] if scheme == "file" else path.partition("://")[2]
-        elif scheme not in opened:
-            opened[scheme] = pafs.LocalFileSystem()
-        with opened[scheme].open_input_file(path) as file:
-            return file.read() if head is None else file.read(head)
-    except OSError:
-        return None
+        return _tried(_head, opened, path, head), None
+    except _OF_THE_FILE as error:
+        return None, str(error)
+
+
+def _head(opened: dict, path: str, head: int | None) -> bytes:
+    system, inner = _locate(opened, path)
+    with system.open_input_file(inner) as file:
+        return file.read() if head is None else file.read(head)
+
+
+def _locate(opened: dict, path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path's scheme and host, and the path within it."""
+    scheme, remote, rest = path.partition("://")
+    if not remote:
+        scheme, rest = "file", path
+    host, _, inner = rest.partition("/")
+    if not remote and host:
+        return pafs.LocalFileSystem(), path
+    if (scheme, host) not in opened:
+        known = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+        # Only the root is parsed as a URI: listed paths are not escaped.
+        opened[scheme, host] = pafs.FileSystem.from_uri(f"{known}://{host}/")
+    system, root = opened[scheme, host]
+    return system, f"{root.rstrip('/')}/{inner}"
+
+
+# What a file is to blame for, not the store.
+_OF_THE_FILE = (FileNotFoundError, PermissionError, IsADirectoryError)
+_TRIES = 3
+
+
+def _tried(step: Callable, *given):
+    """``step(*given)``, again after a pause if the store fails."""
+    for n in range(1, _TRIES + 1):
+        try:
+            return step(*given)
+        except OSError as error:
+            if isinstance(error, _OF_THE_FILE) or n == _TRIES:
+                raise
+            time.sleep(n)
 
 
 def scan_images(spark: SparkSession, root: str, valid: bool = True) -> DataFrame:
@@ -98,9 +165,11 @@ def pick_images(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
 
     A few are read by name, so that an update decodes what it needs. Spark's image
     source takes no filter, so for more than 10,000 it reads all and keeps the asked.
+    Files that are gone are left out either way.
     """
     paths = files.select("path")
-    named = [row.path for row in paths.limit(NAMED_PATHS + 1).collect()]
+    here = _looked_up(paths, "path", gone=False)
+    named = [row.path for row in here.limit(NAMED_PATHS + 1).collect()]
     if not named:
         return scan_images(spark, root).limit(0)
     if len(named) > NAMED_PATHS:

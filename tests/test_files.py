@@ -9,7 +9,8 @@ from lumisift.functions.content import content_fingerprint, file_checksum
 from lumisift.functions.paths import base_name, extension, filter_extensions, prefix_filter
 from lumisift.plans.jobs import with_fingerprints
 from lumisift.sources.files import (
-    full_path, image_geometry, pick_images, read_content, read_path_list, scan_files, scan_images, write_results,
+    full_path, image_geometry, missing_files, pick_images, read_content, read_path_list, rejected_files, scan_files,
+    scan_images, write_results,
 )
 
 
@@ -58,6 +59,63 @@ def test_read_content(spark, folder):
     assert [r.content for r in read_content(uri).collect()] == [b"a" * 10]
 
 
+def test_rejected_and_missing_files(spark, folder):
+    paths = [str(folder / "c.txt"), str(folder / "empty.txt"), "/no/such/file", None]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    rejected = {r.path: r.reason for r in rejected_files(df).collect()}
+    assert set(rejected) == {"/no/such/file", None} and all(rejected.values())
+    assert {r.path for r in missing_files(df).collect()} == {"/no/such/file", None}
+
+
+def test_an_unreachable_store_is_no_empty_result(spark, monkeypatch):
+    away = spark.createDataFrame([("nosuchscheme://host/a",)], "path string")
+    with pytest.raises(Exception, match="nosuchscheme"):
+        read_content(away).collect()
+
+
+def test_file_systems_are_kept_per_host(monkeypatch):
+    from lumisift.sources import files
+
+    asked = []
+
+    class Systems:
+        LocalFileSystem = files.pafs.LocalFileSystem
+
+        class FileSystem:
+            @staticmethod
+            def from_uri(uri):
+                asked.append(uri)
+                scheme, _, rest = uri.partition("://")
+                return uri, (rest if scheme == "s3" else "/")
+
+    monkeypatch.setattr(files, "pafs", Systems)
+    opened = {}
+    assert files._locate(opened, "s3a://one/a b%/c") == ("s3://one/", "one/a b%/c")
+    assert files._locate(opened, "s3a://one/d") == ("s3://one/", "one/d")
+    assert files._locate(opened, "hdfs://x:9000/d/e") == ("hdfs://x:9000/", "/d/e")
+    assert files._locate(opened, "hdfs://y:9000/d") == ("hdfs://y:9000/", "/d")
+    assert files._locate(opened, "/d/e") == ("file:///", "/d/e")
+    assert len(asked) == 4
+
+
+def test_a_failing_store_is_tried_again(monkeypatch):
+    from lumisift.sources import files
+
+    calls = []
+
+    def shaky(value):
+        calls.append(value)
+        if len(calls) < 3:
+            raise OSError("slow down")
+        return value
+
+    monkeypatch.setattr(files.time, "sleep", lambda _: None)
+    assert files._tried(shaky, 5) == 5 and calls == [5, 5, 5]
+    with pytest.raises(OSError, match="slow down"):
+        calls.clear()
+        files._tried(lambda: shaky(calls.clear()))
+
+
 def test_fingerprint_of_columns(spark):
     data = [bytes([i % 256]) * n for i, n in enumerate((0, 1, 255, 8191, 8192, 8193, 70_000))]
     df = spark.createDataFrame([(d, len(d)) for d in data], "content binary, size long")
@@ -115,6 +173,18 @@ def test_many_images_are_picked_from_a_scan(spark, tmp_path, monkeypatch):
     assert pick_images(spark, str(tmp_path), wanted.limit(0)).count() == 0
 
 
+def test_vanished_images_are_left_out(spark, tmp_path, monkeypatch):
+    from lumisift.sources import files
+
+    for i in range(3):
+        (tmp_path / f"{i}.png").write_bytes(png(1, 1, bytes([1, 2, 3])))
+    listed = spark.createDataFrame(scan_files(spark, str(tmp_path)).collect())
+    (tmp_path / "1.png").unlink()
+    for most in (10, 1):
+        monkeypatch.setattr(files, "NAMED_PATHS", most)
+        assert pick_images(spark, str(tmp_path), listed).count() == 2
+
+
 def test_path_list_and_results(spark, tmp_path):
     (tmp_path / "list.txt").write_text("/a b.jpg\n\n/c.jpg\n")
     assert [tuple(r) for r in read_path_list(spark, str(tmp_path / "list.txt")).collect()] == [

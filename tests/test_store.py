@@ -211,3 +211,7 @@ def test_ingest_images(spark, store, tmp_path):
     got = search(asked, store.vectors(), store.manifest(), str(tmp_path), cutoff=0.5).collect()
     assert [r.path.rsplit("/", 1)[1] for r in got] == ["{dark}.png"]
     assert np.isclose(got[0].score, 200 / np.hypot(200, 10), atol=1e-3)
+    (tmp_path / "{dark}.png").write_bytes(b"")
+    assert ingest_images(store, str(tmp_path), model, 3).removed == 0
+    (tmp_path / "{dark}.png").unlink()
+    assert ingest_images(store, str(tmp_path), model, 3).removed == 1
