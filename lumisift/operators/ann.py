@@ -29,20 +29,38 @@ CENTRES = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
+REPLACED = T.StructType([T.StructField("image_id", T.LongType()), T.StructField("added", T.LongType())])
+
 # Rows of one output file of a cell: 768 floats each make about 400 MB.
 FILE_ROWS = 131_072
 
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """Vectors by cell under ``path``, and the cell centres."""
+    """Vectors by cell under ``path``, the cell centres, and the images that were added again."""
 
     spark: SparkSession
     path: str
 
     def vectors(self) -> DataFrame:
+        """``(image_id, embedding, cell)``; of an image that was added again the newest only.
+
+        Replaced vectors are left out by an anti join with their ids: build anew when those are many.
+        """
+        rows, again = self.rows(), self.replaced()
+        if not again.isEmpty():
+            newest = again.groupBy(F.col("image_id").alias("_image")).agg(F.max("added").alias("_newest"))
+            old = (F.col("image_id") == F.col("_image")) & (F.col("added") < F.col("_newest"))
+            rows = rows.join(newest, old, "left_anti")
+        return rows.drop("added")
+
+    def rows(self) -> DataFrame:
+        """All that was ever stored; ``added`` counts the additions, from 0."""
         return self.spark.read.parquet(f"{self.path}/vectors")
 
+    def replaced(self) -> DataFrame:
+        return self.spark.read.schema(REPLACED).parquet(f"{self.path}/replaced")
+
     def centres(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/centres")
 
@@ -111,11 +129,27 @@ def ivf_build(
         centres = fit_centres(vectors, cells, seed, fraction=fraction)
     centres.select(F.col("cell").cast("int"), F.col("embedding").cast("array<float>")).write.parquet(
         f"{path}/centres")
-    return ivf_add(IvfIndex(vectors.sparkSession, path), vectors)
+    index = IvfIndex(vectors.sparkSession, path)
+    small_table(vectors.sparkSession, [], REPLACED).write.parquet(f"{path}/replaced")
+    _write_cells(index, vectors, 0)
+    return index
 
 
 def ivf_add(index: IvfIndex, vectors: DataFrame) -> IvfIndex:
-    """Add ``vectors(image_id, embedding)`` of images that the index does not hold yet."""
+    """Add ``vectors(image_id, embedding)``; one whose image the index holds replaces the older.
+
+    The new vectors are written first and the ids that they replace after them, so no image is ever
+    without a vector. If a run dies in between, adding the same again puts it right.
+    """
+    number = index.rows().agg(F.coalesce(F.max("added"), F.lit(-1)) + 1).first()[0]
+    _write_cells(index, vectors, number)
+    older = index.rows().where(F.col("added") < number).select("image_id")
+    again = older.join(vectors.select("image_id"), "image_id", "left_semi").distinct()
+    again.withColumn("added", F.lit(number).cast("long")).write.mode("append").parquet(f"{index.path}/replaced")
+    return index
+
+
+def _write_cells(index: IvfIndex, vectors: DataFrame, number: int) -> None:
     centres = _one_block(matrix_blocks(index.centres(), "cell", "embedding"))
     assigned = assign_cells(vectors.select("image_id", "embedding"), centres)
     # At most one row per cell. The scan is repeated rather than stored: it does not shuffle.
@@ -123,9 +157,8 @@ def ivf_add(index: IvfIndex, vectors: DataFrame) -> IvfIndex:
     placed = assigned.join(F.broadcast(files), "cell").withColumn(
         "_file", F.pmod(F.xxhash64("image_id"), F.col("_files"))
     )
-    placed.repartition("cell", "_file").drop("_file", "_files").write.mode("append").partitionBy(
-        "cell").parquet(f"{index.path}/vectors")
-    return index
+    placed = placed.repartition("cell", "_file").drop("_file", "_files").withColumn("added", F.lit(number).cast("long"))
+    placed.write.mode("append").partitionBy("cell").parquet(f"{index.path}/vectors")
 
 
 def knn_ivf(

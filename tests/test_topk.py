@@ -101,6 +101,20 @@ def test_ivf_over_all_cells_is_exact(spark, vectors, queries):
     assert recall.expected == 50 and 0.2 < recall.recall <= 1.0
 
 
+def test_ivf_replaces_a_vector_that_is_added_again(spark, vectors, queries):
+    rng = np.random.default_rng(9)
+    points, asked = dict(enumerate(unit(rng, 200), 1)), dict(enumerate(unit(rng, 4)))
+    index = ivf_build(vectors(points), scratch_path(spark, "ivf"), cells=4)
+    for _ in range(2):
+        newer = dict(zip((1, 2, 3, 900), unit(rng, 4)))
+        ivf_add(index, vectors(newer))
+        points |= newer
+        assert index.vectors().count() == len(points) == 201
+        assert rows(knn_ivf(queries(asked), index, 201, 4)) == brute(asked, points, 201)
+    plan = knn_ivf(queries(asked), index, 5, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+
+
 def test_ivf_reads_only_the_cells_it_asks(spark, vectors, queries):
     centres = spark.createDataFrame([(c, [float(c == j) for j in range(4)]) for c in range(4)],
                                     "cell int, embedding array<float>")
