@@ -8,7 +8,8 @@ A version counts only once its row is in ``commits``, and that row is written la
 A run that dies before that leaves folders that no reader looks at and that the next
 run overwrites. A ``delta`` version holds changed rows only, so that adding a few
 files to a large index writes a few rows; :meth:`IndexStore.compact` writes a ``full``
-version with everything in it. One run writes to an index at a time.
+version with everything in it. One run writes to an index at a time; a run that finds
+its version committed by another stops.
 """
 
 from __future__ import annotations
@@ -125,11 +126,17 @@ class IndexStore:
         """Those of ``ids(image_id)`` that have no vector."""
         return ids.select("image_id").join(self.vectors(), "image_id", "left_anti")
 
+    def _require_next(self, state: State) -> None:
+        newest = self.state().version
+        if newest != state.version:
+            raise ValueError(f"version {state.version + 1} cannot be written: the index is at {newest}")
+
     def stage(self, rows: DataFrame, state: State) -> DataFrame:
         """Write manifest ``rows`` of the version after ``state``, not yet committed; those rows.
 
         A true ``voids`` marks images among them that come with a new vector.
         """
+        self._require_next(state)
         if "voids" not in rows.columns:
             rows = rows.withColumn("voids", F.lit(False))
         folder = f"{self.root}/manifest/version={state.version + 1}"
@@ -152,6 +159,7 @@ class IndexStore:
         ``full`` says that the rows are the whole manifest and the vectors, if given,
         the whole vector table.
         """
+        self._require_next(state)
         version = state.version + 1
         after = replace(state, version=version, voided=state.voided + voided)
         if max_image_id is not None:

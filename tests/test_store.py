@@ -215,3 +215,13 @@ def test_ingest_images(spark, store, tmp_path):
     assert ingest_images(store, str(tmp_path), model, 3).removed == 0
     (tmp_path / "{dark}.png").unlink()
     assert ingest_images(store, str(tmp_path), model, 3).removed == 1
+
+
+def test_a_committed_version_is_not_written_again(spark, store, vectors):
+    before = store.state()
+    store.append_vectors(vectors({1: [1.0, 0.0]}))
+    empty = store.manifest().limit(0)
+    for step in (lambda: store.stage(empty, before), lambda: store.commit(before, vectors({1: [0.0, 1.0]}))):
+        with pytest.raises(ValueError, match="the index is at 1"):
+            step()
+    assert [list(r.embedding) for r in store.vectors().collect()] == [[1.0, 0.0]]
