@@ -1,11 +1,13 @@
 """A quality classifier: naive Bayes log-count ratios with a linear support vector machine.
 
-A text becomes indicators of n-grams: trigrams of character classes (small and capital
-letters, digits, blanks, and each punctuation mark by itself), each at three levels of how
-frequent it is in the text, and how often a word equals one of the eight in front of it. The log ratio of an
-indicator's counts in the two classes, over all labelled rows, scales it; a linear hinge-loss
-model is fitted to the scaled indicators by dual coordinate descent. A sigmoid turns its
-margin into a score. Only the text is looked at.
+A text becomes indicators of two kinds. Its shape: trigrams of character classes (small and
+capital letters, digits, blanks, and each punctuation mark by itself), each at three levels of
+how frequent it is in the text, how often a word equals one of the eight in front of it, and
+how many passages of four words stood earlier. Its wording: one and two words and two to four
+characters in a row, lower-cased, hashed to 2^20 numbers. The log ratio of an indicator's
+counts in the two classes, over all labelled rows, scales it; a linear hinge-loss model is
+fitted to the scaled indicators by dual coordinate descent, each kind with a norm of 1. A
+sigmoid turns its margin into a score. Only the text is looked at.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lumisift.llm.shingles import word_hashes
+from lumisift.llm.shingles import chain, mix, word_hashes
 from lumisift.plans.scratch import materialize
 
 # At most so many labelled rows, those with the smallest hashes of their ids, are what the
@@ -40,47 +43,96 @@ _LEVELS = (0.0, 0.01, 0.05)
 _REPEATS = _GRAMS * len(_LEVELS)
 _LAGS = 8
 _REPEAT_LEVELS = (0.02, 0.1, 0.3, 0.6)
-FEATURES = _REPEATS + _LAGS * len(_REPEAT_LEVELS)
+# Passages of so many words are compared with all earlier ones, at any distance.
+_PASSAGE = 4
+_PASSAGES = _REPEATS + _LAGS * len(_REPEAT_LEVELS)
+SHAPES = _PASSAGES + len(_REPEAT_LEVELS)
 
+_WORD_GRAMS = (1, 2)
+_CHAR_GRAMS = (2, 3, 4)
+_HASH_BITS = 20
+FEATURES = SHAPES + (1 << _HASH_BITS)
 
-def text_features(raw: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Numbers of the indicators that hold for a text, given as bytes and hashes of its words."""
-    held = []
+# Characters hashed at a time, and bytes of text whose indicators are held at a time.
+_CHUNK = 1 << 18
+SLICE_BYTES = 1 << 20
+
+
+def _levels(share: float, first: int) -> np.ndarray:
+    return np.array([first + i for i, least in enumerate(_REPEAT_LEVELS) if share > least], np.int64)
+
+
+def shape_features(raw: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Numbers of the shape indicators that hold for a text, given as bytes and hashes of its words."""
+    held = [np.empty(0, np.int64)]
     if len(raw) >= 3:
         kinds = _CLASS[raw]
         grams = np.bincount(kinds[:-2] * _KINDS**2 + kinds[1:-1] * _KINDS + kinds[2:], minlength=_GRAMS)
         found = np.flatnonzero(grams)
         share = grams[found] / (len(raw) - 2)
-        held = [found[share >= least] * len(_LEVELS) + i for i, least in enumerate(_LEVELS)]
+        held += [found[share >= least] * len(_LEVELS) + i for i, least in enumerate(_LEVELS)]
     for lag in range(1, min(_LAGS + 1, len(words))):
         share = np.count_nonzero(words[lag:] == words[:-lag]) / (len(words) - lag)
-        first = _REPEATS + (lag - 1) * len(_REPEAT_LEVELS)
-        held.append(np.array([first + i for i, least in enumerate(_REPEAT_LEVELS) if share > least], np.int64))
-    return np.concatenate(held) if held else np.empty(0, np.int64)
+        held.append(_levels(share, _REPEATS + (lag - 1) * len(_REPEAT_LEVELS)))
+    if len(words) > _PASSAGE:
+        passages = chain(words, _PASSAGE)
+        held.append(_levels(1 - len(np.unique(passages)) / len(passages), _PASSAGES))
+    return np.concatenate(held)
+
+
+def wording_features(raw: np.ndarray, folded: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Numbers of the wording indicators that hold for a text, given as bytes and hashes of its lower-cased words.
+
+    ``seen`` has a false entry per number, and again afterwards.
+    """
+    letters = raw.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(letters, np.uint32)
+    for kind, (items, sizes) in enumerate(((folded, _WORD_GRAMS), (codes, _CHAR_GRAMS))):
+        for size in sizes:
+            salt = np.uint64(64 * kind + size)
+            for low in range(0, len(items) - size + 1, _CHUNK):
+                part = items[low:low + _CHUNK + size - 1].astype(np.uint64)
+                seen[mix(chain(part, size) + salt) >> np.uint64(64 - _HASH_BITS)] = True
+    found = np.flatnonzero(seen)
+    seen[found] = False
+    return found + SHAPES
 
 
 def batch_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The indicators of all texts one after the other, and how many each has."""
     words, at = word_hashes(texts, fold=False)
-    found = [
-        text_features(np.frombuffer((t.as_buffer() if t.is_valid else b""), np.uint8), words[low:high])
-        for t, low, high in zip(texts.cast(pa.large_binary()), at[:-1], at[1:], strict=True)
-    ]
-    return np.concatenate([np.empty(0, np.int64), *found]), np.array([len(f) for f in found], np.int64)
+    folded, _ = word_hashes(texts)
+    seen, found = np.zeros(1 << _HASH_BITS, bool), []
+    for t, low, high in zip(texts.cast(pa.large_binary()), at[:-1], at[1:], strict=True):
+        raw = np.frombuffer((t.as_buffer() if t.is_valid else b""), np.uint8)
+        shape, wording = shape_features(raw, words[low:high]), wording_features(raw, folded[low:high], seen)
+        found.append(np.concatenate([shape, wording]).astype(np.int32))
+    return np.concatenate([np.empty(0, np.int32), *found]), np.array([len(f) for f in found], np.int64)
+
+
+def slices(part: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``SLICE_BYTES`` of text at a time."""
+    sizes = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        yield part.slice(low, high - low)
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, features)`` of every row; a null or empty text has none."""
+    """``docs`` with the column ``features`` in place of its text; a null or empty text has none."""
+    chosen = docs.select(F.col(text).alias("text"), F.col(key).cast("bigint").alias("doc_id"), *[c for c in docs.columns if c not in (key, text)])
+    schema = T.StructType([*chosen.schema.fields[1:], T.StructField("features", T.ArrayType(T.IntegerType()))])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            flat, lengths = batch_features(part.column(1))
-            sizes = np.concatenate([[0], np.cumsum(lengths)])
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], ["doc_id", "features"])
+            for rows in slices(part, 0):
+                flat, lengths = batch_features(rows.column(0))
+                sizes = np.concatenate([[0], np.cumsum(lengths)])
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], lists], schema.names)
 
-    chosen = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(batches, "doc_id bigint, features array<int>")
+    return chosen.mapInArrow(batches, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -89,7 +141,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Per class how many rows of ``labelled(features, quality)`` have each indicator, and how many rows there are.
+    """Per class how many rows of ``labelled(text, quality)`` have each indicator, and how many rows there are.
 
     Tasks add up their rows first, so what is shuffled and collected has a size set by the number of
     indicators, not of rows.
@@ -98,17 +150,18 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, FEATURES + 1), np.int64)
         for part in parts:
-            quality = part.column(1).to_numpy(zero_copy_only=False)
-            lengths = part.column(0).value_lengths().to_numpy(zero_copy_only=False)
-            flat, of = part.column(0).flatten().to_numpy(), np.repeat(quality, lengths)
-            for label in (0, 1):
-                counts[label, :-1] += np.bincount(flat[of == label], minlength=FEATURES)
-                counts[label, -1] += np.count_nonzero(quality == label)
+            for rows in slices(part, 0):
+                quality = rows.column(1).to_numpy(zero_copy_only=False)
+                flat, lengths = batch_features(rows.column(0))
+                of = np.repeat(quality, lengths)
+                for label in (0, 1):
+                    counts[label, :-1] += np.bincount(flat[of == label], minlength=FEATURES)
+                    counts[label, -1] += np.count_nonzero(quality == label)
         label, feature = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label), pa.array(feature), pa.array(counts[label, feature])], ["label", "feature", "n"])
 
-    parts = labelled.select("features", "quality").mapInArrow(batches, "label bigint, feature bigint, n bigint")
+    parts = labelled.select("text", "quality").mapInArrow(batches, "label bigint, feature bigint, n bigint")
     summed = parts.groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, FEATURES + 1), np.int64)
     counts[summed["label"].to_numpy(), summed["feature"].to_numpy()] = summed["n"].to_numpy()
@@ -121,16 +174,33 @@ def log_ratios(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     return np.log(good / good.sum()) - np.log(bad / bad.sum())
 
 
+def ratios(counts: np.ndarray, totals: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """Log ratios of all indicators. Those of the wording are mostly rare: there the classes share ``smooth`` rows by
+    their sizes, so an indicator that no row has is 0 and one that few have is little from it."""
+    added = smooth * np.maximum(totals, 1) / max(totals.sum(), 1)
+    good, bad = ((counts[i, SHAPES:] + added[i]) / (max(totals[i], 1) + added[i]) for i in (1, 0))
+    return np.concatenate([log_ratios(counts[:, :SHAPES]), np.where(counts[:, SHAPES:].any(axis=0), np.log(good / bad), 0.0)])
+
+
+def row_values(row: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """What a row has at its indicators: their scale, each kind divided by its norm."""
+    values = scale[row]
+    shape = row < SHAPES
+    for kind in (shape, ~shape):
+        values[kind] /= max(np.sqrt(np.sum(values[kind] ** 2)), 1e-9)
+    return values
+
+
 def fit_hinge(
     rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, cost: float = 1.0, rounds: int = 30, seed: int = 0
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model with hinge loss, by dual coordinate descent.
 
-    Row ``i`` has the value ``scale[j]`` at each ``j`` in ``rows[i]``, divided by the row's norm, and 1 for the
-    bias; ``signs`` are 1 and -1. One dual variable, between 0 and ``cost``, is optimised at a time.
+    Row ``i`` has its :func:`row_values`, and 1 for the bias; ``signs`` are 1 and -1. One dual variable, between 0
+    and ``cost``, is optimised at a time.
     """
-    values = [scale[r] / max(np.sqrt(np.sum(scale[r] ** 2)), 1e-9) for r in rows]
-    norms = np.array([np.sum(v**2) + 1.0 for v in values])
+    values = [row_values(r, scale).astype(np.float32) for r in rows]
+    norms = np.array([np.sum(v**2, dtype=float) + 1.0 for v in values])
     weights, bias, dual = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
     order, random = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(rounds):
@@ -179,70 +249,88 @@ class QualityModel:
 
     def margins(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Margins of rows whose indicators stand one after the other in ``flat``."""
-        ends = np.cumsum(lengths)
-        dots = np.concatenate([[0.0], np.cumsum(self.weights[flat] * self.scale[flat])])
-        squares = np.concatenate([[0.0], np.cumsum(self.scale[flat] ** 2)])
-        norms = np.sqrt(np.maximum(squares[ends] - squares[ends - lengths], 1e-18))
-        return (dots[ends] - dots[ends - lengths]) / norms + self.bias
+        ends, scale = np.cumsum(lengths), self.scale[flat]
+        dots, shape, total = self.weights[flat] * scale, flat < SHAPES, self.bias
+        for kind in (shape, ~shape):
+            sums = [np.concatenate([[0.0], np.cumsum(np.where(kind, v, 0.0))]) for v in (dots, scale**2)]
+            of, squares = (s[ends] - s[ends - lengths] for s in sums)
+            total = total + of / np.sqrt(np.maximum(squares, 1e-18))
+        return total
 
     def scores(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(flat, lengths) + self.shift, -35, 35)))
 
 
-def train(made: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityModel:
-    """Fit to the rows of ``made`` (see :func:`features`) that ``labels(doc_id, quality)`` marks and are not held out.
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> QualityModel:
+    """Fit to the rows of ``docs`` that ``labels(doc_id, quality)`` marks and are not held out.
 
     A document with labels of both kinds, or none, is not learnt from. Without any the model scores all alike.
     """
     clear = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
-    wanted = made.where(~held_out()).join(clear.where(~held_out()), "doc_id")
-    known = materialize(wanted.select("doc_id", "features", F.col("quality").cast("bigint").alias("quality")), "quality-known")
+        F.min("quality").cast("bigint").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
+    wanted = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(~held_out())
+    # Stored as text: its indicators take several times the room.
+    known = materialize(wanted.join(clear.where(~held_out()), "doc_id"), "quality-known")
     counts, totals = class_counts(known)
-    scale = log_ratios(counts)
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
-    quality = sample["quality"].to_numpy().astype(np.int64)
+    scale = ratios(counts, totals)
+    found, quality = _sample(known, rows)
     if not totals.all() or len(set(quality.tolist())) < 2:
         share = (totals[1] + 1) / (totals.sum() + 2)
         return QualityModel(scale, np.zeros(FEATURES), 0.0, 1.0, float(np.log(share / (1 - share))))
-    found = [np.array(f, np.int64) for f in sample["features"].to_pylist()]
     # The last fifth is for the sigmoid, whose margins must not come from rows the model was fitted to.
     cut = max(1, len(found) * 4 // 5)
     weights, bias = fit_hinge(found[:cut], np.where(quality[:cut] == 1, 1.0, -1.0), scale)
     model = QualityModel(scale, weights, bias, 1.0, 0.0)
     rest = found[cut:] or found
-    margins = model.margins(np.concatenate([np.empty(0, np.int64), *rest]), np.array([len(f) for f in rest]))
+    margins = np.concatenate([model.margins(f, np.array([len(f)])) for f in rest])
     slope, shift = fit_sigmoid(margins, quality[cut:] if found[cut:] else quality)
     return QualityModel(scale, weights, bias, slope, shift)
 
 
+def _sample(known: DataFrame, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Indicators and labels of the rows with the smallest hashes of their ids, in that order."""
+    placed = known.select(F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id").alias("place"), "text", "quality")
+    last = placed.select("place").orderBy("place").limit(rows).agg(F.max("place").alias("place")).first()["place"]
+    if last is None:
+        return [], np.empty(0, np.int64)
+    # Only the places go through one task; the texts stay where they lie.
+    chosen = placed.where(F.col("place") <= F.struct(F.lit(last["hash"]), F.lit(last["doc_id"]).cast("bigint")))
+    sample = features(chosen.select("place.hash", "place.doc_id", "text", "quality")).toArrow().combine_chunks()
+    order = np.lexsort([sample["doc_id"].to_numpy(), sample["hash"].to_numpy()])[:rows]
+    lists = pa.concat_arrays(sample["features"].chunks)
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    found = [flat[at[i]:at[i + 1]] for i in order]
+    return found, sample["quality"].to_numpy()[order]
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``, repeated ones too.
 
     ``score`` is the probability of label 1, ``predicted`` 1 from 0.3 on. A null or empty text has no
     indicators and the score of the bias alone.
     """
-    made = materialize(features(docs, key, text), "quality-features")
-    model = train(made, labels, rows)
+    model = train(docs, labels, rows, key, text)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            lengths = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            scores = model.scores(part.column(1).flatten().to_numpy(), lengths)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["doc_id", "score"])
+            for some in slices(part, 1):
+                scores = model.scores(*batch_features(some.column(1)))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    scored = made.mapInArrow(batches, "doc_id bigint, score double")
+    chosen = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    scored = chosen.mapInArrow(batches, "doc_id bigint, score double")
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that a model learnt from ``labels`` predicts to be good."""
-    model = train(materialize(features(docs, key, text), "quality-features"), labels, rows)
+    model = train(docs, labels, rows, key, text)
     place = docs.columns.index(text)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield part.filter(pa.array(model.scores(*batch_features(part.column(place))) >= THRESHOLD))
+            for some in slices(part, place):
+                yield some.filter(pa.array(model.scores(*batch_features(some.column(place))) >= THRESHOLD))
 
     return docs.mapInArrow(batches, docs.schema)

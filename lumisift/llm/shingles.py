@@ -68,7 +68,7 @@ def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndar
     return hashes, np.searchsorted(starts, at)
 
 
-def _chain(words: np.ndarray, size: int) -> np.ndarray:
+def chain(words: np.ndarray, size: int) -> np.ndarray:
     """One hash per window of ``size`` words."""
     count = len(words) - size + 1
     powers = _powers(size)
@@ -89,7 +89,7 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
         if not count:
             yield np.empty(0, np.uint64)
         else:
-            yield np.unique(_chain(words[low:high], min(size, count)))
+            yield np.unique(chain(words[low:high], min(size, count)))
 
 
 def fingerprint(hashes: np.ndarray) -> tuple[int, int]:

@@ -1,6 +1,7 @@
 """Operators on single documents against plain Python, and on odd rows."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -185,6 +186,32 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def learnt(spark, texts):
+    """Share of held-out texts whose label, that of their place, is predicted from the other texts."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    rows = quality_model.score_quality(docs, labels).where("held_out").collect()
+    assert len(rows) > 40
+    return sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in rows) / len(rows)
+
+
+@pytest.mark.parametrize("letters, gap", [("abcdefghijklmnop", " "), ("абвгдежзийклмноп", " "), ("的一是不了人我在有他这中大来上国", "")])
+def test_words_alone_are_learnt(spark, letters, gap):
+    draw = random.Random(5)
+    words = ["".join(draw.choices(letters, k=5)) for _ in range(60)]
+    texts = [gap.join(draw.choices(words[:40], k=40) + draw.choices(words[40 + i % 2 * 10:50 + i % 2 * 10], k=10)) for i in range(300)]
+    assert learnt(spark, texts) >= 0.95
+
+
+def test_passages_that_repeat_at_a_distance_are_learnt(spark):
+    draw = random.Random(6)
+    texts = []
+    for i in range(300):
+        words = ["".join(draw.choices("abcdefghijklmnop", k=5)) for _ in range(60)]
+        texts.append(" ".join(words if i % 2 else words[:12] * 5))
+    assert learnt(spark, texts) >= 0.95
+
+
 def test_without_labels_all_score_alike(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_model.score_quality(odd, empty).collect()
