@@ -2,7 +2,8 @@
 
 A test item that stands in a document with at most k edits, cut into k + 1 pieces, has a
 piece without any. All pieces of the items are found by one automaton over each document;
-around every hit the whole item is searched with Myers' bit-parallel distance. The items
+around every hit the whole item is searched with Myers' bit-parallel distance. Short items
+are one piece, which must stand between word borders. The items
 are the query set: they go to the tasks in blocks of bounded size, one scan of the
 documents per block.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,12 +27,15 @@ BLOCK_BYTES = 4 * 1024 * 1024
 
 # Letters, digits and all beyond ASCII; what stands between, and case, does not count.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# Scripts written without blanks: Thai and Lao, Tibetan, Burmese, Khmer, kana, Chinese characters and what goes with them.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3100-\u312f\u31a0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 @dataclass(frozen=True)
 class Matching:
-    """Up to ``edits`` edits per character of an item; items of fewer than ``shortest`` characters are not searched."""
+    """Up to ``edits`` edits per character of an item; those of fewer than ``shortest`` characters must stand there
+    unchanged, between word borders."""
 
     edits: float = 0.06
     shortest: int = 24
@@ -41,6 +46,16 @@ def normal(text: str | None) -> str:
     return " ".join(_WORD.findall((text or "").translate(_LOWER)))
 
 
+def has_words(item: str, wanted: Matching) -> bool:
+    """Whether a normalised item can be searched; a short one without a letter or digit would stand anywhere."""
+    return len(item) >= wanted.shortest > 0 or any(c.isalnum() for c in item)
+
+
+def _border(inside: str, outside: str) -> bool:
+    """Whether a word may begin or end between two characters that stand side by side; ``outside`` is empty at an end."""
+    return not outside or any(unicodedata.category(c)[0] not in "LNM" or _UNSPACED.match(c) for c in (inside, outside))
+
+
 def pieces(pattern: str, count: int) -> list[tuple[int, str]]:
     """``pattern`` in ``count`` parts of about equal length, with their offsets."""
     cuts = [len(pattern) * i // count for i in range(count + 1)]
@@ -52,7 +67,8 @@ class Searcher:
 
     def __init__(self, items: Sequence[str], wanted: Matching) -> None:
         self.items = list(dict.fromkeys(items))
-        self.limits = [math.floor(len(p) * wanted.edits) for p in self.items]
+        self.short = [len(p) < wanted.shortest for p in self.items]
+        self.limits = [0 if s else math.floor(len(p) * wanted.edits) for p, s in zip(self.items, self.short, strict=True)]
         found: dict[str, list[tuple[int, int]]] = {}
         for number, (item, limit) in enumerate(zip(self.items, self.limits, strict=True)):
             for offset, piece in pieces(item, limit + 1):
@@ -74,6 +90,11 @@ class Searcher:
             for number, offset in places:
                 start = last - length + 1 - offset
                 item, limit = self.items[number], self.limits[number]
+                if self.short[number]:
+                    end = last + 1
+                    if number not in best and _border(item[0], text[start - 1:start]) and _border(item[-1], text[end:end + 1]):
+                        best[number] = 0, end
+                    continue
                 # Hits of one match differ in where they say it starts by no more than the edits.
                 place = (number, start // (limit + 1))
                 if place in done:
@@ -111,6 +132,25 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[int]]]]:
         yield [(row["item"], sorted(row["ids"])) for row in rows.toLocalIterator()]
 
 
+def _normalised(benchmark: DataFrame, wanted: Matching) -> DataFrame:
+    """``(item_id, text, item, searchable)`` of all rows."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            words = [normal(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(words, pa.string()), pa.array([has_words(w, wanted) for w in words], pa.bool_())],
+                ["item_id", "text", "item", "searchable"])
+
+    chosen = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    return chosen.mapInArrow(batches, "item_id bigint, text string, item string, searchable boolean")
+
+
+def unsearchable_items(benchmark: DataFrame, wanted: Matching = Matching()) -> DataFrame:
+    """``(item_id, text)`` of the items that :func:`find_benchmark` cannot search: without words, or with a null id."""
+    return _normalised(benchmark, wanted).where("item_id IS NULL OR NOT searchable").select("item_id", "text")
+
+
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, wanted: Matching = Matching(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -118,16 +158,10 @@ def find_benchmark(
 
     Both are compared by their words alone: lower case, one blank between. ``distance`` counts edits, ``end`` is the
     position after the match in those words. An item in a document several times has its closest match, the first
-    of equals. Null texts have no words; items with a null id are left out; a repeated document has its rows
+    of equals. Null texts have no words; :func:`unsearchable_items` are left out; a repeated document has its rows
     again, a repeated item does not. Other columns are not looked at.
     """
-    def normalised(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            words = pa.array([normal(t) for t in part.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), words], ["item_id", "item"])
-
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    items = items.mapInArrow(normalised, "item_id bigint, item string").where(F.length("item") >= wanted.shortest)
+    items = _normalised(benchmark, wanted).where("item_id IS NOT NULL AND searchable").select("item_id", "item")
     chosen = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id bigint, item_id bigint, distance bigint, end bigint"
     found = docs.sparkSession.createDataFrame([], schema)

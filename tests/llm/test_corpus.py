@@ -186,6 +186,23 @@ def test_decontamination(spark):
     assert decontaminate.find_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    items = ["Is it so?", "cat", "法国的首都是哪里", "日本の首都", "GPT", "?!", None, "…", "Wer ist das"]
+    bench = spark.createDataFrame([*enumerate(items), (None, "cat")], "item_id long, text string")
+    rows = [
+        (1, "He said: is it -- SO, then"), (2, "concatenate cats, this is it sofa"), (3, "the cat"), (4, "请问法国的首都是哪里？"),
+        (5, "これは日本の首都です"), (6, "用gpt写"), (7, "chatgpt … ?!"), (8, "法国的首都是"), (9, "is it no"), (10, "“cat” sat"), (11, "wer ist dasß"),
+        (12, "concat, cat cat"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.find_benchmark(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.end) for r in got) == [
+        (1, 0, 0, 16), (3, 1, 0, 7), (4, 2, 0, 10), (5, 3, 0, 8), (6, 4, 0, 4), (10, 1, 0, 4), (12, 1, 0, 10)]
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()) == [2, 7, 8, 9, 11]
+    lost = decontaminate.unsearchable_items(bench).collect()
+    assert sorted((str(r.item_id), str(r.text)) for r in lost) == [("5", "?!"), ("6", "None"), ("7", "…"), ("None", "cat")]
+
+
 def test_decontamination_query(spark, monkeypatch):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()
     want = {(d.doc_id, b.item_id) for d in texts(spark) for b in bench if decontaminate.normal(b.text) in decontaminate.normal(d.text)}
