@@ -3,6 +3,10 @@
 import glob
 import math
 import os
+import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -81,3 +85,17 @@ def test_flagship(spark):
 
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_training_data_part(tmp_path):
+    """The entry file and the queries of the library stand without that folder, pipeline or not."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(root, "lumisift"), tmp_path / "lumisift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), tmp_path)
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries()))"],
+        cwd=tmp_path, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}).stdout.split()
+    rest = [n for n in entry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)]
+    assert said == sorted(rest) and len(said) >= 69
