@@ -139,6 +139,9 @@ QUERIES = {
     "search_fixed": _search(cutoff=0.2, limit=5),
     "search_directory": _search(directory="/corpus/3", cutoff="none", limit=4),
     "search_directory_pool": _search(directory="/corpus/3", cutoff="none", limit=4, pool_scope="prefix"),
+    "search_auto_unpooled": _search(sigmas=1.0, pool="all"),
+    "search_directory_unpooled": _search(directory="/corpus/3", cutoff="none", pool="all"),
+    "search_limit_unpooled": _search(directory="/corpus/3", limit=6, sigmas=0.5, pool="all"),
     "search_text": _search_text,
     "decorate_results": _decorate,
     "knn_ivf": _ivf(3),
@@ -149,6 +152,9 @@ QUERIES = {
     "knn_lsh_recall": _lsh_recall,
 }
 
+# More candidates than any table has.
+ALL = 2**62
+
 _PLACE = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id)::INTEGER"
 
 
@@ -205,6 +211,9 @@ FROM ({_top_sql('scored', 20)}) WHERE label >= 3""",
     "search_directory_pool": f"""
 WITH {IMAGES_SQL}, inside AS (SELECT * FROM scored WHERE label = 3),
 {search_sql(50, '0', 4, '/corpus/3/', 'inside')} {_RESULT}""",
+    "search_auto_unpooled": f"WITH {IMAGES_SQL}, {search_sql(ALL, FLOOR_1)} {_RESULT}",
+    "search_directory_unpooled": f"WITH {IMAGES_SQL}, {search_sql(ALL, '0', directory='/corpus/3/')} {_RESULT}",
+    "search_limit_unpooled": f"WITH {IMAGES_SQL}, {search_sql(ALL, '(0.5 / sqrt(64))', 6, '/corpus/3/')} {_RESULT}",
     "search_text": f"""
 WITH {DISK_SQL}, {text_vectors_sql("benchmark", "item_id", "t")}, {text_vectors_sql("documents", "doc_id", "d")},
 scored AS (

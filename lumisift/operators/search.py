@@ -8,6 +8,7 @@ from lumisift.functions.paths import base_name, prefix_filter
 from lumisift.functions.vectors import noise_floor
 from lumisift.operators.cutoff import Cutoff, apply_cutoff, parse_cutoff
 from lumisift.operators.topk import as_blocks, knn_exact, merge_top
+from lumisift.operators.unpooled import search_all
 from lumisift.plans.blocks import Blocks
 from lumisift.plans.running import in_ranges, running_totals
 
@@ -84,19 +85,22 @@ def search(
     pool_scope: str = "corpus",
     sigmas: float = 3.0,
     query_id: str = "query_id",
-    pool: int | None = None,
+    pool: int | str | None = None,
 ) -> DataFrame:
     """Images under ``directory`` that match each query: ``(query_id, rank, score, path, image_id)``.
 
     The cutoff sees the best ``pool`` images of a query; without it the rule of :func:`pool_size`
     holds, except that a larger ``limit`` is always met. With neither, no more come back than that rule says.
     ``pool_scope="corpus"`` fills the pool from the whole index, so that other
-    directories can crowd it; ``"prefix"`` fills it from ``directory`` alone.
+    directories can crowd it; ``"prefix"`` fills it from ``directory`` alone. With ``pool="all"``
+    there is none: the cutoff sees every image under ``directory``, and all that pass come back.
     """
     if pool_scope not in ("corpus", "prefix"):
         raise ValueError(f"invalid pool_scope: {pool_scope} (use corpus or prefix)")
     cutoff = parse_cutoff(cutoff)
     blocks = as_blocks(queries, query_id)
+    if pool == "all":
+        return search_all(blocks, vectors, manifest, directory, limit, cutoff, sigmas, query_id)
     pool = searched(cutoff, limit, pool)
     if pool_scope == "prefix":
         inside = prefix_filter(manifest, directory).select("image_id")

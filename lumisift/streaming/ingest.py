@@ -102,7 +102,9 @@ class LiveTopK:
         cutoff: Cutoff = "auto",
         sigmas: float = 3.0,
         query_id: str = "query_id",
+        pool: int | None = None,
     ):
+        self.pool = searched(parse_cutoff(cutoff), limit, pool)
         self.blocks = as_blocks(queries, query_id)
         self.directory = directory_prefix(directory)
         self.limit = limit
@@ -116,7 +118,7 @@ class LiveTopK:
     def __call__(self, store: IndexStore, before: State, after: State) -> None:
         if self.state and after.version == self.state.version:
             return
-        size = searched(self.cutoff, self.limit, None)
+        size = self.pool
         follows = self.state and before.version == self.state.version
         if follows and after.voided == before.voided and after.base == before.base:
             added = store.added_vectors(before.version, after.version)
@@ -130,8 +132,7 @@ class LiveTopK:
 
     def results(self, store: IndexStore) -> DataFrame:
         """Current results, as of the last refresh."""
-        size = searched(self.cutoff, self.limit, None)
         return finish_search(
             self.pools, store.manifest(self.state), self.directory, self.limit, self.cutoff,
-            self.floor, self.query_id, most=self.blocks.rows * size,
+            self.floor, self.query_id, most=self.blocks.rows * self.pool,
         )
