@@ -10,9 +10,8 @@ from lumisift.catalog.tables import (
 )
 from lumisift.catalog.vectors import FLOOR_1, otsu_sql
 from lumisift.functions.paths import prefix_filter
-from lumisift.operators.ann import (
-    IvfIndex, ivf_build, knn_ivf, knn_lsh, lsh_build, recall_at_k, search_ivf,
-)
+from lumisift.operators.ann import IvfIndex, ivf_build, knn_ivf, recall_at_k, search_ivf
+from lumisift.operators.lsh import knn_lsh, lsh_build
 from lumisift.operators.reduce import centroids
 from lumisift.operators.search import (
     candidate_pool, decorate_results, order_and_limit, resolve_hits, search,
@@ -110,7 +109,7 @@ def _ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
     vectors = image_vectors(spark, folder)
     queries = materialize(label_queries(spark, folder), "queries")
     index = ivf_build(vectors, scratch_path(spark, "ivf"), cells=16)
-    return recall_at_k(knn_ivf(queries, index, 10, 8), knn_exact(queries, vectors, 10))
+    return recall_at_k(knn_ivf(queries, index, 10, 11), knn_exact(queries, vectors, 10))
 
 
 def _lsh(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,6 +124,30 @@ def _lsh_recall(spark: SparkSession, folder: str) -> DataFrame:
     return recall_at_k(knn_lsh(queries, index, 10), knn_exact(queries, vectors, 10))
 
 
+def _lsh_all_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Directions of steps so wide that a query's neighbours are all buckets there are."""
+    index = lsh_build(image_vectors(spark, folder), scratch_path(spark, "lsh"), tables=2, planes=3, width=16.0)
+    found = knn_lsh(label_queries(spark, folder), index, 10, probes=27)
+    return _rounded(found, "query_id", "rank", "image_id")
+
+
+def _ivf_two_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """More cells than one level may have here, all of them looked at."""
+    vectors = image_vectors(spark, folder)
+    index = ivf_build(vectors, scratch_path(spark, "ivf"), cells=40, level=20)
+    cells = index.centres().count()
+    return _rounded(knn_ivf(label_queries(spark, folder), index, 10, cells), "query_id", "rank", "image_id")
+
+
+def _reach(found: str):
+    """Whether a recall is 0.9 or more."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return QUERIES[found](spark, folder).select("expected", (F.col("recall") >= 0.9).alias("enough"))
+
+    return query
+
+
 QUERIES = {
     "knn_exact": _knn,
     "candidate_pool": _pool,
@@ -150,6 +173,10 @@ QUERIES = {
     "knn_ivf_recall": _ivf_recall,
     "knn_lsh": _lsh,
     "knn_lsh_recall": _lsh_recall,
+    "knn_lsh_all_buckets": _lsh_all_buckets,
+    "knn_ivf_two_levels": _ivf_two_levels,
+    "knn_lsh_enough": _reach("knn_lsh_recall"),
+    "knn_ivf_enough": _reach("knn_ivf_recall"),
 }
 
 # More candidates than any table has.
@@ -195,6 +222,10 @@ _IVF_NEAREST_SQL = f"{_IVF_SQL} {_NEAREST} FROM ({_top_sql('near', 10)})"
 
 SQL = {
     "knn_exact": f"WITH {IMAGES_SQL} {_NEAREST} FROM ({_top_sql('scored', 10)})",
+    "knn_lsh_all_buckets": f"WITH {IMAGES_SQL} {_NEAREST} FROM ({_top_sql('scored', 10)})",
+    "knn_ivf_two_levels": f"WITH {IMAGES_SQL} {_NEAREST} FROM ({_top_sql('scored', 10)})",
+    "knn_lsh_enough": f"WITH {IMAGES_SQL} SELECT count(*) AS expected, true AS enough FROM ({_top_sql('scored', 10)})",
+    "knn_ivf_enough": f"WITH {IMAGES_SQL} SELECT count(*) AS expected, true AS enough FROM ({_top_sql('scored', 10)})",
     "candidate_pool": f"WITH {IMAGES_SQL} {_NEAREST} FROM ({_top_sql('own_scores', 50)})",
     "resolve_hits": f"""
 WITH {IMAGES_SQL} SELECT query_id, rank, path, round(score, 4) + 0.0 AS score

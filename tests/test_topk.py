@@ -3,7 +3,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from lumisift.operators import topk
-from lumisift.operators.ann import ivf_add, ivf_build, knn_ivf, knn_lsh, lsh_build, recall_at_k
+from lumisift.operators.ann import ivf_add, ivf_build, knn_ivf, recall_at_k
+from lumisift.operators.lsh import knn_lsh, lsh_build
 from lumisift.operators.topk import Best, knn_exact, score_pairs
 from lumisift.plans import blocks
 from lumisift.plans.scratch import scratch_path
@@ -150,3 +151,107 @@ def test_lsh_scores_are_exact_and_recall_is_reported(spark, vectors, queries):
         assert row.score == pytest.approx(want, abs=1e-9)
     # A vector shares every bucket with itself.
     assert {(r.query_id, r.image_id) for r in found if r["rank"] == 1} == {(q, 2000 + q) for q in asked}
+
+
+# -- cells on two levels ------------------------------------------------------------
+
+def test_more_cells_than_a_block(spark, vectors, queries, monkeypatch):
+    """Cells beyond the bound of one level, which is small here; all of them give the exact result."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 12)
+    rng = np.random.default_rng(11)
+    points, asked = dict(enumerate(unit(rng, 500), 1)), dict(enumerate(unit(rng, 5)))
+    index = ivf_build(vectors(points), scratch_path(spark, "ivf"), cells=60)
+    cells = index.centres()
+    assert index.on_two_levels() and cells.count() >= 60 and cells.select("cell").distinct().count() == cells.count()
+    assert index.parents().count() <= 12
+    assert index.vectors().count() == 500
+    assert rows(knn_ivf(queries(asked), index, 10, cells.count())) == brute(asked, points, 10)
+    late = dict(enumerate(unit(rng, 20), 490))
+    ivf_add(index, vectors(late))
+    points |= late
+    assert rows(knn_ivf(queries(asked), index, 10, cells.count())) == brute(asked, points, 10)
+    exact = knn_exact(queries(asked), vectors(points), 10)
+    recall = recall_at_k(knn_ivf(queries(asked), index, 10, 40), exact).first().recall
+    assert recall >= 0.8
+    plan = knn_ivf(queries(asked), index, 10, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "parent" in plan[plan.index("PartitionFilters"):] and "In(cell" in plan
+
+
+def test_over_4096_cells(spark):
+    from lumisift.operators.ann import fit_two_levels
+
+    df = spark.range(30_000).selectExpr(
+        "id AS image_id", "array(CAST(cos(id * 0.37) AS FLOAT), CAST(sin(id * 0.37) AS FLOAT), CAST(cos(id) AS FLOAT)) AS embedding")
+    centres, parents = fit_two_levels(df, 5000, rounds=1, inner_rounds=1)
+    assert centres.count() > 4096 and parents.count() <= 70
+    assert centres.join(parents.select(parents.cell.alias("parent")), "parent", "left_anti").isEmpty()
+
+
+def test_centres_move_to_the_means(spark, vectors):
+    from lumisift.operators.ann import fit_centres
+
+    rng = np.random.default_rng(12)
+    points = np.r_[unit(rng, 50, 4) * 0.1 + [1, 0, 0, 0], unit(rng, 50, 4) * 0.1 + [0, 1, 0, 0]]
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    got = fit_centres(vectors(dict(enumerate(points, 1))), 2, rounds=20).collect()
+    means = [points[:50].mean(axis=0), points[50:].mean(axis=0)]
+    near = sorted(max(float(np.dot(r.embedding, m / np.linalg.norm(m))) for m in means) for r in got)
+    assert near[0] > 0.9999
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+# -- buckets ---------------------------------------------------------------------------
+
+def test_lsh_looks_at_the_probed_buckets_once(spark, vectors, queries):
+    rng = np.random.default_rng(13)
+    points, asked = dict(enumerate(unit(rng, 600), 1)), dict(enumerate(unit(rng, 6)))
+    index = lsh_build(vectors(points), scratch_path(spark, "lsh"), tables=3, planes=3)
+    hashes = index.hashes()
+    probes = hashes.probes(np.array([asked[q] for q in sorted(asked)], float), 5)
+    buckets = hashes.buckets(np.floor(hashes.places(np.array([points[i] for i in sorted(points)], float))))
+    found = knn_lsh(queries(asked), index, 600, probes=5).collect()
+    want = {(q, i + 1) for q in asked for i in range(600) if any(buckets[i, t] in probes[q, t] for t in range(3))}
+    assert {(r.query_id, r.image_id) for r in found} == want and len(found) == len(want) < 6 * 600
+
+
+def test_nearer_buckets_come_first(spark, vectors):
+    rng = np.random.default_rng(14)
+    hashes = lsh_build(vectors({1: unit(rng, 1)[0]}), scratch_path(spark, "lsh"), tables=2, planes=2).hashes()
+    point = unit(rng, 1).astype(float)
+    place = hashes.places(point)[0]
+    own, order = np.floor(place), hashes.probes(point, 9)[0]
+    for t in range(2):
+        cost = {}
+        for a in range(-3, 4):
+            for b in range(-3, 4):
+                away = [max(0.0, o + m - x, x - (o + m + 1)) for o, m, x in zip(own[t], (a, b), place[t])]
+                cost[int(hashes.buckets(own[t] + [a, b]))] = sum(d * d for d in away)
+        assert [cost[int(b)] for b in order[t]] == pytest.approx(sorted(cost.values())[:9])
+
+
+def test_lsh_reads_only_the_folders_it_asks(spark, vectors, queries):
+    from lumisift.operators.lsh import lsh_add
+
+    rng = np.random.default_rng(15)
+    points, asked = dict(enumerate(unit(rng, 300), 1)), dict(enumerate(unit(rng, 2)))
+    index = lsh_build(vectors(points), scratch_path(spark, "lsh"), folders=8)
+    found = knn_lsh(queries(asked), index, 5, probes=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):]
+    assert "folder" in filters and "table" in filters and "bucket" in plan[plan.index("PushedFilters"):]
+    newer = dict(zip((1, 2, 900), unit(rng, 3)))
+    lsh_add(index, vectors(newer))
+    assert index.vectors().select("image_id").distinct().count() == 301
+    mine = {r.image_id: r.score for r in knn_lsh(queries({7: newer[1]}), index, 400, probes=400).collect()}
+    assert mine[1] == pytest.approx(1.0, abs=1e-6) and len(mine) <= 301
+    assert knn_lsh(queries({7: [1.0, 0.0]}), index, 4).count() == 0
+
+
+def test_hot_bucket_is_written_by_several_tasks(spark, vectors, queries, monkeypatch):
+    from lumisift.operators import ann
+
+    monkeypatch.setattr(ann, "FILE_ROWS", 50)
+    points = {i: [1.0, 0.0] for i in range(400)}
+    index = lsh_build(vectors(points), scratch_path(spark, "lsh"), tables=2, planes=2)
+    assert len(index.vectors().where("table = 0").inputFiles()) > 1
+    assert knn_lsh(queries({1: [1, 0]}), index, 400).count() == 400
