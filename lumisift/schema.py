@@ -37,6 +37,7 @@ COMMITS = T.StructType([
     T.StructField("indexed", T.LongType()),
     T.StructField("removed", T.LongType()),
     T.StructField("source", T.StringType()),
+    T.StructField("run", T.StringType()),
 ])
 
 

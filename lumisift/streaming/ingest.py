@@ -121,7 +121,7 @@ class LiveTopK:
         size = self.pool
         follows = self.state and before.version == self.state.version
         if follows and after.voided == before.voided and after.base == before.base:
-            added = store.added_vectors(before.version, after.version)
+            added = store.added_vectors(before.version, after)
             found = knn_exact(self.blocks, added, size, self.query_id)
             pools = merge_top(self.pools.drop("rank").unionByName(found.drop("rank")), size, self.query_id)
         else:

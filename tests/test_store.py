@@ -57,8 +57,8 @@ def test_vectors_append_and_read(spark, store, vectors):
 def test_uncommitted_version_is_invisible_and_overwritten(spark, store, vectors):
     first = store.write_manifest(rows(spark, (1, "/a", 1, 1, "h1", 1)), vectors({1: [1, 0]}))
     # A run that died after writing its folders, before its commit row.
-    rows(spark, (2, "/lost", 1, 1, "h2", 2)).write.parquet(f"{store.root}/manifest/version=2")
-    vectors({2: [0, 1]}).write.parquet(f"{store.root}/vectors/version=2")
+    rows(spark, (2, "/lost", 1, 1, "h2", 2)).write.parquet(f"{store.root}/manifest/version=2/run=lost")
+    vectors({2: [0, 1]}).write.parquet(f"{store.root}/vectors/version=2/run=lost")
     assert [r.path for r in store.manifest().collect()] == ["/a"]
     assert store.vectors().count() == 1
     assert store.state() == first
@@ -71,12 +71,12 @@ def test_uncommitted_version_is_invisible_and_overwritten(spark, store, vectors)
 def test_leftovers_do_not_join_a_later_version(spark, store, vectors):
     first = store.write_manifest(rows(spark, (1, "/a", 1, 1, "h1", 1)), vectors({1: [1, 0]}))
     # A run died after its vectors; the next one has none, and the one after has only vectors.
-    vectors({2: [0, 1]}).write.parquet(f"{store.root}/vectors/version=2")
+    vectors({2: [0, 1]}).write.parquet(f"{store.root}/vectors/version=2/run=lost")
     store.stage(rows(spark, (1, "/b", 2, 1, "h1", 1)), first)
     store.commit(first)
     assert [r.path for r in store.manifest().collect()] == ["/b"]
     assert [r.image_id for r in store.vectors().collect()] == [1]
-    rows(spark, (9, "/lost", 1, 1, "h9", 3)).write.parquet(f"{store.root}/manifest/version=3")
+    rows(spark, (9, "/lost", 1, 1, "h9", 3)).write.parquet(f"{store.root}/manifest/version=3/run=lost")
     store.append_vectors(vectors({3: [1, 1]}))
     assert [r.path for r in store.manifest().collect()] == ["/b"]
     assert sorted(r.image_id for r in store.vectors().collect()) == [1, 3]
@@ -225,3 +225,45 @@ def test_a_committed_version_is_not_written_again(spark, store, vectors):
         with pytest.raises(ValueError, match="the index is at 1"):
             step()
     assert [list(r.embedding) for r in store.vectors().collect()] == [[1.0, 0.0]]
+
+
+def test_of_two_runs_one_commits(spark, store, vectors):
+    """Both stage the same version; the loser stops, and neither its rows nor its vectors count."""
+    other = IndexStore(spark, store.root)
+    first = store.write_manifest(rows(spark, (1, "/a", 1, 1, "h1", 1)), vectors({1: [1, 0]}))
+    store.stage(rows(spark, (2, "/mine", 1, 1, "h2", 2)), first)
+    other.stage(rows(spark, (2, "/theirs", 1, 1, "h3", 2)), first)
+    won = other.commit(first, vectors({2: [0, 1]}))
+    # As if this one had looked for the newest version before the other commit.
+    store._require_next = lambda state: None
+    with pytest.raises(ValueError, match="another run has committed it"):
+        store.commit(first, vectors({2: [7, 7]}))
+    del store._require_next
+    assert sorted(r.path for r in store.manifest().collect()) == ["/a", "/theirs"]
+    assert sorted(r.embedding for r in store.vectors().collect()) == [[0.0, 1.0], [1.0, 0.0]]
+    assert store.state() == won == other.state()
+    # The loser starts again from there.
+    store.stage(rows(spark, (3, "/mine", 1, 1, "h2", 3)), won)
+    store.commit(won, vectors({3: [7, 7]}))
+    assert sorted(r.path for r in other.manifest().collect()) == ["/a", "/mine", "/theirs"]
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_void_vectors_are_left_out(spark, store, vectors, monkeypatch, few):
+    from lumisift.sources import store as stores
+
+    monkeypatch.setattr(stores, "FEW_VOIDS", few)
+    points = {i: [float(i), 0.0] for i in (1, 63, 64, 65, 127, 128, 500)}
+    state = store.write_manifest(rows(spark, *((i, f"/{i}", 1, 1, f"h{i}", 1) for i in points)), vectors(points))
+    for step, ids in enumerate([(1, 63, 64), (63, 500, 127)], 1):
+        newer = {i: [float(i), float(step)] for i in ids}
+        staged = rows(spark, *((i, f"/{i}", 1, 1, f"g{step}", step + 1) for i in ids)).withColumn("voids", F.lit(True))
+        store.stage(staged, state)
+        state = store.commit(state, vectors(newer), voided=len(ids))
+        points |= newer
+        found = store.vectors()
+        assert sorted((r.image_id, r.embedding) for r in found.collect()) == sorted(points.items())
+    assert ("Join" in found._jdf.queryExecution().executedPlan().toString()) == (few == 0)
+    assert store.vectors(1).count() == 7
+    kept = store.compact()
+    assert kept.voided == 0 and sorted((r.image_id, r.embedding) for r in store.vectors().collect()) == sorted(points.items())
