@@ -1,16 +1,20 @@
 """Cross-entropy difference between two matched n-gram models.
 
-A target and a background model count the word bigrams of their documents. They have the
-same order, smoothing and vocabulary, all words of both, so the losses of a token differ
-by what the models have seen alone. The mean difference over a document's tokens scores
-it: below zero, it is likelier under the target.
-
-A row per document and bigram would make the shuffles several times the text. So documents
-go to packs by a hash of their content. A pack asks once for each bigram and context it
-has, with its own counts, in one array per bucket of keys; a bucket sums up over packs and
-answers with the counts of the others in the order asked, without the keys. Most are zero.
-Models grow with the corpus; no task has more than a pack or a bucket, and a frequent bigram
-is one entry per pack.
+A target and a background model count the word bigrams of their documents. They have the same order, smoothing and
+vocabulary, all words of both; the background's counts are weighted to the target's number of words, so the losses of
+a token differ by what the models have seen alone. A bigram's probability leans on that of its word, by ``PRIOR``
+counts, and a word's on all words being alike, by ``SMOOTH`` counts. A document is scored by models that have not
+seen it: its own counts are taken off first, so documents of the target score like others of their kind. The lower
+the mean difference over its tokens, the likelier a document is under the target. A background of more text has met
+more bigrams and predicts all documents somewhat better, so scores are to be ranked or held against those of labelled
+documents, not against zero.
+
+A row per document and bigram would make the shuffles several times the text. So documents go to packs by a hash of
+their content. A pack asks once for each bigram and word it has, with its own counts, in one array per bucket of
+keys; a bucket sums up over packs and answers with the counts of the others that are not zero, by place, without the
+keys. Models grow with the corpus; no task has more than a pack or a bucket, and a frequent bigram is one entry per
+pack. A word stands for the context it makes as well: each document ends in one more event, so that words and
+contexts are as many.
 """
 
 from __future__ import annotations
@@ -24,35 +28,60 @@ from lumisift.llm.shingles import mix, word_hashes
 from lumisift.plans.scratch import materialize
 
 SMOOTH = 0.1
+PRIOR = 4.0
 
 # Text in a pack, and text whose keys fill a bucket.
 PACK_BYTES = 12 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 _START = np.uint64(1)
 _CONTEXT = np.uint64(0xA0761D6478BD642F)
-# The last bit of a key tells contexts from bigrams.
+# The last bit of a key tells words from bigrams.
 _BIT = np.uint64(1)
 
-_ANSWER = "pack bigint, bucket bigint, contexts bigint, target array<bigint>, background array<bigint>, marked array<bigint>"
-
+_ANSWER = ("pack bigint, bucket bigint, words bigint, all_target bigint, everything bigint, "
+           "at array<int>, target array<bigint>, background array<bigint>, marked array<bigint>")
+
+
+class _Pack:
+    """The tokens of some texts: ``keys`` of distinct bigrams, of distinct words, and of the start of a text."""
+
+    def __init__(self, texts: pa.Array):
+        words, at = word_hashes(texts)
+        self.sizes = np.diff(at)
+        self.first = at[:-1][self.sizes > 0]
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[self.first] = _START
+        grams, self.grams = np.unique(mix(before * np.uint64(3) + words) & ~_BIT, return_inverse=True)
+        named, place = np.unique(mix(words ^ _CONTEXT) | _BIT, return_inverse=True)
+        start = mix(np.array([_START]) ^ _CONTEXT) | _BIT
+        self.keys = np.concatenate([grams, named, start])
+        self.words = place + len(grams)
+        self.contexts = np.empty_like(self.words)
+        self.contexts[1:] = self.words[:-1]
+        self.contexts[self.first] = len(self.keys) - 1
+        self.documents = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """How often each key stands in the texts, each text counted ``weights`` times."""
+        each = weights.astype(float)[self.documents]
+        total = np.bincount(self.grams, each, len(self.keys)) + np.bincount(self.words, each, len(self.keys))
+        total[-1] += weights[self.sizes > 0].sum()
+        return total.astype(np.int64)
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bigram that ends in each word, the context in front of it, and how many words each text has."""
-    words, at = word_hashes(texts)
-    sizes = np.diff(at)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[at[:-1][sizes > 0]] = _START
-    return mix(before * np.uint64(3) + words) & ~_BIT, mix(before ^ _CONTEXT) | _BIT, sizes
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token how often its bigram, word and context stand in its text."""
 
+        def times(place: np.ndarray) -> np.ndarray:
+            _, pair, n = np.unique(self.documents * len(self.keys) + place, return_inverse=True, return_counts=True)
+            return n[pair]
 
-def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of bigrams, then of contexts, the place there of each token's two, and the sizes of the texts."""
-    grams, contexts, sizes = _tokens(texts)
-    grams, of_gram = np.unique(grams, return_inverse=True)
-    contexts, of_context = np.unique(contexts, return_inverse=True)
-    return np.concatenate([grams, contexts]), of_gram, of_context + len(grams), sizes
+        words = times(self.words)
+        contexts = np.empty_like(words)
+        contexts[1:] = words[:-1]
+        contexts[self.first] = 1
+        return times(self.grams), words, contexts
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -68,18 +97,10 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _own(table: pa.Table, marked: pa.Array, places: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often each key stands in the target's documents of a pack, and in all of them."""
+def _weights(table: pa.Table, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How often each document counts for the target, and for both."""
     copies = table["copies"].to_numpy()
-    is_target = pc.is_in(table["doc_id"], value_set=marked).to_numpy()
-
-    def count(weights: np.ndarray) -> np.ndarray:
-        each = np.repeat(weights.astype(float), sizes)
-        total = np.bincount(places[0], each, keys)
-        total += np.bincount(places[1], each, keys)
-        return total.astype(np.int64)
-
-    return count(copies * is_target), count(copies)
+    return copies * pc.is_in(table["doc_id"], value_set=marked).to_numpy(), copies
 
 
 def _order(keys: np.ndarray, target: np.ndarray, every: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,73 +119,98 @@ def asked(packs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     """
 
     def ask(docs: pa.Table, marked: pa.Table) -> pa.Table:
-        keys, grams, contexts, sizes = _keys(_column(docs, "text"))
-        target, every = _own(docs, _column(marked, "doc_id"), (grams, contexts), sizes, len(keys))
-        order, at = _order(keys, target, every, buckets)
+        pack = _Pack(_column(docs, "text"))
+        target, every = (pack.counts(w) for w in _weights(docs, _column(marked, "doc_id")))
+        order, at = _order(pack.keys, target, every, buckets)
         return pa.table({
             "bucket": pa.array(np.arange(buckets)), "pack": pa.array(np.full(buckets, docs["pack"][0].as_py(), np.int64)),
-            "keys": _lists(keys[order].view(np.int64), at), "target": _lists(target[order], at), "n": _lists(every[order], at)})
+            "keys": _lists(pack.keys[order].view(np.int64), at), "target": _lists(target[order], at), "n": _lists(every[order], at)})
 
     return packs.groupBy("pack").cogroup(targets.groupBy("pack")).applyInArrow(
         ask, "bucket bigint, pack bigint, keys array<bigint>, target array<bigint>, n array<bigint>")
 
 
 def answered(requests: DataFrame) -> DataFrame:
-    """``(pack, bucket, contexts, target, background, marked)`` for each request.
+    """Per request the counts of other packs that are not zero: ``at``, places among the keys, ``target``, ``background``.
 
-    ``target`` and ``background`` are the counts of other packs, in the order of the keys asked for; ``contexts`` is how
-    many distinct ones the bucket has. ``marked`` is null.
+    ``words`` is how many distinct ones the bucket has, ``all_target`` and ``everything`` how often they stand in the
+    target's documents and in all. ``marked`` is null.
     """
 
     def answer(table: pa.Table) -> pa.Table:
-        at = np.concatenate([[0], np.cumsum(pc.list_value_length(table["keys"]).to_numpy())])
+        ends = np.cumsum(pc.list_value_length(table["keys"]).to_numpy())
+        starts = np.concatenate([[0], ends])
         keys, place = np.unique(_flat(table, "keys"), return_inverse=True)
         target, every = _flat(table, "target"), _flat(table, "n")
-        others = [np.bincount(place, own).astype(np.int64)[place] - own for own in (target, every - target)]
-        contexts = int((keys.view(np.uint64) & _BIT).sum())
+        is_word = (keys & 1).astype(bool)
+        sums = [np.bincount(place, own, len(keys)).astype(np.int64) for own in (target, every)]
+        facts = [int(is_word.sum()), *(int(total[is_word].sum()) for total in sums)]
+        others = sums[0][place] - target
+        rest = sums[1][place] - every - others
+        there = np.flatnonzero(others + rest)
+        at = np.searchsorted(there, starts)
+        within = (there - np.repeat(starts[:-1], np.diff(at))).astype(np.int32)
+        same = {name: pa.array(np.full(len(table), value)) for name, value in zip(("words", "all_target", "everything"), facts)}
         return pa.table({
-            "pack": table["pack"], "bucket": table["bucket"], "contexts": pa.array(np.full(len(table), contexts)),
-            "target": _lists(others[0], at), "background": _lists(others[1], at), "marked": pa.nulls(len(table), pa.list_(pa.int64()))})
+            "pack": table["pack"], "bucket": table["bucket"], **same,
+            "at": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(within)), "target": _lists(others[there], at),
+            "background": _lists(rest[there], at), "marked": pa.nulls(len(table), pa.list_(pa.int64()))})
 
     return requests.groupBy("bucket").applyInArrow(answer, _ANSWER)
 
 
-def scored(packs: DataFrame, targets: DataFrame, answers: DataFrame, buckets: int, smooth: float) -> DataFrame:
+def scored(
+    packs: DataFrame, targets: DataFrame, answers: DataFrame, buckets: int, smooth: float, prior: float
+) -> DataFrame:
     """``(doc_id, n_tokens, score)`` of the documents of each pack, from the answers to what it asked."""
     ids = targets.groupBy("pack").agg(F.collect_list("doc_id").alias("marked"))
     # A pack's targets are no more than its documents.
     told = answers.unionByName(ids, allowMissingColumns=True)
 
     def score(docs: pa.Table, told: pa.Table) -> pa.Table:
-        keys, grams, contexts, sizes = _keys(_column(docs, "text"))
-        marked = pa.array(_flat(told, "marked"), pa.int64())
-        own, every = _own(docs, marked, (grams, contexts), sizes, len(keys))
-        weight = smooth * max(pc.sum(told["contexts"]).as_py() or 0, 1)
-        told = told.sort_by("bucket")
-        order, _ = _order(keys, own, every, buckets)
-        target, background = own.copy(), every - own
-        target[order] += _flat(told, "target")
-        background[order] += _flat(told, "background")
-        seen = np.log((background + smooth) / (target + smooth))
-        ahead = np.log((target + weight) / (background + weight))
-        losses = seen[grams] + ahead[contexts]
-        means = np.zeros(len(sizes))
-        some = sizes > 0
+        pack = _Pack(_column(docs, "text"))
+        weights = _weights(docs, pa.array(_flat(told, "marked"), pa.int64()))
+        target, every = (pack.counts(w) for w in weights)
+        order, begins = _order(pack.keys, target, every, buckets)
+        told = told.filter(pc.is_valid(told["bucket"]))
+        sizes = pc.list_value_length(told["at"]).to_numpy()
+        place = order[np.repeat(begins[told["bucket"].to_numpy()], sizes) + _flat(told, "at")]
+        background = every - target
+        target[place] += _flat(told, "target")
+        background[place] += _flat(told, "background")
+        vocabulary, all_target, everything = (pc.sum(told[c]).as_py() or 0 for c in ("words", "all_target", "everything"))
+        rest = everything - all_target
+        weight = all_target / rest if all_target and rest else 1.0
+        own, length = pack.own(), pack.sizes + 1
+        losses = np.zeros(len(pack.grams))
+        for sign, seen, whole, scale, counted in (
+            (-1, target, all_target, 1.0, weights[0]), (1, background, rest, weight, weights[1] - weights[0])
+        ):
+            mine = counted[pack.documents]
+            gram, word, context = (
+                scale * (seen[at] - mine * n) for at, n in zip((pack.grams, pack.words, pack.contexts), own))
+            words = scale * (whole - (counted * length)[pack.documents])
+            alone = (word + smooth) / (words + smooth * vocabulary)
+            losses += sign * np.log((gram + prior * alone) / (context + prior))
+        means = np.zeros(len(pack.sizes))
+        some = pack.sizes > 0
         if some.any():
-            means[some] = np.add.reduceat(losses, (np.cumsum(sizes) - sizes)[some]) / sizes[some]
-        return pa.table({"doc_id": docs["doc_id"], "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array(means)})
+            means[some] = np.add.reduceat(losses, pack.first) / pack.sizes[some]
+        return pa.table({"doc_id": docs["doc_id"], "n_tokens": pa.array(pack.sizes, pa.int64()), "score": pa.array(means)})
 
     return packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(
         score, "doc_id bigint, n_tokens bigint, score double")
 
 
-def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", smooth: float = SMOOTH) -> DataFrame:
+def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", smooth: float = SMOOTH,
+                    prior: float = PRIOR) -> DataFrame:
     """``(doc_id, n_tokens, score)`` for every key and text of ``docs``.
 
     Documents whose key is in ``target(doc_id)`` make the target model, the others the background. ``score`` is the
-    mean over the tokens of the target's loss less the background's. A null or empty text has no tokens and the
-    score 0. Rows with the same key and text are one document and come back once, but the models count each; other
-    columns are not looked at.
+    mean over the tokens of the target's loss less the background's, each without what this document itself adds to
+    them. A null or empty text has no tokens and the score 0; texts are taken whole, however long. Rows with the same
+    key and text are one document and come back once; for others the models count each of them. Other columns are
+    not looked at. Without target documents, or with no others, the models still differ by nothing but the counts.
     """
     wanted = target.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     chosen = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -180,4 +226,4 @@ def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", tex
     packs = rows.withColumn("pack", F.pmod(content, F.lit(-(-size // PACK_BYTES) or 1).cast("bigint")))
     targets = materialize(packs.select("doc_id", "pack").distinct().join(wanted, "doc_id", "left_semi"), "lm-targets")
     buckets = -(-size // BUCKET_BYTES) or 1
-    return scored(packs, targets, answered(asked(packs, targets, buckets)), buckets, smooth)
+    return scored(packs, targets, answered(asked(packs, targets, buckets)), buckets, smooth, prior)

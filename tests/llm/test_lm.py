@@ -2,6 +2,7 @@
 
 import math
 import re
+import statistics
 from collections import Counter
 
 import pytest
@@ -12,21 +13,33 @@ FOLDER = "/root/testdata/sf0.001"
 LOW = {c: c + 32 for c in range(65, 91)}
 
 
-def brute(rows, good, smooth=0.1):
+def brute(rows, good, smooth=0.1, prior=4.0):
     grams = {}
     for doc, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
         grams[doc] = list(zip([None, *words], words))
-    seen, ahead = (Counter(), Counter()), (Counter(), Counter())
+    pairs, words = (Counter(), Counter()), (Counter(), Counter())
     for doc, found in grams.items():
-        seen[doc in good].update(found)
-        ahead[doc in good].update(before for before, _ in found)
-    size = len(set(ahead[0]) | set(ahead[1]))
+        pairs[doc in good].update(found)
+        words[doc in good].update(word for _, word in found)
+        words[doc in good][None] += bool(found)
+    vocabulary = len(set(words[0]) | set(words[1]))
+    totals = [sum(words[kind].values()) for kind in (0, 1)]
+    scale = (totals[1] / totals[0] if all(totals) else 1.0, 1.0)
+    out = {}
+    for doc, found in grams.items():
+        own_pairs, own_words = Counter(found), Counter(word for _, word in found)
+        own_words[None] = 1
 
-    def loss(kind, gram):
-        return -math.log((seen[kind][gram] + smooth) / (ahead[kind][gram[0]] + smooth * size))
+        def loss(kind, pair):
+            mine = (doc in good) == kind
+            (before, word), size = pair, totals[kind] - mine * (len(found) + 1)
+            alone = (scale[kind] * (words[kind][word] - mine * own_words[word]) + smooth) / (scale[kind] * size + smooth * vocabulary)
+            seen = scale[kind] * (pairs[kind][pair] - mine * own_pairs[pair])
+            return -math.log((seen + prior * alone) / (scale[kind] * (words[kind][before] - mine * own_words[before]) + prior))
 
-    return {doc: sum(loss(1, g) - loss(0, g) for g in found) / max(len(found), 1) for doc, found in grams.items()}
+        out[doc] = sum(loss(1, g) - loss(0, g) for g in found) / max(len(found), 1)
+    return out
 
 
 @pytest.mark.parametrize("size", [None, 40_000])
@@ -48,5 +61,24 @@ def test_odd_rows(spark):
     target = spark.createDataFrame([(1,), (3,), (3,), (None,)], "doc_id long")
     got = {r.doc_id: (r.n_tokens, r.score) for r in lm_score.score_documents(docs, target).collect()}
     assert {d: n for d, (n, _) in got.items()} == {1: 0, 2: 0, 3: 3, None: 2}
-    assert got[1][1] == got[2][1] == 0.0 and got[3][1] < 0 < got[None][1]
+    assert got[1][1] == got[2][1] == 0.0
     assert lm_score.score_documents(docs.limit(0), target).count() == 0
+
+
+def test_documents_are_scored_by_models_that_have_not_seen_them(spark):
+    """Half of the good documents as target: the other half scores like them, and below the unlabelled ones."""
+    folder = FOLDER.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    good = sorted(r.doc_id for r in labels.where("quality = 1").collect())
+    inside, outside = set(good[::2]), set(good[1::2])
+    labelled = {r.doc_id for r in labels.collect()}
+    target = spark.createDataFrame([(d,) for d in inside], "doc_id long")
+    scores = {r.doc_id: r.score for r in lm_score.score_documents(spark.read.parquet(f"{folder}/documents.parquet"), target).collect()}
+
+    def median(ids):
+        return statistics.median(scores[d] for d in ids)
+
+    near, far, bad = median(inside), median(outside), median(labelled - set(good))
+    rest = median(set(scores) - labelled)
+    assert near <= far <= rest < bad
+    assert far - near < 0.1 * (bad - near)
