@@ -26,6 +26,8 @@ from lumisift.plans.scratch import materialize
 # At most so many labelled rows, those with the smallest hashes of their ids, are what the
 # linear model is fitted to. The counts behind the ratios cover all labelled rows.
 FIT_ROWS = 8_000
+# And at most so many indicators of them all together, in the order of those hashes.
+FIT_INDICATORS = 40_000_000
 THRESHOLD = 0.3
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -53,61 +55,92 @@ _CHAR_GRAMS = (2, 3, 4)
 _HASH_BITS = 20
 FEATURES = SHAPES + (1 << _HASH_BITS)
 
-# Characters hashed at a time, and bytes of text whose indicators are held at a time.
-_CHUNK = 1 << 18
+# Items hashed at a time, and bytes of text whose indicators are held at a time.
+_CHUNK = 1 << 19
 SLICE_BYTES = 1 << 20
 
+# An indicator that holds: the text's number, then the indicator's.
+_Held = tuple[np.ndarray, np.ndarray]
 
-def _levels(share: float, first: int) -> np.ndarray:
-    return np.array([first + i for i, least in enumerate(_REPEAT_LEVELS) if share > least], np.int64)
 
+def _runs(size: int, length: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose runs of ``size`` start in one chunk each."""
+    for low in range(0, length - size + 1, _CHUNK):
+        yield low, min(low + _CHUNK + size - 1, length)
 
-def shape_features(raw: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Numbers of the shape indicators that hold for a text, given as bytes and hashes of its words."""
-    held = [np.empty(0, np.int64)]
-    if len(raw) >= 3:
-        kinds = _CLASS[raw]
-        grams = np.bincount(kinds[:-2] * _KINDS**2 + kinds[1:-1] * _KINDS + kinds[2:], minlength=_GRAMS)
-        found = np.flatnonzero(grams)
-        share = grams[found] / (len(raw) - 2)
-        held += [found[share >= least] * len(_LEVELS) + i for i, least in enumerate(_LEVELS)]
-    for lag in range(1, min(_LAGS + 1, len(words))):
-        share = np.count_nonzero(words[lag:] == words[:-lag]) / (len(words) - lag)
-        held.append(_levels(share, _REPEATS + (lag - 1) * len(_REPEAT_LEVELS)))
-    if len(words) > _PASSAGE:
-        passages = chain(words, _PASSAGE)
-        held.append(_levels(1 - len(np.unique(passages)) / len(passages), _PASSAGES))
-    return np.concatenate(held)
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct numbers and how often each stands there; sorting is much faster here than hashing."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[:len(values)])
+    return values[first], np.diff(np.append(first, len(values)))
 
-def wording_features(raw: np.ndarray, folded: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Numbers of the wording indicators that hold for a text, given as bytes and hashes of its lower-cased words.
 
-    ``seen`` has a false entry per number, and again afterwards.
-    """
-    letters = raw.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass")
-    codes = np.frombuffer(letters, np.uint32)
-    for kind, (items, sizes) in enumerate(((folded, _WORD_GRAMS), (codes, _CHAR_GRAMS))):
-        for size in sizes:
-            salt = np.uint64(64 * kind + size)
-            for low in range(0, len(items) - size + 1, _CHUNK):
-                part = items[low:low + _CHUNK + size - 1].astype(np.uint64)
-                seen[mix(chain(part, size) + salt) >> np.uint64(64 - _HASH_BITS)] = True
-    found = np.flatnonzero(seen)
-    seen[found] = False
-    return found + SHAPES
+def _at_levels(texts: np.ndarray, shares: np.ndarray, levels: tuple[float, ...], first: int) -> list[_Held]:
+    return [(texts[shares > least], np.full(np.count_nonzero(shares > least), first + i)) for i, least in enumerate(levels)]
+
+
+def shape_features(raw: np.ndarray, of: np.ndarray, sizes: np.ndarray, words: np.ndarray, word_of: np.ndarray, counts: np.ndarray) -> list[_Held]:
+    """Shape indicators of texts, given as bytes and hashes of words, the text each is of, and how many each text has."""
+    grams = [np.empty(0, np.int64)]
+    kinds = _CLASS[raw]
+    for low, high in _runs(3, len(raw)):
+        part, text = kinds[low:high], of[low:high]
+        inside = text[2:] == text[:-2]
+        grams.append((text[:-2] * _GRAMS + part[:-2] * _KINDS**2 + part[1:-1] * _KINDS + part[2:])[inside])
+    found, times = _distinct(np.concatenate(grams))
+    text, gram = np.divmod(found, _GRAMS)
+    share = times / (sizes[text] - 2)
+    held = [(text[share >= least], gram[share >= least] * len(_LEVELS) + i) for i, least in enumerate(_LEVELS)]
+    for lag in range(1, _LAGS + 1):
+        equal = (words[lag:] == words[:-lag]) & (word_of[lag:] == word_of[:-lag])
+        text = np.flatnonzero(counts > lag)
+        share = np.bincount(word_of[lag:][equal], minlength=len(counts))[text] / (counts[text] - lag)
+        held += _at_levels(text, share, _REPEAT_LEVELS, _REPEATS + (lag - 1) * len(_REPEAT_LEVELS))
+    if len(words) > _PASSAGE:
+        inside = word_of[_PASSAGE - 1:] == word_of[:len(words) - _PASSAGE + 1]
+        start = word_of[:len(words) - _PASSAGE + 1][inside]
+        _, one = np.unique(chain(words, _PASSAGE)[inside] ^ mix(start.astype(np.uint64) + np.uint64(1)), return_index=True)
+        text = np.flatnonzero(counts > _PASSAGE)
+        share = 1 - np.bincount(start[one], minlength=len(counts))[text] / (counts[text] - _PASSAGE + 1)
+        held += _at_levels(text, share, _REPEAT_LEVELS, _PASSAGES)
+    return held
+
+
+def wording_features(kind: int, items: np.ndarray, of: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Wording indicators of texts, given as items and the text each is of; as one number with the text's in front."""
+    found = []
+    for size in lengths:
+        salt = np.uint64(64 * kind + size)
+        for low, high in _runs(size, len(items)):
+            text = of[low:high]
+            inside = text[size - 1:] == text[:high - low - size + 1]
+            hashed = mix(chain(items[low:high].astype(np.uint64), size) + salt) >> np.uint64(64 - _HASH_BITS)
+            found.append(_distinct(((text[:high - low - size + 1].astype(np.uint64) << np.uint64(_HASH_BITS)) | hashed)[inside])[0])
+    return found
 
 
 def batch_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The indicators of all texts one after the other, and how many each has."""
+    number = np.arange(len(texts))
     words, at = word_hashes(texts, fold=False)
     folded, _ = word_hashes(texts)
-    seen, found = np.zeros(1 << _HASH_BITS, bool), []
-    for t, low, high in zip(texts.cast(pa.large_binary()), at[:-1], at[1:], strict=True):
-        raw = np.frombuffer((t.as_buffer() if t.is_valid else b""), np.uint8)
-        shape, wording = shape_features(raw, words[low:high]), wording_features(raw, folded[low:high], seen)
-        found.append(np.concatenate([shape, wording]).astype(np.int32))
-    return np.concatenate([np.empty(0, np.int32), *found]), np.array([len(f) for f in found], np.int64)
+    counts = np.diff(at)
+    word_of = np.repeat(number, counts)
+    whole = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    sizes = pc.binary_length(whole).to_numpy(zero_copy_only=False)
+    raw = np.frombuffer(b"".join(whole.to_pylist()), np.uint8)
+    held = shape_features(raw, np.repeat(number, sizes), sizes, words, word_of, counts)
+    letters = [(text or "").lower() for text in texts.to_pylist()]
+    codes = np.frombuffer("".join(letters).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter_of = np.repeat(number, [len(text) for text in letters])
+    wording = wording_features(0, folded, word_of, _WORD_GRAMS) + wording_features(1, codes, letter_of, _CHAR_GRAMS)
+    if wording:
+        found, _ = _distinct(np.concatenate(wording))
+        held.append(((found >> np.uint64(_HASH_BITS)).astype(np.int64), (found & np.uint64((1 << _HASH_BITS) - 1)).astype(np.int64) + SHAPES))
+    text, indicator = (np.concatenate(column) for column in zip(*held))
+    order = np.argsort(text, kind="stable")
+    return indicator[order].astype(np.int32), np.bincount(text, minlength=len(texts)).astype(np.int64)
 
 
 def slices(part: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -268,9 +301,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "
     """
     clear = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.min("quality").cast("bigint").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
+    # Stored first: with their size known, Spark sends few labels to the texts, and not the texts to the labels.
+    clear = materialize(clear.where(~held_out()), "quality-labels")
     wanted = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(~held_out())
     # Stored as text: its indicators take several times the room.
-    known = materialize(wanted.join(clear.where(~held_out()), "doc_id"), "quality-known")
+    known = materialize(wanted.join(clear, "doc_id"), "quality-known")
     counts, totals = class_counts(known)
     scale = ratios(counts, totals)
     found, quality = _sample(known, rows)
@@ -295,7 +330,15 @@ def _sample(known: DataFrame, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
         return [], np.empty(0, np.int64)
     # Only the places go through one task; the texts stay where they lie.
     chosen = placed.where(F.col("place") <= F.struct(F.lit(last["hash"]), F.lit(last["doc_id"]).cast("bigint")))
-    sample = features(chosen.select("place.hash", "place.doc_id", "text", "quality")).toArrow().combine_chunks()
+    stored = materialize(features(chosen.select("place.hash", "place.doc_id", "text", "quality")), "quality-sample")
+    sizes = stored.select("hash", "doc_id", F.size("features").alias("n")).toArrow().combine_chunks()
+    order = np.lexsort([sizes["doc_id"].to_numpy(), sizes["hash"].to_numpy()])
+    fitting = max(1, int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()[order]), FIT_INDICATORS, side="right")))
+    if fitting < len(order):
+        end = order[fitting - 1]
+        place = F.struct(F.lit(sizes["hash"][end].as_py()), F.lit(sizes["doc_id"][end].as_py()).cast("bigint"))
+        stored = stored.where(F.struct("hash", "doc_id") <= place)
+    sample = stored.toArrow().combine_chunks()
     order = np.lexsort([sample["doc_id"].to_numpy(), sample["hash"].to_numpy()])[:rows]
     lists = pa.concat_arrays(sample["features"].chunks)
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
