@@ -31,7 +31,7 @@ SMOOTH = 0.1
 PRIOR = 4.0
 
 # Text in a pack, and text whose keys fill a bucket.
-PACK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 
 _START = np.uint64(1)
@@ -40,7 +40,31 @@ _CONTEXT = np.uint64(0xA0761D6478BD642F)
 _BIT = np.uint64(1)
 
 _ANSWER = ("pack bigint, bucket bigint, words bigint, all_target bigint, everything bigint, "
-           "at array<int>, target array<bigint>, background array<bigint>, marked array<bigint>")
+           "at binary, target binary, background binary, marked array<bigint>")
+
+# Bits of a key that are sent; its bucket tells the first ones.
+_KEY_BYTES = 6
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, as wide as the largest needs, after a byte that tells how wide."""
+    width = next(w for w in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) >> 8 * w == 0)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _short(keys: np.ndarray) -> bytes:
+    """The last bytes of each key; in a bucket, a range of hashes, they tell keys apart."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _KEY_BYTES, 8), np.uint8)
+    out[:, :_KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _KEY_BYTES)
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 class _Pack:
@@ -53,15 +77,16 @@ class _Pack:
         before = np.empty_like(words)
         before[1:] = words[:-1]
         before[self.first] = _START
-        grams, self.grams = np.unique(mix(before * np.uint64(3) + words) & ~_BIT, return_inverse=True)
+        grams, place = np.unique(mix(before * np.uint64(3) + words) & ~_BIT, return_inverse=True)
+        self.grams = place.astype(np.int32)
         named, place = np.unique(mix(words ^ _CONTEXT) | _BIT, return_inverse=True)
         start = mix(np.array([_START]) ^ _CONTEXT) | _BIT
         self.keys = np.concatenate([grams, named, start])
-        self.words = place + len(grams)
+        self.words = (place + len(grams)).astype(np.int32)
         self.contexts = np.empty_like(self.words)
         self.contexts[1:] = self.words[:-1]
         self.contexts[self.first] = len(self.keys) - 1
-        self.documents = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.documents = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
     def counts(self, weights: np.ndarray) -> np.ndarray:
         """How often each key stands in the texts, each text counted ``weights`` times."""
@@ -74,8 +99,9 @@ class _Pack:
         """For each token how often its bigram, word and context stand in its text."""
 
         def times(place: np.ndarray) -> np.ndarray:
-            _, pair, n = np.unique(self.documents * len(self.keys) + place, return_inverse=True, return_counts=True)
-            return n[pair]
+            pairs = self.documents.astype(np.int64) * len(self.keys) + place
+            _, pair, n = np.unique(pairs, return_inverse=True, return_counts=True)
+            return n.astype(np.int32)[pair]
 
         words = times(self.words)
         contexts = np.empty_like(words)
@@ -93,10 +119,6 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
     return _column(table, name).flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int64()))
-
-
 def _weights(table: pa.Table, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """How often each document counts for the target, and for both."""
     copies = table["copies"].to_numpy()
@@ -122,39 +144,46 @@ def asked(packs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
         pack = _Pack(_column(docs, "text"))
         target, every = (pack.counts(w) for w in _weights(docs, _column(marked, "doc_id")))
         order, at = _order(pack.keys, target, every, buckets)
+        parts = [order[low:high] for low, high in zip(at, at[1:])]
         return pa.table({
             "bucket": pa.array(np.arange(buckets)), "pack": pa.array(np.full(buckets, docs["pack"][0].as_py(), np.int64)),
-            "keys": _lists(pack.keys[order].view(np.int64), at), "target": _lists(target[order], at), "n": _lists(every[order], at)})
+            "keys": pa.array([_short(pack.keys[p]) for p in parts], pa.binary()),
+            "target": pa.array([_bytes(target[p]) for p in parts], pa.binary()),
+            "n": pa.array([_bytes(every[p]) for p in parts], pa.binary())})
 
     return packs.groupBy("pack").cogroup(targets.groupBy("pack")).applyInArrow(
-        ask, "bucket bigint, pack bigint, keys array<bigint>, target array<bigint>, n array<bigint>")
+        ask, "bucket bigint, pack bigint, keys binary, target binary, n binary")
 
 
 def answered(requests: DataFrame) -> DataFrame:
-    """Per request the counts of other packs that are not zero: ``at``, places among the keys, ``target``, ``background``.
+    """Per request the counts of other packs, ``target`` and ``background``, where ``at`` has a bit that they are not both zero.
 
     ``words`` is how many distinct ones the bucket has, ``all_target`` and ``everything`` how often they stand in the
     target's documents and in all. ``marked`` is null.
     """
 
     def answer(table: pa.Table) -> pa.Table:
-        ends = np.cumsum(pc.list_value_length(table["keys"]).to_numpy())
-        starts = np.concatenate([[0], ends])
-        keys, place = np.unique(_flat(table, "keys"), return_inverse=True)
-        target, every = _flat(table, "target"), _flat(table, "n")
-        is_word = (keys & 1).astype(bool)
+        sizes = [len(k.as_py()) // _KEY_BYTES for k in table["keys"]]
+        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        keys, place = np.unique(np.concatenate([_long(k.as_py()) for k in table["keys"]]), return_inverse=True)
+        place = place.astype(np.int32)
+        target, every = (np.concatenate([_numbers(n.as_py()) for n in table[c]]) for c in ("target", "n"))
+        is_word = (keys & _BIT).astype(bool)
         sums = [np.bincount(place, own, len(keys)).astype(np.int64) for own in (target, every)]
         facts = [int(is_word.sum()), *(int(total[is_word].sum()) for total in sums)]
         others = sums[0][place] - target
         rest = sums[1][place] - every - others
-        there = np.flatnonzero(others + rest)
-        at = np.searchsorted(there, starts)
-        within = (there - np.repeat(starts[:-1], np.diff(at))).astype(np.int32)
+        there = (others + rest) > 0
+        parts = list(zip(starts, starts[1:]))
         same = {name: pa.array(np.full(len(table), value)) for name, value in zip(("words", "all_target", "everything"), facts)}
+
+        def sent(values: np.ndarray) -> pa.Array:
+            return pa.array([_bytes(values[a:b][there[a:b]]) for a, b in parts], pa.binary())
+
         return pa.table({
             "pack": table["pack"], "bucket": table["bucket"], **same,
-            "at": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(within)), "target": _lists(others[there], at),
-            "background": _lists(rest[there], at), "marked": pa.nulls(len(table), pa.list_(pa.int64()))})
+            "at": pa.array([np.packbits(there[a:b]).tobytes() for a, b in parts], pa.binary()), "target": sent(others),
+            "background": sent(rest), "marked": pa.nulls(len(table), pa.list_(pa.int64()))})
 
     return requests.groupBy("bucket").applyInArrow(answer, _ANSWER)
 
@@ -173,11 +202,12 @@ def scored(
         target, every = (pack.counts(w) for w in weights)
         order, begins = _order(pack.keys, target, every, buckets)
         told = told.filter(pc.is_valid(told["bucket"]))
-        sizes = pc.list_value_length(told["at"]).to_numpy()
-        place = order[np.repeat(begins[told["bucket"].to_numpy()], sizes) + _flat(told, "at")]
         background = every - target
-        target[place] += _flat(told, "target")
-        background[place] += _flat(told, "background")
+        for n, bucket in enumerate(told["bucket"].to_pylist()):
+            part = order[begins[bucket]:begins[bucket + 1]]
+            there = np.unpackbits(np.frombuffer(told["at"][n].as_py(), np.uint8), count=len(part)).astype(bool)
+            target[part[there]] += _numbers(told["target"][n].as_py())
+            background[part[there]] += _numbers(told["background"][n].as_py())
         vocabulary, all_target, everything = (pc.sum(told[c]).as_py() or 0 for c in ("words", "all_target", "everything"))
         rest = everything - all_target
         weight = all_target / rest if all_target and rest else 1.0
