@@ -29,6 +29,8 @@ FIT_ROWS = 8_000
 # And at most so many indicators of them all together, in the order of those hashes.
 FIT_INDICATORS = 40_000_000
 THRESHOLD = 0.3
+# Labels of two numbers each that are broadcast, 32 MB of them.
+BROADCAST_LABELS = 2_000_000
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASS = np.zeros(256, np.int64)
@@ -301,8 +303,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "
     """
     clear = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.min("quality").cast("bigint").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
-    # Stored first: with their size known, Spark sends few labels to the texts, and not the texts to the labels.
     clear = materialize(clear.where(~held_out()), "quality-labels")
+    # Counted: so few labels go to the texts. More of them, and the labelled texts are shuffled.
+    if clear.count() <= BROADCAST_LABELS:
+        clear = F.broadcast(clear)
     wanted = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(~held_out())
     # Stored as text: its indicators take several times the room.
     known = materialize(wanted.join(clear, "doc_id"), "quality-known")
