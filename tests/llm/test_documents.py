@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +234,121 @@ def test_odd_rows(spark, odd):
                   quality_model.score_quality(odd.limit(0), labels)):
         assert table.count() == 0
     assert {r.doc_id: r.n_words for r in licenses.scan_licenses(odd).collect() if r.doc_id} == {1: 0, 2: 0, 3: 0, 4: 2, 6: 120_000}
+
+
+# -- the quality model's parts against plain ones ------------------------------------
+
+TEXTS_OF_ALL_KINDS = [
+    None, "", "a", "ab", "abc", " ", "x y", "ΑΣ ΑΣ." + " b" * 9, "One two three four " * 30, "AAA!!! ### $$$ " * 20,
+    "long é 🙂 " * 3000, "same words same words same words", "The quick brown fox. " * 3 + "jumps",
+]
+
+
+def plain_shape(text):
+    """Shape indicators by counting one by one."""
+    raw = (text or "").encode()
+    found = set()
+    kinds = [int(quality_model._CLASS[b]) for b in raw]
+    grams = [(a * quality_model._KINDS + b) * quality_model._KINDS + c for a, b, c in zip(kinds, kinds[1:], kinds[2:])]
+    for gram in set(grams):
+        for i, least in enumerate(quality_model._LEVELS):
+            if grams.count(gram) / len(grams) >= least:
+                found.add(gram * len(quality_model._LEVELS) + i)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+    def levels(share, first):
+        found.update(first + i for i, least in enumerate(quality_model._REPEAT_LEVELS) if share > least)
+
+    for lag in range(1, 9):
+        if len(words) > lag:
+            levels(sum(a == b for a, b in zip(words[lag:], words)) / (len(words) - lag), quality_model._REPEATS + 4 * (lag - 1))
+    if len(words) > 4:
+        passages = [tuple(words[i:i + 4]) for i in range(len(words) - 3)]
+        levels(1 - len(set(passages)) / len(passages), quality_model._PASSAGES)
+    return found
+
+
+def by_text(texts):
+    flat, lengths = quality_model.batch_features(pa.array(texts, pa.string()))
+    ends = np.cumsum(lengths)
+    return [flat[end - n:end].tolist() for end, n in zip(ends, lengths)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 7])
+def test_indicators(monkeypatch, chunk):
+    monkeypatch.setattr(quality_model, "_CHUNK", chunk)
+    texts = TEXTS_OF_ALL_KINDS if chunk > 7 else [t for t in TEXTS_OF_ALL_KINDS if len(t or "") < 1000]
+    together = by_text(texts)
+    for text, found in zip(texts, together):
+        assert len(found) == len(set(found))
+        assert sorted(found) == sorted(by_text([text])[0])
+        assert {f for f in found if f < quality_model.SHAPES} == plain_shape(text)
+        wording = [f for f in found if f >= quality_model.SHAPES]
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        letters = (text or "").lower()
+        kinds = {("w", *words[i:i + n]) for n in (1, 2) for i in range(len(words) - n + 1)}
+        kinds |= {("c", letters[i:i + n]) for n in (2, 3, 4) for i in range(len(letters) - n + 1)}
+        # Each run of words or characters is one number; two share one now and then.
+        assert 0.99 * len(kinds) - 1 <= len(wording) <= len(kinds)
+
+
+def test_class_counts(spark):
+    rows = [(t, n % 2) for n, t in enumerate(TEXTS_OF_ALL_KINDS * 2)]
+    counts, totals = quality_model.class_counts(spark.createDataFrame(rows, "text string, quality long").repartition(3))
+    want = np.zeros_like(counts)
+    for text, quality in rows:
+        want[quality, by_text([text])[0]] += 1
+    assert (counts == want).all() and totals.tolist() == [13, 13]
+
+
+def test_ratios_by_hand():
+    counts = np.zeros((2, quality_model.FEATURES), np.int64)
+    counts[:, 0], counts[:, quality_model.SHAPES] = (1, 5), (3, 0)
+    got = quality_model.ratios(counts, np.array([4, 6]))
+    sums = [counts[i, :quality_model.SHAPES].sum() + quality_model.SHAPES for i in (0, 1)]
+    assert got[0] == pytest.approx(np.log(6 / sums[1]) - np.log(2 / sums[0]))
+    assert got[quality_model.SHAPES] == pytest.approx(np.log((0.6 / 6.6) / (3.4 / 4.4)))
+    assert got[quality_model.SHAPES + 1] == 0
+
+
+def test_hinge_against_a_plain_solver():
+    """The same dual by projected gradient steps on the whole matrix of products."""
+    rng = np.random.default_rng(3)
+    scale = rng.normal(size=quality_model.FEATURES)
+    rows = [np.sort(rng.choice(60, 12, replace=False)) for _ in range(40)]
+    signs = np.where(np.array([r.sum() + rng.normal(0, 40) for r in rows]) > 350, 1.0, -1.0)
+    weights, bias = quality_model.fit_hinge(rows, signs, scale, rounds=3000)
+    matrix = np.zeros((40, 61))
+    for i, r in enumerate(rows):
+        matrix[i, r], matrix[i, 60] = quality_model.row_values(r, scale), 1.0
+    signed = matrix * signs[:, None]
+    gram, dual = signed @ signed.T, np.zeros(40)
+    step = 1 / np.linalg.norm(gram, 2)
+    for _ in range(200_000):
+        dual = np.clip(dual - step * (gram @ dual - 1), 0, 1)
+    want = signed.T @ dual
+
+    def cost(w):
+        return 0.5 * w @ w + np.maximum(0, 1 - signed @ w).sum()
+
+    assert cost(np.append(weights[:60], bias)) == pytest.approx(cost(want), rel=1e-2)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"words of text number {i} and more") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    known = docs.join(labels, "doc_id").withColumn("quality", F.col("quality").cast("long"))
+    whole, _ = quality_model._sample(known, 200)
+    assert len(whole) == 200
+    monkeypatch.setattr(quality_model, "FIT_INDICATORS", sum(len(f) for f in whole[:50]))
+    some, _ = quality_model._sample(known, 200)
+    assert [f.tolist() for f in some] == [f.tolist() for f in whole[:50]]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_few_and_many_labels_give_the_same_model(spark, monkeypatch, most):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "labels"))
+    want = {r.doc_id: r.score for r in quality_model.score_quality(docs, labels).collect()}
+    monkeypatch.setattr(quality_model, "BROADCAST_LABELS", most)
+    got = {r.doc_id: r.score for r in quality_model.score_quality(docs, labels).collect()}
+    assert got == pytest.approx(want)
