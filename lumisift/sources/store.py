@@ -234,7 +234,7 @@ class IndexStore:
             "kind": "full" if full else "delta", "indexed": indexed, "removed": removed, "source": source, "run": run}
         waiting = f"{self.root}/_waiting/{run}"
         small_table(self.spark, [row], COMMITS).coalesce(1).write.parquet(waiting)
-        (file,) = self.spark.read.parquet(waiting).inputFiles()
+        (file,) = self.spark.read.schema(COMMITS).parquet(waiting).inputFiles()
         self._commit_folder()
         if not put_if_absent(self.spark, file, f"{self.root}/commits/{version:012d}.parquet"):
             raise ValueError(f"version {version} cannot be written: another run has committed it")
