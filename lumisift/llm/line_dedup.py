@@ -52,8 +52,17 @@ class LineRule:
 _UNEVEN = r"\x20*[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}"
 
 
+_BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), _UNEVEN, " "))
+    """Lower-cased words with a space between them; a look at the bytes spares most lines the expression."""
+    uneven = reduce(Column.__or__, [line.contains(c) for c in ("  ", *_BLANK[1:])])
+    return F.trim(F.when(uneven, F.regexp_replace(F.lower(line), _UNEVEN, " ")).otherwise(F.lower(line)))
+
+
+def has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(_BLANK)) != ""
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,7 +72,7 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("lines"))
     # The outer form, as the plain one has Spark cut every text twice more to test for empty arrays.
     rows = rows.select("doc", "text_hash", F.posexplode_outer("lines").alias("pos", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("line", normal_line(F.col("line")))
+    return rows.where(has_word(F.col("line"))).withColumn("line", normal_line(F.col("line")))
 
 
 def _ids(line: Column) -> list[Column]:
@@ -209,42 +218,52 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id
     Lines without a word always stay. Rows with the same key and text are one document and keep the same lines.
     ``n_lines`` counts lines with a word; a null text has none and stays null.
     """
-    gone = F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0)
-    near = F.coalesce("__near", F.lit(0))
-    words = F.filter(F.split("__text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    gone = F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0)
+    near, own = F.coalesce("near", F.lit(0)), F.col("row")[text]
+    words = F.filter(F.split(own, "\n", -1), has_word)
     return _with_drops(docs.select(key, text), rule, key, text).select(
-        key,
-        F.when(F.col("__text").isNull(), 0).otherwise(F.size(words)).cast("bigint").alias("n_lines"),
-        (gone - near).cast("bigint").alias("n_equal"), near.cast("bigint").alias("n_near"), text)
+        F.col("row")[key].alias(key),
+        F.when(own.isNull(), 0).otherwise(F.size(words)).cast("bigint").alias("n_lines"),
+        (gone - near).cast("bigint").alias("n_equal"), near.cast("bigint").alias("n_near"), F.col("kept").alias(text))
 
 
 def _with_drops(docs: DataFrame, rule: LineRule, key: str, text: str) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and with ``__text`` as it was, ``__gone`` and ``__near`` from the lines dropped."""
+    """``(row, kept, gone, near)``: a row of ``docs`` as it was, its text without the lines dropped, those, and how many are near.
+
+    The row is one value here, so that no name of its columns can clash.
+    """
     drops = materialize(dropped_lines(docs, rule, key, text).groupBy("doc", "text_hash").agg(
         F.sort_array(F.collect_set("pos")).alias("gone"),
         F.count_distinct(F.when(F.col("near"), F.col("pos"))).alias("near")), "dropped-lines")
-    drops = drops.toDF("__doc", "__hash", "__gone", "__near")
-    rows = docs.withColumn("__text", F.col(text))
-    hit = rows.join(drops, F.col(key).cast("bigint").eqNullSafe(F.col("__doc")) & (F.xxhash64("__text") == F.col("__hash")), "left")
+    rows, own = docs.select(F.struct("*").alias("row")), F.col("row")[text]
+    same = F.col("row")[key].cast("bigint").eqNullSafe(F.col("doc")) & (F.xxhash64(own) == F.col("text_hash"))
 
     def without(lines: Column) -> Column:
-        kept = F.array_except(numbers_to(F.size(lines)), F.col("__gone"))
+        kept = F.array_except(numbers_to(F.size(lines)), F.col("gone"))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    rewritten = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(let(F.split("__text", "\n", -1), without))
-    return hit.withColumn(text, rewritten).drop("__doc", "__hash")
+    rewritten = F.when(F.col("gone").isNull(), own).otherwise(let(F.split(own, "\n", -1), without))
+    return rows.join(drops, same, "left").select("row", rewritten.alias("kept"), "gone", "near")
 
 
 def without_repeated_lines(
     docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id", text: str = "text", size: str = "n_chars"
 ) -> DataFrame:
-    """``docs`` with all its columns, the text without the lines dropped and ``size`` to match.
+    """``docs`` with all its columns, whatever their names, the text without the lines dropped and ``size`` to match.
 
-    A document that had lines with words and has none left goes; one that had none stays as it is.
+    A document that had lines with words and has none left goes; one that had none stays as it is, and so does a null
+    text. Texts of any length are cut into lines as a whole. An empty table gives an empty one.
     """
     rows = _with_drops(docs, rule, key, text)
-    left = rows.where(F.col("__gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    if size in docs.columns:
-        changed = F.when(F.col("__gone").isNull(), F.col(size)).otherwise(F.length(text))
-        left = left.withColumn(size, changed.cast(docs.schema[size].dataType))
-    return left.select(*docs.columns)
+    whole = F.col("gone").isNull()
+    left = rows.where(whole | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+
+    def column(name: str) -> Column:
+        value = F.col("row")[name]
+        if name == text:
+            value = F.col("kept")
+        elif name == size:
+            value = F.when(whole, value).otherwise(F.length("kept")).cast(docs.schema[size].dataType)
+        return value.alias(name)
+
+    return left.select(*[column(name) for name in docs.columns])

@@ -169,6 +169,23 @@ def test_lines_of_odd_rows(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_lines_beside_columns_of_any_name(spark):
+    names = ["doc_id", "text", "__text", "row", "gone", "near", "kept", "doc", "text_hash", "a.b"]
+    rows = [(i, f"{'The same line of some length'}\nown {i}", *[f"{n}{i}" for n in names[2:]]) for i in range(3)]
+    left = line_dedup.without_repeated_lines(spark.createDataFrame(rows, names))
+    assert left.columns == names
+    want = [(i, t if not i else t.split("\n")[1], *rest) for i, t, *rest in rows]
+    assert sorted(tuple(r) for r in left.collect()) == want
+
+
+def test_normal_lines(spark):
+    lines = ["  A  b ", "A\tB", "a\r", "\x0bÉ x", "x \x0c y", "\x85 A\u00a0B", "plain line", "\t \r", "", " ", "İ  i"]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select(
+        line_dedup.normal_line(F.col("x")), line_dedup.has_word(F.col("x"))).collect()
+    assert [tuple(r) for r in got] == [
+        (re.sub("[\x20\t-\r]+", " ", x.lower()).strip(" "), bool(re.search("[^\x20\t-\r]", x))) for x in lines]
+
+
 # -- benchmark ----------------------------------------------------------------
 
 def test_decontamination(spark):
