@@ -16,6 +16,8 @@ from lumisift.llm.common import let, numbers_to, running_sums
 
 CONTEXT_CHARS = 60
 THRESHOLD = 0.5
+# A token without a known prefix: characters at most, and bits per character at least.
+SECRET_CHARS, SECRET_BITS = 512, 3.0
 
 
 @dataclass(frozen=True)
@@ -23,8 +25,8 @@ class Kind:
     """``trigger`` is a cheap test that texts without any match fail.
 
     ``valid`` confirms a match. ``base`` kinds are kept as confirmed, others only with a
-    score of at least the threshold. The words of ``near`` before a match raise its score by
-    0.4, those of ``against`` lower it by 0.4.
+    score of at least the threshold. The words of ``near`` on either side of a match raise its
+    score by 0.4, those of ``against`` lower it by 0.4.
     """
 
     name: str
@@ -84,6 +86,31 @@ def _iban(match: Column) -> Column:
     return let(F.replace(match, F.lit(" "), F.lit("")), lambda a: F.length(a).between(15, 34) & mod97(a))
 
 
+def entropy(value: Column) -> Column:
+    """Bits per character of a string that is not empty, from the counts of its characters."""
+
+    def share(v: Column) -> Column:
+        def term(char: Column) -> Column:
+            count = F.length(v) - F.length(F.replace(v, char, F.lit("")))
+            return count * F.log2(count.cast("double"))
+
+        chars = F.array_distinct(F.filter(F.split(v, ""), lambda c: c != ""))
+        return F.log2(F.length(v).cast("double")) - F.aggregate(
+            F.transform(chars, term), F.lit(0.0), lambda acc, x: acc + x) / F.length(v)
+
+    return let(value, share)
+
+
+def _random(match: Column) -> Column:
+    """Letters and digits of a key's length, too evenly spread for a word or a number."""
+    mixed = match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+    return F.when(mixed & (F.length(match) <= SECRET_CHARS), entropy(match) >= SECRET_BITS).otherwise(False)
+
+
+def _day(match: Column) -> Column:
+    return F.try_to_date(match, "yyyy-MM-dd").isNotNull()
+
+
 def _always(match: Column) -> Column:
     return F.lit(True)
 
@@ -103,26 +130,48 @@ KINDS = (
          lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), _iban, 0.8, "iban|account|bank", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
          lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), _always, 0.3, "ssn|social security", base=False),
+    # Prefixes that issuers of keys publish, and the heads of key files.
+    Kind("key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}"
+         r"|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9])"
+         r"|-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----",
+         lambda t: t.rlike("AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|PRIVATE KEY"), _always, 0.9, "key|token|secret", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+", lambda t: t.rlike("[A-Za-z0-9+/_-]{20}"), _random, 0.3,
+         "token|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|passw|bearer|credential", "checksum|digest|commit", base=False),
+    Kind("birth", r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])", lambda t: t.rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+         _day, 0.2, "born|birth|dob", base=False),
 )
 
 _SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,value:string,score:double>>"
 
 
-def _score(kind: Kind, before: Column) -> Column:
-    near = F.right(before, F.lit(CONTEXT_CHARS))
-    score = F.lit(kind.score) + F.when(near.rlike(rf"(?i)\b(?:{kind.near})"), 0.4).otherwise(0.0)
-    if kind.against:
-        score = score - F.when(near.rlike(rf"(?i)\b(?:{kind.against})"), 0.4).otherwise(0.0)
-    return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+def _score(kind: Kind, before: Column, after: Column) -> Column:
+    near = F.concat(F.right(before, F.lit(CONTEXT_CHARS)), F.lit("\n"), F.left(after, F.lit(CONTEXT_CHARS)))
+
+    def score(context: Column) -> Column:
+        value = F.lit(kind.score) + F.when(context.rlike(rf"(?i)\b(?:{kind.near})"), 0.4).otherwise(0.0)
+        if kind.against:
+            value = value - F.when(context.rlike(rf"(?i)\b(?:{kind.against})"), 0.4).otherwise(0.0)
+        return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+
+    return let(near, score)
 
 
 def spans_of(text: Column, kind: Kind, number: int) -> Column:
-    """The confirmed spans of one kind in a text that is not null, in order."""
+    """The confirmed spans of one kind in a text that is not null, in order.
+
+    The context on each side reaches over one more match of the kind, as far as ``CONTEXT_CHARS``.
+    """
+
+    def part(values: Column, i: Column) -> Column:
+        return F.coalesce(F.get(values, i), F.lit(""))
 
-    def span(match: Column, before: Column, end: Column) -> Column:
+    def span(matches: Column, between: Column, i: Column, end: Column) -> Column:
+        match = F.get(matches, i)
+        before = F.concat(part(between, i - 1), part(matches, i - 1), F.get(between, i))
+        after = F.concat(F.get(between, i + 1), part(matches, i + 1), part(between, i + 2))
         return F.struct(
             (end - F.length(match)).alias("start"), F.lit(number).alias("kind_no"), end.alias("end"),
-            F.lit(kind.name).alias("kind"), match.alias("value"), _score(kind, before).alias("score"))
+            F.lit(kind.name).alias("kind"), match.alias("value"), _score(kind, before, after).alias("score"))
 
     def found(t: Column) -> Column:
         return let(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), lambda matches: let(
@@ -130,7 +179,7 @@ def spans_of(text: Column, kind: Kind, number: int) -> Column:
                 running_sums(F.transform(matches, lambda m, i: (
                     F.length(F.get(between, i)) + F.length(m)).cast("bigint"))),
                 lambda ends: F.transform(
-                    matches, lambda m, i: F.when(kind.valid(m), span(m, F.get(between, i), F.get(ends, i)))))))
+                    matches, lambda m, i: F.when(kind.valid(m), span(matches, between, i, F.get(ends, i)))))))
 
     confirmed = F.filter(found(text), lambda s: s.isNotNull())
     if not kind.base:

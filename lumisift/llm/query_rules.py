@@ -55,7 +55,8 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(
         "doc_id", *[count(k) for k in base],
         F.sha2(pii.written(of_base), 256).alias("base_sha256"),
-        pii.written(F.col("pii")).alias("spans"))
+        pii.written(F.col("pii")).alias("spans"), F.size("pii").cast("bigint").alias("n_found"),
+        F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("score"))
 
 
 FIRST_DAY = "2024-01-01"

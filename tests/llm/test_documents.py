@@ -1,6 +1,7 @@
 """Operators on single documents against plain Python, and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -86,6 +87,30 @@ def test_added_spans_need_checksum_or_context(spark):
     assert {r.doc_id: [s.kind for s in r.pii] for r in df.collect()} == {1: ["iban"], 2: [], 3: ["ssn"], 4: []}
 
 
+def test_secrets_and_births_need_their_context(spark):
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [
+        (f'token = "{token}"###', ["secret"]), (f"{token} is the secret", ["secret"]), (f"commit {token}", []), (token, []),
+        ("token = " + "ab1" * 14, []), ("password " + "x" * 40, []), (f"token digest {token}", []),
+        ("AKIA" + "ABCD1234" * 2, ["key"]), ("-----BEGIN RSA PRIVATE KEY-----", ["key"]), ("xAKIA" + "ABCD1234" * 2, []),
+        ("born 1980-02-29", ["birth"]), ("1980-02-28 (date of birth)", ["birth"]), ("born 1981-02-29", []), ("on 1980-02-29", []),
+        (f"token {token} {'x' * 70} {token}", ["secret"]), (f"token {token} {token}", ["secret", "secret"]),
+        ("078-05-1120, as social security number", ["ssn"]), ("", []), (None, []), (f"token {token} " * 300, ["secret"] * 300)]
+    df = pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string"))
+    got = {r.doc_id: r.pii for r in df.collect()}
+    for i, (text, kinds) in enumerate(texts):
+        assert [s.kind for s in got[i]] == kinds, text
+        assert all(text[s.start:s.end] == s.value for s in got[i])
+
+
+def test_entropy(spark):
+    words = ["a", "abab", "abcd", "24be64439e3e49cf", "ééxx"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(pii.entropy(F.col("w"))).collect()
+    for word, (bits,) in zip(words, got, strict=True):
+        counts = [word.count(c) / len(word) for c in set(word)]
+        assert bits == pytest.approx(-sum(p * math.log2(p) for p in counts))
+
+
 def test_many_matches_keep_their_places(spark):
     text = "a@b.co " * 2000
     row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -98,6 +123,10 @@ def test_pii_query(spark):
         want = plain_spans(doc.text or "")
         assert got[doc.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert got[doc.doc_id].n_email == want.count("email:")
+        assert got[doc.doc_id].n_found == len([x for x in got[doc.doc_id].spans.split(",") if x])
+        assert (got[doc.doc_id].score > 0) == (got[doc.doc_id].n_found > 0)
+        if re.search(r'token = "[0-9a-f]{40}"', doc.text or ""):
+            assert "secret:" in got[doc.doc_id].spans
 
 
 # -- quality rules ------------------------------------------------------------
