@@ -6,13 +6,14 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumisift.catalog.search import run, search_sql
-from lumisift.catalog.tables import IMAGES_SQL, images, table
+from lumisift.catalog.tables import DISK_SQL, IMAGES_SQL, images, table
 from lumisift.functions.content import file_checksum
-from lumisift.functions.paths import base_name, filter_extensions
+from lumisift.functions.paths import filter_extensions
 from lumisift.operators.embed import preprocess_images
 from lumisift.plans.jobs import with_fingerprints
 from lumisift.plans.scratch import scratch_path
@@ -21,19 +22,45 @@ from lumisift.sources.files import (
 )
 
 
+def _write_texts(spark: SparkSession, folder: str) -> str:
+    """Write every document as a file into a new shared folder; the folder."""
+    target = scratch_path(spark, "texts")
+    root = target.removeprefix("file:")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        for batch in batches:
+            for group in batch.column(0).unique().to_pylist():
+                files.create_dir(f"{base}/{group}", recursive=True)
+            for group, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with files.open_output_stream(f"{base}/{group}/{name}.txt") as out:
+                    out.write(content)
+            yield batch.select([1])
+
+    documents = table(spark, folder, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = documents.select(F.pmod("doc_id", F.lit(64)).alias("group"), "doc_id", F.encode("text", "UTF-8").alias("content"))
+    rows.mapInArrow(write, "doc_id long").agg(F.count("*")).collect()
+    return target
+
+
+def _doc(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"(-?[0-9]+)\.txt$", 1).cast("long").alias("doc_id")
+
+
 def _scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of the given tables themselves."""
-    return scan_files(spark, folder).select(base_name("path").alias("name"), "size", "mtime")
+    """All documents as files, listed."""
+    listed = scan_files(spark, _write_texts(spark, folder))
+    return listed.select(_doc(), "size", (F.col("mtime") > 0).alias("dated"))
 
 
 def _heads(spark: SparkSession, folder: str) -> DataFrame:
-    listed = with_fingerprints(scan_files(spark, folder))
-    return listed.select(base_name("path").alias("name"), "content_hash")
+    listed = with_fingerprints(scan_files(spark, _write_texts(spark, folder)))
+    return listed.select(_doc(), "content_hash")
 
 
 def _sums(spark: SparkSession, folder: str) -> DataFrame:
-    listed = read_content(scan_files(spark, folder), head=None)
-    return listed.select(base_name("path").alias("name"), file_checksum("content").alias("sha256"))
+    listed = read_content(scan_files(spark, _write_texts(spark, folder)), head=None)
+    return listed.select(_doc(), file_checksum("content").alias("sha256"))
 
 
 def _extensions(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,6 +156,11 @@ QUERIES = {
 }
 
 SQL = {
+    # Empty files are not listed.
+    "scan_files": """
+SELECT doc_id, octet_length(encode(text)) AS size, true AS dated FROM documents WHERE text <> ''""",
+    "scan_files_fingerprint": f"WITH {DISK_SQL} SELECT doc_id, content_hash FROM disk WHERE text <> ''",
+    "scan_files_checksum": "SELECT doc_id, sha256(encode(text)) AS sha256 FROM documents WHERE text <> ''",
     "filter_extensions": r"""
 SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '[^/]\.([^./]*)$', 1)) = 'html'""",
     "scan_images": f"""
