@@ -1,9 +1,10 @@
 """Quality rules as a cascade that rejects early.
 
-A rule is a condition that rejects a document. Its cost and how many documents it
-rejects are measured on a sample; the cascade asks the rules in the order of
-rejections per cost, and a rule is evaluated only for documents that no earlier
-one has rejected. The order decides how long it takes and never what is kept.
+A rule is a condition that rejects a document and works out from its text all it
+needs. Its cost and how many documents it rejects are measured on a sample of the
+texts; the cascade asks the rules in the order of rejections per cost, and a rule is
+evaluated only for documents that no earlier one has rejected. The order decides how
+long it takes and never what is kept.
 Everything is SQL functions: no Python runs on the executors.
 """
 
@@ -15,12 +16,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumisift.llm.common import let, numbers_to, text_of, words_of
+from lumisift.llm.common import BLANKS, let, numbers_to, text_of, words_of
 from lumisift.plans.scratch import materialize
 
 # Words of the windows whose repetition counts.
 WINDOW = 8
 SAMPLE_ROWS = 500
+SAMPLE_SEED = 9
 
 
 @dataclass(frozen=True)
@@ -98,40 +100,55 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("measures", measures(F.col(text)))
 
 
-def base_rules(at: str = "measures") -> list[Rule]:
-    m = F.col(at)
+def base_rules(text: str = "text") -> list[Rule]:
+    t = text_of(text)
     return [
-        Rule("few_words", m["n_words"] < 20),
-        Rule("repeated_words", 100 * m["n_repeat_words"] > 30 * m["n_words"]),
+        Rule("few_words", F.size(words_of(t)) < 20),
+        Rule("repeated_words", let(words_of(t), lambda w: 100 * repeated_words(w) > 30 * F.size(w))),
     ]
 
 
-def more_rules(at: str = "measures", text: str = "text") -> list[Rule]:
-    """Symbols, repeated lines, odd word lengths, shouting; the last two read the text again."""
-    m, t = F.col(at), text_of(text)
+def more_rules(text: str = "text") -> list[Rule]:
+    """Symbols, repeated lines, odd word lengths, shouting."""
+    t = text_of(text)
+
+    def mostly_repeated(lines: Column) -> Column:
+        return (F.size(lines) >= 4) & (2 * (F.size(lines) - F.size(F.array_distinct(lines))) > F.size(lines))
+
+    def odd_lengths(words: Column) -> Column:
+        return let(F.length(F.array_join(words, "")), lambda n: (n > 15 * F.size(words)) | (n < 2 * F.size(words)))
+
     return [
-        Rule("symbols", 10 * m["n_symbols"] > m["n_words"]),
-        Rule("repeated_lines", (m["n_lines"] >= 4) & (2 * m["n_dup_lines"] > m["n_lines"])),
-        Rule("word_length", (m["word_chars"] > 15 * m["n_words"]) | (m["word_chars"] < 2 * m["n_words"])),
-        Rule("capitals", 2 * F.regexp_count(t, F.lit("[A-Z]")) > m["word_chars"]),
-        Rule("exclamations", 2 * F.regexp_count(t, F.lit("!")) > m["n_words"]),
+        Rule("symbols", 10 * F.regexp_count(t, F.lit("[#*$%&|<>]")) > F.size(words_of(t))),
+        Rule("repeated_lines", let(lines_with_words(t), mostly_repeated)),
+        Rule("word_length", let(words_of(t), odd_lengths)),
+        Rule("capitals", 2 * F.regexp_count(t, F.lit("[A-Z]")) > F.length(F.regexp_replace(t, BLANKS, ""))),
+        Rule("exclamations", 2 * F.regexp_count(t, F.lit("!")) > F.size(words_of(t))),
     ]
 
 
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` rows of ``docs``, each with the same chance wherever it lies; all if there are no more."""
+    count = docs.count()
+    return docs if count <= rows else docs.sample(rows / count, seed=SAMPLE_SEED)
+
+
 def estimate(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Seconds and share of rejections of each rule on a stored sample of at most ``rows`` documents.
+    """Seconds and share of rejections of each rule, measured on a stored sample of about ``rows`` rows of ``docs``.
 
-    The sample steers the order alone. The rule that reads nothing sets the cost of a job itself.
+    The sample holds the columns as they are, so a rule's time is that of all it works out from them. It
+    steers the order alone. What a job takes for a rule that reads nothing is taken off.
     """
-    sample = materialize(docs.limit(rows), "rules-sample")
+    sample = materialize(sample_of(docs, rows), "rules-sample")
     none = F.lit(False)
 
     def run(reject: Column) -> tuple[float, float]:
+        asked = sample.agg(F.avg(F.coalesce(reject, none).cast("int")))
+        asked.first()  # Compiles the expression.
         start = time.perf_counter()
-        share = sample.agg(F.avg(F.coalesce(reject, none).cast("int"))).first()[0]
+        share = asked.first()[0]
         return time.perf_counter() - start, share or 0.0
 
-    run(none)
     idle, _ = run(none)
     found = [(rule.name, *run(rule.reject)) for rule in rules]
     return [Estimate(name, max(seconds - idle, 1e-3), share) for name, seconds, share in found]
@@ -157,7 +174,8 @@ def apply_rules(
     """``docs`` with the boolean ``name``: false for documents that a rule rejects.
 
     All rows come back, repeated ones each for themselves; an empty table stays empty.
-    Without ``estimates`` the rules are measured on a sample first.
+    Without ``estimates`` the rules are measured on a sample first, which scans ``docs`` once more.
+    Null texts count as empty; long ones are read whole by each rule that they reach.
     """
     estimates = estimate(docs, rules) if estimates is None else estimates
     return docs.withColumn(name, ~rejected(in_order(rules, estimates)))

@@ -9,12 +9,14 @@ from lumisift.llm.common import let, table
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = rules.with_measures(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     kept = rules.apply_rules(docs, [*rules.base_rules(), *rules.more_rules()])
+    # The contract's figures are wanted of every document, so they stand beside the cascade.
+    m = F.col("measures")
     digest = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return kept.select(
-        "doc_id", *[F.col(f"measures.{c}").alias(c) for c in digest],
-        rules.rejected(rules.base_rules()).alias("base_failed"), "kept")
+    return rules.with_measures(kept).select(
+        "doc_id", *[m[c].alias(c) for c in digest],
+        ((m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])).alias("base_failed"), "kept")
 
 
 OP9_SQL = r"""
