@@ -39,6 +39,27 @@ MORE_PHRASES = {
 }
 TAG = "spdx license identifier"
 
+# Identifiers and exceptions of the SPDX license list that expressions may name.
+KNOWN = frozenset("""
+0bsd afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0
+artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause
+bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0
+cc-by-nc-2.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0
+cc-by-nd-3.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1
+cpl-1.0 curl ecl-2.0 elastic-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl gfdl-1.2 gfdl-1.3 gfdl-1.3-only
+gfdl-1.3-or-later gpl-1.0 gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later
+hpnd icu ijg ipl-1.0 isc lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only
+lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng libtiff lppl-1.3c mit mit-0
+mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1
+openssl osl-2.1 osl-3.0 pddl-1.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sspl-1.0
+tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+""".split())
+EXCEPTIONS = frozenset("""
+autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0
+font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 libtool-exception linux-syscall-note llvm-exception
+ocaml-lgpl-linking-exception openjdk-assembly-exception-1.0 swift-exception u-boot-exception-2.0
+""".split())
+
 # Identifiers that have another label here.
 SAME = {"apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-nc-3.0": "cc-by-nc"}
 
@@ -51,8 +72,8 @@ _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
     for c in range(256)
 )
-_TAGGED = re.compile(r"(?i)spdx-license-identifier\s*:\s*([^\n\r]*)")
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
+_TAGGED = re.compile(r"(?i)spdx[-_ ]license[-_ ]identifier\s*:[ \t]*([^\n\r]*)")
+_TOKEN = re.compile(r"[()/]|[A-Za-z0-9.+:_-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -63,13 +84,14 @@ def words_of(text: str | None) -> list[bytes]:
 def postfix(expression: str) -> list[str] | None:
     """A license expression in postfix order; None if it is not well formed.
 
-    WITH binds tightest, then AND, then OR. Two licenses in a row end the expression, as prose may follow.
+    WITH binds tightest, then AND, then OR; a slash is an older OR. Two licenses in a row end the
+    expression, as prose may follow.
     """
     out: list[str] = []
     held: list[str] = []
     operand = True
     for token in _TOKEN.findall(expression):
-        token = token.lower()
+        token = "or" if token == "/" else token.lower()
         if operand != (token == "(" or (token not in _RANK and token != ")")):
             if operand or token in _RANK:
                 return None
@@ -95,6 +117,11 @@ def postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def known(name: str) -> bool:
+    """Whether a lower-case name is a license or exception of the list, or a reference of the text's own."""
+    return name.removesuffix("+") in KNOWN or name in EXCEPTIONS or name in SAME or name.startswith(("licenseref-", "documentref-"))
+
+
 def evaluate(expression: Sequence[str], allowed: frozenset[str]) -> tuple[set[str], bool] | None:
     """The labels in a postfix expression, and whether it can be met with allowed licenses alone.
 
@@ -148,15 +175,18 @@ def scan(text: str | None, base: Mapping[str, str], more: Mapping[str, str], all
     found = places(words, {**more, **base})
     of_base = [(word, label) for word, phrase, label in found if phrase in base]
     labels = {label for _, phrase, label in found if phrase != TAG}
-    verdicts, expressions = [], []
+    verdicts, expressions, unknown = [], [], []
     if any(phrase == TAG for _, phrase, _ in found):
         for tagged in _TAGGED.findall(text):
             parsed = postfix(tagged)
-            met = parsed and evaluate(parsed, allowed)
+            strange = parsed is None or not all(token in _RANK or token in allowed or known(token) for token in parsed)
+            met = None if strange else evaluate(parsed, allowed)
             if met:
                 expressions.append(" ".join(parsed))
                 labels |= met[0]
                 verdicts.append(met[1])
+            else:
+                unknown.append(tagged.strip())
     doubt = (1 - TAG_CERTAINTY) ** bool(verdicts) * (1 - BASE_CERTAINTY) ** bool(of_base)
     doubt *= (1 - MORE_CERTAINTY) ** any(phrase in more for _, phrase, _ in found)
     stated = verdicts or [label in allowed for label in labels]
@@ -169,6 +199,7 @@ def scan(text: str | None, base: Mapping[str, str], more: Mapping[str, str], all
         "labels": ",".join(sorted(labels)),
         "score": 1.0 - doubt,
         "expressions": expressions,
+        "unknown": unknown,
         "allowed": all(stated) if stated else None,
         "places": [{"word": w, "phrase": p, "label": l} for w, p, l in found],
     }
@@ -179,6 +210,7 @@ _RESULT = T.StructType([
     T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()),
     T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()),
     T.StructField("score", T.DoubleType()), T.StructField("expressions", T.ArrayType(T.StringType())),
+    T.StructField("unknown", T.ArrayType(T.StringType())),
     T.StructField("allowed", T.BooleanType()),
     T.StructField("places", T.ArrayType(T.StructType([
         T.StructField("word", T.LongType()), T.StructField("phrase", T.StringType()),
@@ -187,7 +219,7 @@ _RESULT = T.StructType([
 _ARROW = pa.struct([
     ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
     ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
-    ("expressions", pa.list_(pa.string())), ("allowed", pa.bool_()),
+    ("expressions", pa.list_(pa.string())), ("unknown", pa.list_(pa.string())), ("allowed", pa.bool_()),
     ("places", pa.list_(pa.struct([("word", pa.int64()), ("phrase", pa.string()), ("label", pa.string())]))),
 ])
 
@@ -201,7 +233,8 @@ def scan_licenses(
 
     ``n_words``; ``n_base``, ``first_word``, ``last_word``, ``base_labels`` of the phrases of ``base``;
     ``labels`` of all phrases and expressions; ``score``, the certainty that there is a license (0: nothing
-    found); ``expressions`` in postfix order; ``allowed``, null where nothing is stated, from the tags if
+    found); ``expressions`` in postfix order; ``unknown``, what stands behind tags and is no expression
+    of known names (it gives no label); ``allowed``, null where nothing is stated, from the tags if
     there are any and else from the notices, all of which must be met; ``places`` of every phrase and tag.
     A null or empty text has no words. Repeated rows are kept, other columns are not looked at.
     """

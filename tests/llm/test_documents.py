@@ -214,6 +214,18 @@ def test_tags_add_labels():
     assert got["n_base"] == 2 and got["base_labels"] == "mit" and got["labels"] == "gpl-3.0,mit" and got["allowed"]
 
 
+@pytest.mark.parametrize("tagged, labels, unknown", [
+    ("MIT/Apache-2.0", "apache-2,mit", []), ("GPL-2.0+ WITH Classpath-exception-2.0", "gpl-2.0+-with-classpath-exception-2.0", []),
+    ("LicenseRef-Own AND MIT", "licenseref-own,mit", []), ("see the LICENSE file", "", ["see the LICENSE file"]),
+    ("<name> here", "", ["<name> here"]), ("MIT OR nonsense", "", ["MIT OR nonsense"]), ("", "", [""]),
+])
+def test_only_known_names_become_labels(tagged, labels, unknown):
+    for tag in ("SPDX-License-Identifier", "SPDX License Identifier"):
+        got = licenses.scan(f"# {tag}: {tagged}\ncode", licenses.BASE_PHRASES, licenses.MORE_PHRASES, licenses.ALLOWED)
+        assert (got["labels"], got["unknown"]) == (labels, unknown)
+        assert bool(got["expressions"]) == bool(labels) and (got["score"] > 0) == bool(labels)
+
+
 # -- URLs ---------------------------------------------------------------------
 
 def test_entries_hold_from_their_day(spark):
