@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -120,13 +121,25 @@ def _geometry(spark: SparkSession, folder: str) -> DataFrame:
     return image_geometry(every).select(_name(), F.round("aspect", 4).alias("aspect"))
 
 
+def _tensor_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(path, n, lowest, highest, total)`` of tensors ``(path, pixels)``."""
+    for batch in batches:
+        path, tensors = batch.columns
+        # An expression over an array takes a call for each of its 150,000 numbers. Added up in their order, as there.
+        each = [tensors[i].values.to_numpy() for i in range(len(tensors))]
+        yield pa.RecordBatch.from_arrays([
+            path, pa.array([len(x) for x in each], pa.int32()),
+            pa.array([float(x.min()) for x in each], pa.float64()), pa.array([float(x.max()) for x in each], pa.float64()),
+            pa.array([float(np.cumsum(x, dtype=np.float64)[-1]) for x in each], pa.float64()),
+        ], names=["path", "n", "lowest", "highest", "total"])
+
+
 def _preprocess(spark: SparkSession, folder: str) -> DataFrame:
     tensors = preprocess_images(scan_images(spark, _draw(spark, folder)))
-    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return tensors.select(
-        _name(), F.size("pixels").alias("n"), F.round(F.array_min("pixels").cast("double"), 4).alias("lowest"),
-        F.round(F.array_max("pixels").cast("double"), 4).alias("highest"),
-        F.round(total / F.size("pixels"), 4).alias("mean"))
+    levels = tensors.mapInArrow(_tensor_levels, "path string, n int, lowest double, highest double, total double")
+    return levels.select(
+        _name(), "n", F.round("lowest", 4).alias("lowest"), F.round("highest", 4).alias("highest"),
+        F.round(F.col("total") / F.col("n"), 4).alias("mean"))
 
 
 def _path_list(spark: SparkSession, folder: str) -> DataFrame:

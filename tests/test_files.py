@@ -1,12 +1,14 @@
 import hashlib
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumisift.catalog.files import png
+from lumisift.catalog.files import QUERIES, png
 from lumisift.functions.content import content_fingerprint, file_checksum
 from lumisift.functions.paths import base_name, extension, filter_extensions, prefix_filter
+from lumisift.operators.embed import image_tensor
 from lumisift.plans.jobs import with_fingerprints
 from lumisift.sources.files import (
     full_path, image_geometry, missing_files, pick_images, read_content, read_path_list, rejected_files, scan_files,
@@ -192,3 +194,22 @@ def test_path_list_and_results(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, 0.25, "/b"), (1, 1, 0.5, "/a")], "query_id int, rank int, score double, path string")
     write_results(df, str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["0.5000\t/a", "0.2500\t/b"]
+
+
+def test_tensors_of_many_images_are_summed_up_in_batches(spark, tmp_path):
+    rows = [(i, [((i + j) % 65) / 32 - 1.0 for j in range(64)], i % 3) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    levels = QUERIES["preprocess_images"](spark, str(tmp_path))
+    # No expression walks through the numbers of a tensor one by one, and none becomes a row of pandas.
+    plan = levels._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "MapInPandas" not in plan
+    got = {r.image_id: r for r in levels.collect()}
+    assert set(got) == {i + 1 for i in range(20) if i % 3}
+    for i, embedding, _ in (row for row in rows if row[2]):
+        level = [int((np.float32(x) + 1.0) * 127.5) for x in embedding]
+        data = bytes(b for r, l in zip(level, reversed(level)) for b in (l, 255 - r, r))
+        tensor = image_tensor(data, 4, 16, 3).astype(float)
+        r = got[i + 1]
+        assert (r.n, r.lowest, r.highest) == (150_528, round(tensor.min(), 4), round(tensor.max(), 4))
+        assert r.mean == pytest.approx(tensor.mean(), abs=6e-5)
