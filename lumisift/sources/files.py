@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from lumisift.functions.content import HEAD_BYTES
 from lumisift.operators.search import result_lines
 from lumisift.plans.scratch import scratch_path
+from lumisift.plans.size import spread
 
 
 # So many names of a folder are handed on together.
@@ -139,7 +140,7 @@ def _contents(files: DataFrame, head: int | None, path: str) -> DataFrame:
                 reason = pa.array([r for _, r in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, content, reason], names=schema.fieldNames())
 
-    return files.mapInArrow(read, schema)
+    return spread(files).mapInArrow(read, schema)
 
 
 def missing_files(files: DataFrame, path: str = "path") -> DataFrame:

@@ -236,3 +236,14 @@ def test_tasks_list_the_folders_by_the_rules_of_the_file_source(spark, tmp_path)
         assert sorted(listed.collect()) == sorted(plain.collect())
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         scan_files(spark, f"{tmp_path}/nowhere")
+
+
+@pytest.mark.parametrize("head", [100, None])
+def test_all_cores_read_the_files_of_a_short_list(spark, tmp_path, head):
+    for i in range(40):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    listed = scan_files(spark, str(tmp_path)).coalesce(1)
+    read = read_content(listed, head=head).withColumn("task", F.spark_partition_id())
+    rows = read.collect()
+    assert {(os.path.basename(r.path), bytes(r.content)) for r in rows} == {(f"{i}.txt", str(i).encode()) for i in range(40)}
+    assert len({r.task for r in rows}) == spark.sparkContext.defaultParallelism
