@@ -55,9 +55,12 @@ _UNEVEN = r"\x20*[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}"
 _BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def normal_line(line: Column) -> Column:
-    """Lower-cased words with a space between them; a look at the bytes spares most lines the expression."""
-    uneven = reduce(Column.__or__, [line.contains(c) for c in ("  ", *_BLANK[1:])])
+def normal_line(line: Column, blanks: str = _BLANK[1:]) -> Column:
+    """Lower-cased words with a space between them; a look at the bytes spares most lines the expression.
+
+    ``blanks`` other than the space may stand in it: each is a look at all its bytes.
+    """
+    uneven = reduce(Column.__or__, [line.contains(c) for c in ("  ", *blanks)])
     return F.trim(F.when(uneven, F.regexp_replace(F.lower(line), _UNEVEN, " ")).otherwise(F.lower(line)))
 
 
@@ -72,7 +75,8 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("lines"))
     # The outer form, as the plain one has Spark cut every text twice more to test for empty arrays.
     rows = rows.select("doc", "text_hash", F.posexplode_outer("lines").alias("pos", "line"))
-    return rows.where(has_word(F.col("line"))).withColumn("line", normal_line(F.col("line")))
+    # A text cut at its line feeds has none left.
+    return rows.where(has_word(F.col("line"))).withColumn("line", normal_line(F.col("line"), _BLANK[1:].replace("\n", "")))
 
 
 def _ids(line: Column) -> list[Column]:
@@ -95,15 +99,20 @@ def _cut(size: Column, i: int, parts: int) -> Column:
     return F.call_function("div", size * i, F.lit(parts)).cast("int")
 
 
-def index_keys(line: Column, size: Column, edits: int) -> Column:
+def _piece(wide: Column, low: Column, length: Column) -> Column:
+    """``length`` characters after the first ``low`` of a line in UTF-32, found without a walk through those before."""
+    return F.substring(wide, low * 4 + 1, length * 4)
+
+
+def index_keys(wide: Column, size: Column, edits: int) -> Column:
     """One key per segment of a line."""
     parts = edits + 1
     return F.array(*[
-        F.xxhash64(size, F.lit(i), F.substring(line, _cut(size, i, parts) + 1, _cut(size, i + 1, parts) - _cut(size, i, parts)))
+        F.xxhash64(size, F.lit(i), _piece(wide, _cut(size, i, parts), _cut(size, i + 1, parts) - _cut(size, i, parts)))
         for i in range(parts)])
 
 
-def probe_keys(line: Column, size: Column, edits: int, shorter: int) -> Column:
+def probe_keys(wide: Column, size: Column, edits: int, shorter: int) -> Column:
     """The keys under which a line finds lines that are shorter by ``shorter``.
 
     Segment i may be shifted by the edits that can precede it (i of them) while the rest can still be made up
@@ -114,18 +123,19 @@ def probe_keys(line: Column, size: Column, edits: int, shorter: int) -> Column:
         low, length = _cut(other, i, parts), _cut(other, i + 1, parts) - _cut(other, i, parts)
         after = parts - 1 - i
         for shift in range(max(-i, shorter - after), min(i, shorter + after) + 1):
-            keys.append(F.xxhash64(other, F.lit(i), F.substring(line, low + (shift + 1), length)))
+            keys.append(F.xxhash64(other, F.lit(i), _piece(wide, low + shift, length)))
     return F.array(*keys)
 
 
 def _probes(lines: DataFrame, edits: int) -> DataFrame:
     """All probes of all lines, a scan per difference of length: code for all at once is too long for the JVM to compile."""
-    each = [_exploded(lines, probe_keys(F.col("line"), F.col("size"), edits, d)) for d in range(edits + 1)]
+    each = [_exploded(lines, probe_keys(F.col("wide"), F.col("size"), edits, d)) for d in range(edits + 1)]
     return reduce(DataFrame.unionByName, each)
 
 
 def _exploded(lines: DataFrame, keys: Column) -> DataFrame:
-    return lines.select("id", "size", F.explode(keys).alias("key"))
+    wide = lines.select("id", "size", F.encode("line", "UTF-32").alias("wide"))
+    return wide.select("id", "size", F.explode(keys).alias("key"))
 
 
 def near_lines(lines: DataFrame, rule: LineRule) -> DataFrame:
@@ -133,7 +143,7 @@ def near_lines(lines: DataFrame, rule: LineRule) -> DataFrame:
     if not rule.edits:
         return lines.select("id").limit(0)
     long = lines.where(F.col("size") >= rule.shortest)
-    indexed = materialize(_exploded(long, index_keys(F.col("line"), F.col("size"), rule.edits)), "segments")
+    indexed = materialize(_exploded(long, index_keys(F.col("wide"), F.col("size"), rule.edits)), "segments")
     probes = _probes(long, rule.edits)
     hot = materialize(indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS), "hot-segments")
     cold = indexed.join(hot.select("key"), "key", "left_anti").toDF("key", "a", "size_a")

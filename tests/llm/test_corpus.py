@@ -314,3 +314,19 @@ def test_the_rest_does_not_use_this_part():
             names = [getattr(n, "module", None) or a.name for n in ast.walk(ast.parse(path.read_text()))
                      if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names]
             assert not any("llm" in (n or "") for n in names), path
+
+
+def test_segments_of_a_line_are_cut_by_place(spark):
+    line = "aé\U0001f600b" * 9
+    df = spark.createDataFrame([(0, line, len(line))], "id long, line string, size int")
+    wide = df.select("size", F.encode("line", "UTF-32").alias("wide"))
+    got = wide.select(
+        line_dedup.index_keys(F.col("wide"), F.col("size"), 2).alias("own"),
+        line_dedup.probe_keys(F.col("wide"), F.col("size"), 2, 0).alias("equal")).first()
+    pieces = [line[12 * i:12 * i + 12].encode("utf-32-be") for i in range(3)]
+    want = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(pieces)], "i int, x binary").orderBy("i").select(
+        F.xxhash64(F.lit(len(line)), "i", "x")).collect()
+    assert got.own == [r[0] for r in want] and set(got.own) < set(got.equal)
+    # No look for line feeds in a line that was cut at them.
+    plan = line_dedup.occurrences(df, "id", "line")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") == 5
